@@ -50,7 +50,7 @@ def parse_yyyymm(c: ColumnOrName, pad_short: bool = True) -> Column:
         s = F.when(F.length(s) == 5,
                    F.concat(F.substring(s, 1, 4), F.lpad(F.substring(s, 5, 1), 2, "0"))
                    ).otherwise(s)
-    return F.when(F.length(s) == 6, F.try_to_date(s, F.lit("yyyyMM")))
+    return F.when(F.length(s) == 6, F.try_to_date(s, "yyyyMM"))
 
 
 def strip_float_suffix(c: ColumnOrName) -> Column:
@@ -72,7 +72,7 @@ def yes_no_flag(c: ColumnOrName, yes_values=("Y",)) -> Column:
 def delinquency_number(c: ColumnOrName) -> Column:
     """Delinquency status code -> number; 'R' -> 7, NULL/unknown codes -> 0."""
     s = F.trim(col(c).cast("string"))
-    return F.coalesce(F.try_cast(F.replace(s, F.lit("R"), F.lit("7")), "double"), F.lit(0.0))
+    return F.coalesce((F.replace(s, F.lit("R"), F.lit("7"))).try_cast("double"), F.lit(0.0))
 
 
 def two_sided_t_pvalue(t: ColumnOrName, dof: ColumnOrName) -> Column:
