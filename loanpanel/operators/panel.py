@@ -147,16 +147,21 @@ def add_loan_age(per: DataFrame, cols: PanelCols = PanelCols()) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def _with_chunks(ranked: DataFrame, cols: PanelCols, max_width: int,
-                 chunk_rows: int) -> DataFrame:
-    """Assign rows to chunks of ``chunk_rows``; the last ``max_width-1`` rows of a
-    chunk are copied into the next chunk as halo (``owned`` is false there)."""
+                 chunk_rows: int, halo_after: int = 0) -> DataFrame:
+    """Assign rows to chunks of ``chunk_rows`` consecutive positions of a loan.
+
+    The last ``max_width - 1`` rows of a chunk are also copied into the next
+    chunk (backward-looking frames) and the first ``halo_after`` rows into the
+    previous chunk (forward-looking ``lead``); ``owned`` is false on copies."""
     halo = max(max_width - 1, 0)
     chunk = F.floor(F.col("pos") / F.lit(chunk_rows))
     in_chunk = F.col("pos") - chunk * F.lit(chunk_rows)
     parts = F.array(chunk)
     if halo:
-        parts = F.when(in_chunk >= F.lit(chunk_rows - halo), F.array(chunk, chunk + 1)) \
-                 .otherwise(F.array(chunk))
+        parts = F.when(in_chunk >= F.lit(chunk_rows - halo), F.array_append(parts, chunk + 1)).otherwise(parts)
+    if halo_after:
+        parts = F.when((in_chunk < F.lit(halo_after)) & (chunk > 0), F.array_append(parts, chunk - 1)) \
+                 .otherwise(parts)
     return (ranked.withColumn("_chunk", chunk)
                   .withColumn("_part", F.explode(parts))
                   .withColumn("owned", F.col("_part") == F.col("_chunk"))
@@ -252,20 +257,28 @@ def loan_feature_table(panel: DataFrame, loans: DataFrame, cols: PanelCols = Pan
 # Default flags and months
 # --------------------------------------------------------------------------
 
-# Delinquency status -> days bucket label, as the source names them.
+# Delinquency status -> days-past-due bucket label, as the source names them.
 DELINQUENCY_BUCKETS = {
-    0: "Current", 1: "30-59", 2: "60-89", 3: "90-119", 4: "120-149",
-    5: "150-179", 6: "180-209", 7: "210+",
+    0: "0_29days_delinquent",
+    1: "30_59days delinquent",
+    2: "60_89days delinquent",
+    3: "90_119days delinquent",
+    4: "120_149days delinquent",
+    5: "150_179days_delinquent",
+    6: "180_209days_delinquent",
+    7: "210_plus",
 }
-# Days past due -> status number used for the threshold.
-DAYS_TO_STATUS = {30: 1, 60: 2, 90: 3, 120: 4}
+ALLOWED_DELINQ_DAYS = (30, 60, 90, 120)
 
 
 def status_for_days(delinq_days_min: int) -> int:
-    """Status number at which a loan is ``delinq_days_min`` days past due."""
-    if delinq_days_min not in DAYS_TO_STATUS:
-        raise ValueError(f"delinq_days_min must be one of {sorted(DAYS_TO_STATUS)}")
-    return DAYS_TO_STATUS[delinq_days_min]
+    """Status number whose bucket label names ``delinq_days_min`` days (60 -> 2)."""
+    if delinq_days_min not in ALLOWED_DELINQ_DAYS:
+        raise ValueError(f"delinq_days_min must be one of {ALLOWED_DELINQ_DAYS}")
+    hits = [k for k, label in DELINQUENCY_BUCKETS.items() if label.startswith(f"{delinq_days_min}_")]
+    if len(hits) != 1:
+        raise ValueError("delinquency bucket labels overlap")
+    return hits[0]
 
 
 def create_default_flag(loans: DataFrame, monthly: DataFrame, cols: PanelCols = PanelCols(),
@@ -293,19 +306,31 @@ def first_default_month(monthly: DataFrame, cols: PanelCols = PanelCols(),
 
 
 def prior_default_rows(monthly: DataFrame, cols: PanelCols = PanelCols(),
-                       delinq_days_min: int = 60) -> DataFrame:
-    """L3: mark rows two periods before a threshold crossing (G10, ``mark``=1)
-    and the row right after a marked row (G11, ``mark``=2), both within the
-    loan; ``prior_target`` is true for rows marked 1 or 2."""
+                       delinq_days_min: int = 60, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """L3 on the loans that ever crossed the threshold.
+
+    ``prior_mth`` is 1 on a row whose loan crosses the threshold two rows
+    later (G10: lead 2 within the loan); ``mark`` repeats that and then turns
+    the row right after a marked row into 2 (G11, one pass).  The source's two
+    outputs are ``prior_mth == 1`` (month before target) and ``mark not in
+    (1, 2)`` (flag ``kept``).
+
+    Leads are read by row position inside chunks of the loan, each chunk
+    also holding the first two rows of the next one, so no task holds a
+    whole loan."""
     thr = status_for_days(delinq_days_min)
-    order = [F.col(cols.period)] + _order_within_period(cols)
-    w = Window.partitionBy(cols.loan).orderBy(*order)
+    crossed_loans = (monthly.where(F.col(cols.status) >= thr).select(cols.loan).distinct())
+    rows = monthly.join(crossed_loans, cols.loan, "left_semi")
+    r = ranked_rows(rows, cols).drop("in_history", "mth_of_loan", "loan_months_total")
+    ch = _with_chunks(r, cols, 1, chunk_rows, halo_after=2)
+    w = Window.partitionBy(cols.loan, "_part").orderBy("pos")
     crossed = F.when(F.col(cols.status) >= thr, 1).otherwise(0)
-    m1 = F.when(F.lead(crossed, 2).over(w) == 1, 1).otherwise(0)
-    out = monthly.withColumn("_m1", m1)
-    out = out.withColumn("mark", F.when(F.col("_m1") == 1, 1)
-                         .when(F.lag("_m1", 1).over(w) == 1, 2).otherwise(0)).drop("_m1")
-    return out.withColumn("prior_target", F.col("mark") > 0)
+    nxt1 = F.lead(crossed, 1).over(w)
+    nxt2 = F.lead(crossed, 2).over(w)
+    prior = F.when(nxt2 == 1, 1).otherwise(0)
+    mark = F.when((F.col("pos") > 0) & (nxt1 == 1), 2).otherwise(prior)
+    out = ch.withColumn("prior_mth", prior).withColumn("mark", mark).where("owned")
+    return out.drop("_part", "owned").withColumn("kept", ~F.col("mark").isin(1, 2))
 
 
 def any_default_flag(monthly: DataFrame, cols: PanelCols = PanelCols()) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loanpanel.plans import q_clean, q_lender, q_panel  # noqa: F401
+from loanpanel.plans import q_clean, q_lender, q_origination, q_panel  # noqa: F401
 from loanpanel.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

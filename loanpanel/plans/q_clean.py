@@ -68,9 +68,11 @@ _STATUS_SQL = "coalesce(try_cast(replace(trim(status_raw), 'R', '7') as double),
 @query("status_number", T.with_ctes("dirty_months") + f"""
 select obs, {_STATUS_SQL} as status,
        case when {_STATUS_SQL} >= 2 then 1 else 0 end as serious_delinquency,
-       case least(cast({_STATUS_SQL} as int), 7) when 0 then 'Current' when 1 then '30-59' when 2 then '60-89'
-            when 3 then '90-119' when 4 then '120-149' when 5 then '150-179' when 6 then '180-209'
-            else '210+' end as delinquency_bucket
+       case least(cast({_STATUS_SQL} as int), 7) when 0 then '0_29days_delinquent'
+            when 1 then '30_59days delinquent' when 2 then '60_89days delinquent'
+            when 3 then '90_119days delinquent' when 4 then '120_149days delinquent'
+            when 5 then '150_179days_delinquent' when 6 then '180_209days_delinquent'
+            else '210_plus' end as delinquency_bucket
 from dirty_months""")
 def status_number(spark, sf_dir):
     d = EN.status_to_number(T.dirty_months(spark, sf_dir), "status_raw", "status")
