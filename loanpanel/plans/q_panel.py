@@ -107,15 +107,21 @@ hs as (select loan,
               var_samp(upb) as UPB_var
        from t where in_history group by loan),
 rt as (select loan, """ + ", ".join(f"max(rate_{m}) as max_upb_change_rate_{m}" for m in WIDTHS) + """
-       from rr group by loan)
+       from rr group by loan)"""
+
+FEATURE_SELECT = """
 select l.loan, l.score, tg.default_in_window, hs.prev_defaults, hs.prev_defaults_sum, hs.months_in_default,
        round(hs.loan_months_total, 4) as loan_months_total, round(hs.loan_IQR, 4) as loan_IQR,
        round(hs.loan_Range, 2) as loan_Range, round(hs.UPB_var, 0) as UPB_var, """ + ", ".join(
     f"round(rt.max_upb_change_rate_{m}, 4) as max_upb_change_rate_{m}" for m in WIDTHS) + """
 from loans l join tg using (loan) left join hs using (loan) left join rt using (loan)"""
 
+FEATURE_PREFIX = _FEATURE_SQL
+# the loan feature table as a named relation ``feat`` for queries built on it
+FEATURE_CTE = FEATURE_PREFIX + ",\nfeat as (" + FEATURE_SELECT + ")"
+
 
-@query("loan_features", _FEATURE_SQL)
+@query("loan_features", FEATURE_PREFIX + FEATURE_SELECT)
 def loan_features(spark, sf_dir):
     loans = T.loans(spark, sf_dir).select("loan", "score")
     f = P.loan_feature_table(T.panel(spark, sf_dir), loans, C, widths=WIDTHS)
