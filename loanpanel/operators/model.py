@@ -136,76 +136,88 @@ def prediction_export(res: DataFrame, key: str, label: str, y_hat: str = "Y_hat"
 # --------------------------------------------------------------------- K5: exact k-NN
 
 def knn_neighbors(train: DataFrame, test: DataFrame, key: str, features: list[str], label: str,
-                  k: int = 10, per_bucket: int = 64) -> DataFrame:
+                  k: int = 10, per_bucket: int = 64, max_buckets: int = 100_000) -> DataFrame:
     """Exact ``k`` nearest training rows (Euclidean, ties by training key) of
     every test row -> (test key, rank, neighbour key, neighbour label, sqdist).
 
-    1. project on the feature with the largest variance and cut the line
-       into buckets of about ``per_bucket`` training rows on average;
+    1. project on the feature with the largest variance and cut the line at
+       approximate quantiles of the training projection (about
+       ``per_bucket`` training rows per bucket, at most ``max_buckets``
+       buckets, so dense regions get narrow buckets);
     2. upper bound: candidates from the same and neighbouring buckets,
        widened round by round until a test row has k candidates; the k-th
        candidate distance r bounds its true k-th neighbour distance;
     3. exact pass: every training row whose projection lies within r of the
-       test row's (a band equi-join on bucket ids), top k by distance.
+       test row's (an equi-join on the bucket ids covering [p - r, p + r]),
+       top k by distance.
     Only rows inside a band are ever paired."""
+    from pyspark.ml.feature import Bucketizer
+
+    from loanpanel.session import cut_lineage
     feats = list(features)
     tr = train.select(F.col(key).alias("t_key"), F.col(label).alias("t_label"),
                       *[F.col(f).cast("double").alias(f) for f in feats]).dropna()
     te = test.select(F.col(key).alias("q_key"), *[F.col(f).cast("double").alias(f) for f in feats]).dropna()
-    st = tr.agg(F.count(F.lit(1)).alias("n"),
-                *[F.var_pop(f).alias(f"v_{i}") for i, f in enumerate(feats)],
-                *[F.min(f).alias(f"lo_{i}") for i, f in enumerate(feats)],
-                *[F.max(f).alias(f"hi_{i}") for i, f in enumerate(feats)]).first()
+    st = tr.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(f).alias(f"v_{i}") for i, f in enumerate(feats)]).first()
     n = st["n"]
     if not n:
         return te.select("q_key").limit(0)
-    j = max(range(len(feats)), key=lambda i: st[f"v_{i}"] or 0.0)
-    axis = feats[j]
-    span = (st[f"hi_{j}"] - st[f"lo_{j}"]) or 1.0
-    width = max(span * per_bucket / n, 1e-12)
-    bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    axis = feats[max(range(len(feats)), key=lambda i: st[f"v_{i}"] or 0.0)]
+    m = int(min(max(n // per_bucket, 1), max_buckets))
+    probs = [i / m for i in range(1, m)]
+    cuts = tr.agg(F.percentile_approx(axis, probs, 10 * m + 1000).alias("q")).first()["q"] if probs else []
+    inner = sorted(set(float(c) for c in cuts)) or [0.0]   # Bucketizer needs one inner split
+    splits = [float("-inf")] + inner + [float("inf")]
+
+    def bucketize(df: DataFrame, src: str, out: str) -> DataFrame:
+        b = Bucketizer(splits=splits, inputCol=src, outputCol=out + "_d", handleInvalid="keep")
+        return b.transform(df).withColumn(out, F.col(out + "_d").cast("long")).drop(out + "_d")
+
     # both sides are read once per widening round: cut their lineage once
-    from loanpanel.session import cut_lineage
-    trb = cut_lineage(tr.withColumn("__b", bucket(axis)).withColumn("__p", F.col(axis)))
-    teb = cut_lineage(te.withColumn("__b", bucket(axis)).withColumn("__p", F.col(axis)))
+    trb = cut_lineage(bucketize(tr.withColumn("__p", F.col(axis)), "__p", "__b"))
+    teb = cut_lineage(bucketize(te.withColumn("__p", F.col(axis)), "__p", "__b"))
     q_cols = ["q_key", "__p", "__b"] + feats
+    n_buckets = len(splits) - 1
 
     def top_k(cand: DataFrame) -> DataFrame:
         w = Window.partitionBy("q_key").orderBy("sqdist", "t_key")
         return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     def candidates(q: DataFrame, lo: Column, hi: Column) -> DataFrame:
-        qb = q.select(*[F.col(c).alias(c) for c in q_cols], F.explode(F.sequence(lo, hi)).alias("__jb"))
-        t = trb.select(F.col("__b").alias("__jb"), "t_key", "t_label", F.col("__p").alias("t_p"),
-                       *[F.col(f).alias(f"t_{f}") for f in feats])
-        pairs = qb.join(t, "__jb")
+        qb = q.select(*[F.col(c) for c in q_cols],
+                      F.explode(F.sequence(F.greatest(lo, F.lit(0).cast("long")),
+                                           F.least(hi, F.lit(n_buckets - 1).cast("long")))).alias("__jb"))
+        t = trb.select(F.col("__b").alias("__jb"), "t_key", "t_label", *[F.col(f).alias(f"t_{f}") for f in feats])
         d = None
         for f in feats:
             diff = F.col(f) - F.col(f"t_{f}")
             d = diff * diff if d is None else d + diff * diff
-        return pairs.select("q_key", "__p", "t_key", "t_label", "t_p", d.alias("sqdist"))
+        return qb.join(t, "__jb").select("q_key", "t_key", "t_label", d.alias("sqdist"))
 
     # 2. upper bound on the k-th distance, widening the bucket window as needed
-    bounds = None
+    need = min(k, n)
+    bounds = []
     pending = teb.select(*q_cols)
     reach = 1
-    max_reach = int(span / width) + 2
     while True:
         cand = candidates(pending, F.col("__b") - reach, F.col("__b") + reach)
         kth = top_k(cand).groupBy("q_key").agg(F.count(F.lit(1)).alias("c"), F.max("sqdist").alias("r2"))
-        done = kth.where(F.col("c") >= min(k, n)).select("q_key", "r2")
-        bounds = done if bounds is None else bounds.unionByName(done)
-        pending = pending.join(done.select("q_key"), "q_key", "left_anti")
-        if reach >= max_reach or pending.isEmpty():
+        done = cut_lineage(kth.where(F.col("c") >= need).select("q_key", "r2"))
+        bounds.append(done)
+        pending = cut_lineage(pending.join(done, "q_key", "left_anti"))
+        if reach >= n_buckets or pending.isEmpty():
             break
         reach *= 4
-    # 3. exact band join
-    qr = teb.select(*q_cols).join(bounds, "q_key")
+    bound = bounds[0]
+    for b in bounds[1:]:
+        bound = bound.unionByName(b)
+    # 3. exact band join over the buckets covering [p - r, p + r]
     r = F.sqrt(F.col("r2"))
+    qr = teb.select(*q_cols).join(bound, "q_key") \
+        .withColumn("__lo_p", F.col("__p") - r).withColumn("__hi_p", F.col("__p") + r)
+    qr = bucketize(bucketize(qr, "__lo_p", "__lo"), "__hi_p", "__hi")
     # one spare bucket on each side absorbs rounding at the band edges
-    band = candidates(qr.withColumn("__lo", F.floor((F.col("__p") - r) / F.lit(width)).cast("long") - 1)
-                        .withColumn("__hi", F.floor((F.col("__p") + r) / F.lit(width)).cast("long") + 1),
-                      F.col("__lo"), F.col("__hi"))
+    band = candidates(qr, F.col("__lo") - 1, F.col("__hi") + 1)
     return top_k(band).select("q_key", "rank", "t_key", "t_label", "sqdist")
 
 

@@ -150,20 +150,18 @@ def _with_chunks(ranked: DataFrame, cols: PanelCols, max_width: int,
                  chunk_rows: int, halo_after: int = 0) -> DataFrame:
     """Assign rows to chunks of ``chunk_rows`` consecutive positions of a loan.
 
-    The last ``max_width - 1`` rows of a chunk are also copied into the next
-    chunk (backward-looking frames) and the first ``halo_after`` rows into the
-    previous chunk (forward-looking ``lead``); ``owned`` is false on copies."""
+    A row is also copied into every later chunk whose first frame reaches
+    back to it (``max_width - 1`` rows) and into every earlier chunk whose
+    last rows look ahead to it (``halo_after`` rows); ``owned`` is false on
+    the copies."""
     halo = max(max_width - 1, 0)
-    chunk = F.floor(F.col("pos") / F.lit(chunk_rows))
-    in_chunk = F.col("pos") - chunk * F.lit(chunk_rows)
-    parts = F.array(chunk)
-    if halo:
-        parts = F.when(in_chunk >= F.lit(chunk_rows - halo), F.array_append(parts, chunk + 1)).otherwise(parts)
-    if halo_after:
-        parts = F.when((in_chunk < F.lit(halo_after)) & (chunk > 0), F.array_append(parts, chunk - 1)) \
-                 .otherwise(parts)
+    pos = F.col("pos")
+    size = F.lit(chunk_rows)
+    chunk = F.floor(pos / size)
+    first = F.greatest(F.floor((pos - F.lit(halo_after)) / size), F.lit(0)) if halo_after else chunk
+    last = F.floor((pos + F.lit(halo)) / size) if halo else chunk
     return (ranked.withColumn("_chunk", chunk)
-                  .withColumn("_part", F.explode(parts))
+                  .withColumn("_part", F.explode(F.sequence(first, last)))
                   .withColumn("owned", F.col("_part") == F.col("_chunk"))
                   .drop("_chunk"))
 
