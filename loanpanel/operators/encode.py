@@ -34,16 +34,21 @@ ZERO_BALANCE_CODES = {
 }
 ZERO_BALANCE_UNMAPPED = "00"
 
-# Static one-hot code maps (code -> column suffix).
+# Static one-hot code map of the origination prep (code -> column suffix).
 PRODUCT_TYPE_CODES = {
     "CO": "Condo", "LH": "Leasehold", "PU": "PUD", "MH": "Manufactured Housing",
     "SF": "1_4_feeSimple", "CP": "co_op", " ": "Unknown",
 }
-PROPERTY_TYPE_CODES = {"CO": "CO", "LH": "LH", "PU": "PU", "MH": "MH", "SF": "SF", "CP": "CP"}
-OCCUPANCY_CODES = {"O": "O", "I": "I", "S": "S"}
-CHANNEL_CODES = {"R": "R", "B": "B", "C": "C", "T": "T"}
-LOAN_PURPOSE_CODES = {"P": "P", "C": "C", "N": "N"}
-ZERO_BALANCE_STATIC = {"1": "1", "3": "3", "6": "6", "9": "9"}
+# Static one-hot maps of the older preps (code -> column name).
+LOAN_PURPOSE_NAMES = {"P": "purchaseIntent", "C": "cashOutRefinanceIntent", "N": "noCashOutRefinanceIntent"}
+PROPERTY_TYPE_NAMES = {
+    "CO": "condo", "LH": "leasehold", "PU": "PUD", "MH": "manufacturedHousing",
+    "SF": "14feeSimple", "CP": "co_op",
+}
+OCCUPANCY_NAMES = {"O": "ownerOccupied", "I": "investmentOccupied", "S": "secondHomeOccupied"}
+CHANNEL_NAMES = {"R": "retailChannel", "B": "brokerChannel", "C": "correspondentChannel", "T": "tpoChannel"}
+ZERO_BALANCE_NAMES = {1: "voluntaryPayoff", 3: "foreclosureAlternative", 6: "repurchasePreDisposition",
+                      9: "reoDisposition"}
 
 
 def status_to_number(df: DataFrame, column: str = "currLoanDelinqStatus",
@@ -78,13 +83,15 @@ def decode_zero_balance(column: str = "zeroBalanceCode") -> Column:
     return F.coalesce(m[code], F.lit(ZERO_BALANCE_UNMAPPED))
 
 
-def one_hot_static(df: DataFrame, column: str, codes: Mapping[str, str], prefix: str | None = None,
-                   trim: bool = False) -> DataFrame:
-    """One 0/1 column per entry of a fixed code map."""
+def one_hot_static(df: DataFrame, column: str, codes: Mapping, prefix: str | None = None,
+                   trim: bool = False, named: bool = False, drop_source: bool = False) -> DataFrame:
+    """One 0/1 column per entry of a fixed code map, named
+    ``<prefix>_<name>`` or, with ``named``, just ``<name>``."""
     prefix = prefix or column
     v = F.trim(F.col(column)) if trim else F.col(column)
-    return df.withColumns({f"{prefix}_{name}": F.when(v == F.lit(code), 1).otherwise(0)
-                           for code, name in codes.items()})
+    out = df.withColumns({(name if named else f"{prefix}_{name}"): F.when(v == F.lit(code), 1).otherwise(0)
+                          for code, name in codes.items()})
+    return out.drop(column) if drop_source else out
 
 
 def observed_values(df: DataFrame, column: str) -> list:

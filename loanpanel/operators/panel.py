@@ -331,9 +331,18 @@ def prior_default_rows(monthly: DataFrame, cols: PanelCols = PanelCols(),
     return out.drop("_part", "owned").withColumn("kept", ~F.col("mark").isin(1, 2))
 
 
-def any_default_flag(monthly: DataFrame, cols: PanelCols = PanelCols()) -> Column:
-    """G6 as an expression: 1 on every row of a loan whose max status > 0."""
-    return F.when(F.max(cols.status).over(Window.partitionBy(cols.loan)) > 0, 1).otherwise(0)
+def loan_wide(monthly: DataFrame, cols: PanelCols = PanelCols()) -> DataFrame:
+    """G3, G6, G7 on every row: ``months_in_loan``, ``any_default`` (max
+    status > 0) and ``first_month``.
+
+    Computed as one partial ``groupBy(loan)`` joined back on the loan rather
+    than a window over the whole loan: the aggregate is combined map-side,
+    and AQE splits a skewed join partition if one loan is very large."""
+    per = monthly.groupBy(cols.loan).agg(
+        F.count(F.lit(1)).alias("months_in_loan"),
+        F.when(F.max(cols.status) > 0, 1).otherwise(0).alias("any_default"),
+        F.min(cols.period).alias("first_month"))
+    return monthly.join(per, cols.loan, "inner")
 
 
 def safe_rate(num, den) -> Column:

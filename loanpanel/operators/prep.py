@@ -112,45 +112,56 @@ def prep_origination(df: DataFrame, channel_values: Iterable[str] | None = None,
     if "channel" in cols:
         out = out.withColumn("channel", F.trim("channel"))
         out = EN.one_hot_dynamic(out, "channel", channel_values).drop("channel")
-    for c, codes in (("occStatus", EN.OCCUPANCY_CODES), ("loanPurpose", EN.LOAN_PURPOSE_CODES),
-                     ("productType", EN.PRODUCT_TYPE_CODES), ("propertyType", EN.PROPERTY_TYPE_CODES)):
+    for c in ("occStatus", "loanPurpose", "propertyType", "propertyState"):
         if c in cols:
-            out = EN.one_hot_static(out, c, codes)
+            out = EN.one_hot_dynamic(out, c)
+    if "productType" in cols:
+        out = EN.one_hot_static(out, "productType", EN.PRODUCT_TYPE_CODES)
     return out
 
 
 def prep_most_recent_month(monthly: DataFrame, key: str = "loanSeqNumber",
-                           status: str = "currLoanDelinqStatus") -> DataFrame:
-    """L14 (older monthly prep): all-NULL columns dropped, zero-balance
-    static one-hot, serious-delinquency flag, Y/N flags, absolute deviation
-    of the balance, then every column suffixed ``_mostRecentMth``."""
+                           status: str = "currLoanDelinqStatus",
+                           money=("currUPB", "currDeferredUPB", "modificationCost")) -> DataFrame:
+    """L14 (older monthly prep): all-NULL columns dropped (C2); zero-balance
+    codes one-hot by name (D8) and the code dropped; unneeded dates dropped;
+    ``delinquencyFlag`` = status >= 2 or 'R' (D19); repurchase Y -> 1 (D5);
+    money columns -> absolute deviation from their mean (D18); every column
+    but the key suffixed ``_mostRecentMth`` (B14); unnamed columns dropped (B9)."""
     from loanpanel.operators import quality as Q
     out = Q.drop_all_null(monthly)
     if "zeroBalanceCode" in out.columns:
-        out = EN.one_hot_static(out, "zeroBalanceCode", EN.ZERO_BALANCE_STATIC)
+        code = strip_float_suffix("zeroBalanceCode").try_cast("int")
+        out = out.withColumns({name: F.when(code == k, 1).otherwise(0)
+                               for k, name in EN.ZERO_BALANCE_NAMES.items()}).drop("zeroBalanceCode")
+    out = out.drop("dueDateLastPaidInstallment", "Unknown")
     if status in out.columns:
-        out = out.withColumn("seriousDelinquency", EN.serious_delinquency(status))
-    for c in ("repurchaseFlag", "modificationFlag"):
-        if c in out.columns:
-            out = out.withColumn(c, yes_no_flag(c))
-    if "currUPB" in out.columns:
-        out = EN.abs_deviation(out, ["currUPB"])
-    return CL.suffix_rename(CL.drop_name_patterns(out), "_mostRecentMth", key)
+        s = F.col(status).cast("string")
+        out = out.withColumn("delinquencyFlag",
+                             F.when((s.try_cast("double") >= 2) | (F.trim(s) == "R"), 1).otherwise(0))
+    if "repurchaseFlag" in out.columns:
+        out = out.withColumn("repurchaseFlag", yes_no_flag("repurchaseFlag"))
+    present = [c for c in money if c in out.columns]
+    if present:
+        out = EN.abs_deviation(out, present)
+    return CL.drop_name_patterns(CL.suffix_rename(out, "_mostRecentMth", key))
 
 
 def prep_origination_older(orig: DataFrame, key: str = "loanSeqNumber",
                            drop: Iterable[str] = ()) -> DataFrame:
-    """L15 (older origination prep): exclusions, all-NULL and constant
-    columns dropped, static one-hots, flags, then ``_origination`` suffix."""
+    """L15 (older origination prep): all-NULL and constant columns dropped
+    (C2, C3); loan purpose, property type, occupancy and channel one-hot by
+    name with the source dropped (D8); Y/N flags (D5, D13 'Y'); listed
+    columns dropped (B8); ``_origination`` suffix (B14); unnamed columns
+    dropped (B9)."""
     from loanpanel.operators import quality as Q
-    out = Q.drop_constant(Q.drop_all_null(orig.drop(*drop)))
-    for c, codes in (("propertyType", EN.PROPERTY_TYPE_CODES), ("occStatus", EN.OCCUPANCY_CODES),
-                     ("channel", EN.CHANNEL_CODES), ("loanPurpose", EN.LOAN_PURPOSE_CODES)):
+    out = Q.drop_constant(Q.drop_all_null(orig))
+    for c, codes in (("loanPurpose", EN.LOAN_PURPOSE_NAMES), ("propertyType", EN.PROPERTY_TYPE_NAMES),
+                     ("occStatus", EN.OCCUPANCY_NAMES), ("channel", EN.CHANNEL_NAMES)):
         if c in out.columns:
-            out = EN.one_hot_static(out, c, codes, trim=(c == "channel"))
-    for c in ("firstTimeBuyFlag", "superConformingFlag"):
+            out = EN.one_hot_static(out, c, codes, trim=(c == "channel"), named=True, drop_source=True)
+    for c in ("firstTimeBuyFlag", "prepayPenaltyMtgFlag", "superConformingFlag"):
         if c in out.columns:
             out = out.withColumn(c, yes_no_flag(c))
-    if "prepayPenaltyMtgFlag" in out.columns:
-        out = out.withColumn("prepayPenaltyMtgFlag", yes_no_flag("prepayPenaltyMtgFlag", ("Y",)))
-    return CL.suffix_rename(CL.drop_name_patterns(out), "_origination", key)
+    out = out.drop(*[c for c in drop if c in out.columns])
+    return CL.drop_name_patterns(CL.suffix_rename(out, "_origination", key))

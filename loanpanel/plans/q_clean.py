@@ -116,12 +116,12 @@ def one_hot_dynamic(spark, sf_dir):
 
 
 @query("one_hot_static", T.with_ctes("dirty_loans") + """
-select loan, """ + ", ".join(f"case when trim(channel_raw) = '{c}' then 1 else 0 end as channel_{c}"
-                             for c in EN.CHANNEL_CODES) + """
+select loan, """ + ", ".join(f"case when trim(channel_raw) = '{c}' then 1 else 0 end as {n}"
+                             for c, n in EN.CHANNEL_NAMES.items()) + """
 from dirty_loans""")
 def one_hot_static(spark, sf_dir):
     d = T.dirty_loans(spark, sf_dir).select("loan", F.col("channel_raw").alias("channel"))
-    return EN.one_hot_static(d, "channel", EN.CHANNEL_CODES, trim=True).drop("channel")
+    return EN.one_hot_static(d, "channel", EN.CHANNEL_NAMES, trim=True, named=True, drop_source=True)
 
 
 @query("label_encode", T.with_ctes("dirty_loans") + """,
@@ -363,3 +363,68 @@ def origination_prep(spark, sf_dir):
         F.col("flag_raw").alias("prepayPenaltyMtgFlag"), F.col("channel_raw").alias("channel"))
     out = prep_origination(d, channel_values=_CHANNEL_VALUES, prepay_yes=_PREPAY_YES)
     return out.withColumnRenamed("loanSeqNumber", "loan")
+
+
+# ---------------------------------------------------------------- L14 / L15 older preps
+
+
+@query("recent_month_prep", T.with_ctes("dirty_months") + """,
+z as (select *, try_cast(replace(zero_code_raw, '.0', '') as int) as zb from dirty_months)
+select loan as loanSeqNumber, d as mthlyRepPeriod_mostRecentMth, status_raw as currLoanDelinqStatus_mostRecentMth,
+       """ + ", ".join(f"case when zb = {k} then 1 else 0 end as {n}_mostRecentMth"
+                       for k, n in EN.ZERO_BALANCE_NAMES.items()) + """,
+       case when try_cast(status_raw as double) >= 2 or trim(status_raw) = 'R' then 1 else 0 end
+         as delinquencyFlag_mostRecentMth,
+       round(abs(upb_raw - (select avg(upb_raw) from dirty_months)), 4) as currUPB_stzd_mostRecentMth
+from z""")
+def recent_month_prep(spark, sf_dir):
+    from loanpanel.operators.prep import prep_most_recent_month
+    d = T.dirty_months(spark, sf_dir).select(
+        F.col("loan").alias("loanSeqNumber"), F.col("d").alias("mthlyRepPeriod"),
+        F.col("status_raw").alias("currLoanDelinqStatus"), F.col("zero_code_raw").alias("zeroBalanceCode"),
+        F.col("upb_raw").alias("currUPB"), F.lit(None).cast("string").alias("dueDateLastPaidInstallment"))
+    out = prep_most_recent_month(d)
+    return out.withColumn("currUPB_stzd_mostRecentMth", rnd("currUPB_stzd_mostRecentMth", 4))
+
+
+@query("origination_prep_older", T.with_ctes("dirty_loans") + """
+select loan as loanSeqNumber, case when flag_raw = 'Y' then 1 else 0 end as firstTimeBuyFlag_origination,
+       msa as MSA_origination, round(balance, 2) as origUPB_origination, """ + ", ".join(
+    f"case when trim(channel_raw) = '{c}' then 1 else 0 end as {n}_origination"
+    for c, n in EN.CHANNEL_NAMES.items()) + """
+from dirty_loans""")
+def origination_prep_older(spark, sf_dir):
+    from loanpanel.operators.prep import prep_origination_older
+    d = T.dirty_loans(spark, sf_dir).select(
+        F.col("loan").alias("loanSeqNumber"), F.col("flag_raw").alias("firstTimeBuyFlag"),
+        F.col("msa").alias("MSA"), F.col("balance").alias("origUPB"), F.col("channel_raw").alias("channel"),
+        F.lit("freddie").alias("source"), F.lit(None).cast("string").alias("Unnamed: 0"))
+    out = prep_origination_older(d)
+    return out.withColumn("origUPB_origination", rnd("origUPB_origination", 2))
+
+
+# ---------------------------------------------------------------- B7 / B13 / C7, B16 / B17
+
+
+@query("loan_level_table", T.with_ctes("loan_months") + """
+select distinct loan, score as creditScore, round(balance, 2) as origUPB, msa as origNation from loan_months""")
+def loan_level_table(spark, sf_dir):
+    """B7 + B13 + C7: the loan table of the combined panel: key, score and
+    every ``orig*`` column, de-duplicated, key uniqueness asserted."""
+    lm = T.loan_months(spark, sf_dir).select(
+        "loan", "obs", "upb", F.col("score").alias("creditScore"), F.col("balance").alias("origUPB"),
+        F.col("msa").alias("origNation"))
+    table = CL.project_prefix(lm, "orig", keep=["loan", "creditScore"]).distinct()
+    Q.assert_unique(table, ["loan"])
+    return table.withColumn("origUPB", rnd("origUPB", 2))
+
+
+@query("numeric_promotion", T.with_ctes("dirty_loans") + """
+select cast(loan as double) as loan, score_raw, cast(first_raw as double) as first_raw,
+       cast(postal_raw as double) as postal_raw, channel_raw, flag_raw, servicer,
+       cast(msa as double) as msa, round(balance, 2) as balance from dirty_loans""")
+def numeric_promotion(spark, sf_dir):
+    """B16 + B17: numeric columns promoted to double; string columns cast
+    only when every value casts (score_raw holds blanks and stays a string)."""
+    d = CL.best_effort_numeric(CL.promote_numeric(T.dirty_loans(spark, sf_dir)))
+    return d.withColumn("balance", rnd("balance", 2))

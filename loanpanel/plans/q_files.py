@@ -188,3 +188,19 @@ def bin_stream(spark, sf_dir):
                          capacity=_CAP)
     q.awaitTermination()
     return latest_map(spark, f"{base}/map")
+
+
+@query("loans_per_file", """
+select concat('Q', cast(year(o_orderdate) as varchar)) as period, count(distinct cast(o_custkey as varchar)) as n_loans,
+       count(*) as n_rows from orders where o_orderkey % 97 <> 0 group by 1""")
+def loans_per_file(spark, sf_dir):
+    """F9 + A4/A5: distinct loans and rows per period file of a multi-file scan."""
+    o = T.table(spark, sf_dir, "orders")
+    path = D.staging_dir(spark, "monthly-files")
+    (o.select(_monthly_line().alias("value"),
+              F.concat(F.lit("Q"), F.year("o_orderdate").cast("string")).alias("period"))
+      .write.mode("overwrite").partitionBy("period").text(path))
+    df = D.load_delimited(spark, path + "/period=*/*.txt", SCAN_COLUMNS, keep_file_name=True)
+    df = df.withColumn("period", F.regexp_extract("__file", r"period=(Q[0-9]+)/", 1))
+    return df.groupBy("period").agg(F.count_distinct("loanSeqNumber").alias("n_loans"),
+                                    F.count(F.lit(1)).alias("n_rows"))

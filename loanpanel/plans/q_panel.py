@@ -130,3 +130,15 @@ def loan_features(spark, sf_dir):
         rnd("loan_months_total", 4).alias("loan_months_total"), rnd("loan_IQR", 4).alias("loan_IQR"),
         rnd("loan_Range", 2).alias("loan_Range"), rnd("UPB_var", 0).alias("UPB_var"),
         *[rnd(f"max_upb_change_rate_{m}", 4).alias(f"max_upb_change_rate_{m}") for m in WIDTHS])
+
+
+@query("loan_row_flags", T.with_ctes("panel") + """
+select loan, obs, count(*) over (partition by loan) as months_in_loan,
+       case when max(status) over (partition by loan) > 0 then 1 else 0 end as any_default,
+       min(d) over (partition by loan) as first_month
+from panel""")
+def loan_row_flags(spark, sf_dir):
+    """G3 + G6 + G7: loan-wide count, any-default flag and first month on
+    every row (one partial aggregate joined back by loan)."""
+    p = T.panel(spark, sf_dir)
+    return P.loan_wide(p, C).select("loan", "obs", "months_in_loan", "any_default", "first_month")
