@@ -22,18 +22,25 @@ def build_session(master: str | None = None, app: str = "loanpanel",
                   shuffle_partitions: int | None = None) -> SparkSession:
     """Create (or reuse) a session with the library's defaults.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or *]``; on a cluster the
-    caller passes nothing and the launcher's master wins.
+    Without a cluster (no ``master`` and no ``SPARK_MASTER``) the session is
+    ``local[$BENCH_CPUS or *]`` with a small shuffle-partition count.  On a
+    cluster the launcher's master and sizing win; only AQE, the UTC clock and
+    the UI switch are set, and AQE coalesces the shuffle partitions at run time.
     """
     builder = SparkSession.builder.appName(app)
-    if master is None and not os.environ.get("SPARK_MASTER"):
+    local = master is None and not os.environ.get("SPARK_MASTER")
+    if local:
         master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("LOANPANEL_SHUFFLE_PARTITIONS", "8"))
+    if local or (master or "").startswith("local"):
+        parts = shuffle_partitions or int(os.environ.get("LOANPANEL_SHUFFLE_PARTITIONS", "8"))
+        builder = (builder.config("spark.sql.shuffle.partitions", str(parts))
+                          .config("spark.driver.memory", os.environ.get("LOANPANEL_DRIVER_MEMORY", "16g")))
+    elif shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
         builder
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -41,7 +48,6 @@ def build_session(master: str | None = None, app: str = "loanpanel",
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("LOANPANEL_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
