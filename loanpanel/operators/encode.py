@@ -94,9 +94,19 @@ def one_hot_static(df: DataFrame, column: str, codes: Mapping, prefix: str | Non
     return out.drop(column) if drop_source else out
 
 
-def observed_values(df: DataFrame, column: str) -> list:
-    """Sorted distinct non-NULL values (one aggregate; bounded by cardinality)."""
-    return sorted(r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().collect())
+MAX_CODES = 10_000  # a code column with more distinct values is not a code column
+
+
+def observed_values(df: DataFrame, column: str, max_values: int = MAX_CODES) -> list:
+    """Sorted distinct non-NULL values of a code column (one aggregate).
+
+    At most ``max_values + 1`` values ever reach the driver; a column with
+    more is refused rather than collected."""
+    vals = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct()
+            .limit(max_values + 1).collect()]
+    if len(vals) > max_values:
+        raise ValueError(f"{column} has more than {max_values} distinct values; pass the code list")
+    return sorted(vals)
 
 
 def one_hot_dynamic(df: DataFrame, column: str, values: Iterable | None = None,
@@ -112,6 +122,7 @@ def label_encode(df: DataFrame, column: str, out: str | None = None, fill: str |
     """Sorted distinct values -> 0..k-1 (``StringIndexer`` in alphabetical order)."""
     from pyspark.ml.feature import StringIndexer
     src = df.fillna({column: fill}) if fill is not None else df
+    observed_values(src, column)  # the fitted label list lives on the driver: check its size first
     tmp = f"__{column}_idx"
     model = StringIndexer(inputCol=column, outputCol=tmp, stringOrderType="alphabetAsc",
                           handleInvalid="keep").fit(src)

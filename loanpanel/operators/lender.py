@@ -96,14 +96,18 @@ def outlier_shares(flagged: DataFrame) -> DataFrame:
 
 
 def leave_one_out_means(df: DataFrame, servicer: str = "servicerName", msa: str = "MSA",
-                        period: str = "Month", score: str = "creditScore") -> DataFrame:
+                        period: str = "Month", score: str = "creditScore",
+                        exclude: str | None = OTHER_SERVICERS) -> DataFrame:
     """F8: per servicer x region x period cell, the sample statistics and the
     mean score of all *other* servicers in the same region and period.
 
     Cells are aggregated first; a window over the (region, period) cells
     subtracts each cell from the region-period totals, replacing the
     source's per-cell rescans.  Cells without other servicers are dropped.
+    Rows of the catch-all servicer ``exclude`` are removed first (B12).
     """
+    if exclude is not None:
+        df = exclude_servicer(df, servicer, exclude)
     base = df.where(F.col(msa).isNotNull() & F.col(period).isNotNull() & F.col(score).isNotNull())
     s = F.col(score).cast("double")
     cells = base.groupBy(msa, period, servicer).agg(
@@ -119,7 +123,8 @@ def leave_one_out_means(df: DataFrame, servicer: str = "servicerName", msa: str
 
 
 def adverse_selection_ttest(df: DataFrame, servicer: str = "servicerName", msa: str = "MSA",
-                            period: str = "Month", score: str = "creditScore") -> DataFrame:
+                            period: str = "Month", score: str = "creditScore",
+                            exclude: str | None = OTHER_SERVICERS) -> DataFrame:
     """One-sample t-test of a servicer's scores in a region and period
     against the leave-one-out mean of the other servicers (F8).
 
@@ -128,7 +133,7 @@ def adverse_selection_ttest(df: DataFrame, servicer: str = "servicerName", msa:
     undefined (n < 2, or zero spread with equal means) are dropped; a
     zero-spread cell with a different mean keeps ``t`` NULL and ``p`` 0.
     """
-    c = leave_one_out_means(df, servicer, msa, period, score).where(F.col("n") >= 2)
+    c = leave_one_out_means(df, servicer, msa, period, score, exclude).where(F.col("n") >= 2)
     diff = F.col("mean") - F.col("pop_mean")
     se = F.col("sd") / F.sqrt(F.col("n").cast("double"))
     c = c.where(~((F.col("sd") == 0) & (diff == 0)))

@@ -204,3 +204,82 @@ def loans_per_file(spark, sf_dir):
     df = df.withColumn("period", F.regexp_extract("__file", r"period=(Q[0-9]+)/", 1))
     return df.groupBy("period").agg(F.count_distinct("loanSeqNumber").alias("n_loans"),
                                     F.count(F.lit(1)).alias("n_rows"))
+
+
+def _fields_line(fields):
+    """Pipe-join fields, writing NULL as an empty field (concat_ws would skip it)."""
+    return F.concat_ws("|", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields])
+
+
+@query("origination_load", T.with_ctes("dirty_loans") + f""",
+c as (select * from dirty_loans
+      where score_raw is not null and not contains(score_raw, ' ') and try_cast(score_raw as int) is not null
+        and length(cast(try_cast(score_raw as int) as varchar)) in (2, 3)
+        and length(trim(first_raw)) in (5, 6))
+select cast(loan as varchar) as loanSeqNumber, try_cast(score_raw as int) as creditScore,
+       cast(try_strptime(first_raw, '%Y%m') as date) as firstPaymentDate,
+       cast(try_strptime(cast(cast(substr(first_raw, 1, 4) as int) + 30 as varchar) || '01', '%Y%m') as date)
+         as maturityDate,
+       cast(msa as varchar) as MSA, round(balance, 2) as origUPB, 360 as origLoanTerm, 2 as borrowers,
+       servicer as servicerName
+from c""")
+def origination_load(spark, sf_dir):
+    """A6 (+ A1, A10, A11, B1-B4): customers written as 26-column origination
+    files and loaded back through the origination loader."""
+    from loanpanel import schema as S
+    d = T.dirty_loans(spark, sf_dir)
+    values = {
+        "creditScore": F.col("score_raw"), "firstPaymentDate": F.col("first_raw"),
+        "firstTimeBuyFlag": F.col("flag_raw"),
+        "maturityDate": F.concat((F.substring("first_raw", 1, 4).cast("int") + 30).cast("string"), F.lit("01")),
+        "MSA": F.col("msa"), "mtgInsurancePct": F.lit("000"), "numberUnits": F.lit("1"),
+        "occStatus": F.lit("O"), "origCLTV": F.lit(""), "origDTI": F.lit("   "),
+        "origUPB": F.format_string("%.2f", F.col("balance")), "origLTV": F.lit("80"),
+        "origInterestRate": F.lit("6.5"), "channel": F.col("channel_raw"),
+        "prepayPenaltyMtgFlag": F.lit("N"), "productType": F.lit("FRM"), "propertyState": F.lit("XX"),
+        "propertyType": F.lit("SF"), "postalCode": F.col("postal_raw"), "loanSeqNumber": F.col("loan"),
+        "loanPurpose": F.lit("P"), "origLoanTerm": F.lit("360"), "borrowers": F.lit("2"),
+        "sellerName": F.col("servicer"), "servicerName": F.col("servicer"), "superConformingFlag": F.lit(""),
+    }
+    path = D.staging_dir(spark, "origination-files")
+    d.select(_fields_line([values[c] for c in S.ORIGINATION_COLUMNS]).alias("value")) \
+        .repartition(3).write.mode("overwrite").text(path)
+    o = D.load_origination(spark, path)
+    return o.select("loanSeqNumber", "creditScore", "firstPaymentDate", "maturityDate", "MSA",
+                    rnd("origUPB", 2).alias("origUPB"), "origLoanTerm", "borrowers", "servicerName")
+
+
+@query("monthly_load", T.with_ctes("dirty_months") + """,
+z as (select cast(loan as varchar) as loanSeqNumber, d, cast(date_trunc('month', d) as date) as mthlyRepPeriod,
+             round(upb_raw, 2) as currUPB, status_raw, zero_code_raw from dirty_months)
+select loanSeqNumber, mthlyRepPeriod,
+       round(coalesce(currUPB, (select median(currUPB) from z)), 4) as currUPB,
+       coalesce(try_cast(replace(trim(status_raw), 'R', '7') as double), 0.0) as currLoanDelinqStatus,
+       coalesce(case (case when length(replace(zero_code_raw, '.0', '')) < 2
+                           then lpad(replace(zero_code_raw, '.0', ''), 2, '0')
+                           else replace(zero_code_raw, '.0', '') end)
+             when '00' then 'unknown' when '01' then 'prepaid_matured' when '03' then 'foreclosure_alternative'
+             when '06' then 'repurchase' when '09' then 'REO_disposition' end, '00') as zeroBalanceCode,
+       0.0 as expenses, 0 as repurchaseFlag
+from z""")
+def monthly_load(spark, sf_dir):
+    """A7 + L12: orders written as 24-column monthly performance files, loaded
+    back through the monthly loader and prepared by the monthly pipeline."""
+    from loanpanel import schema as S
+    from loanpanel.operators.prep import prep_monthly
+    d = T.dirty_months(spark, sf_dir)
+    blank = F.lit(None).cast("string")
+    values = {c: blank for c in S.MONTHLY_COLUMNS}
+    values.update({
+        "loanSeqNumber": F.col("loan"), "mthlyRepPeriod": F.date_format("d", "yyyyMM"),
+        "currUPB": F.format_string("%.2f", F.col("upb_raw")), "currLoanDelinqStatus": F.col("status_raw"),
+        "repurchaseFlag": F.lit("N"), "zeroBalanceCode": F.col("zero_code_raw"),
+    })
+    path = D.staging_dir(spark, "monthly-files")
+    d.select(_fields_line([values[c] for c in S.MONTHLY_COLUMNS]).alias("value")) \
+        .repartition(3).write.mode("overwrite").text(path)
+    m = D.load_monthly(spark, path)
+    p = prep_monthly(m.select("loanSeqNumber", "mthlyRepPeriod", "currUPB", "currLoanDelinqStatus",
+                              "zeroBalanceCode", "expenses", "repurchaseFlag"))
+    return p.select("loanSeqNumber", "mthlyRepPeriod", rnd("currUPB", 4).alias("currUPB"),
+                    "currLoanDelinqStatus", "zeroBalanceCode", "expenses", "repurchaseFlag")

@@ -117,7 +117,8 @@ def outlier_shares(spark, sf_dir):
 # The oracle states the leave-one-out mean as a correlated subquery over the
 # rows (the literal per-cell rescan), independent of the Spark window algebra.
 _LOO_SQL = _MONTH_ROWS_SQL + """,
-b2 as (select * from b where MSA is not null and Month is not null and creditScore is not null),
+b2 as (select * from b where MSA is not null and Month is not null and creditScore is not null
+          and servicerName is distinct from 'Other servicers'),
 cells as (select servicerName, MSA, Month, count(creditScore) as n, avg(creditScore) as mean,
                  stddev_samp(creditScore) as sd
           from b2 where servicerName is not null group by servicerName, MSA, Month),

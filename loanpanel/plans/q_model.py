@@ -108,7 +108,10 @@ def forest(spark, sf_dir):
 
 
 def _neighbours(spark, sf_dir):
-    s = _split(spark, sf_dir)
+    # the feature table feeds several passes (statistics, quantiles, rounds,
+    # scoring): materialise it once in the shared checkpoint folder
+    from loanpanel.session import cut_lineage
+    s = cut_lineage(_split(spark, sf_dir))
     train, test = s.where(~F.col("is_test")), s.where("is_test")
     return M.knn_neighbors(train, test, "loan", FEATURES, LABEL, k=max(KS)), test
 
