@@ -87,16 +87,19 @@ def period_level(panel: DataFrame, cols: PanelCols = PanelCols(),
 
 
 def ranked_rows(panel: DataFrame, cols: PanelCols = PanelCols(),
-                window_months: int = DEFAULT_WINDOW_MONTHS) -> DataFrame:
+                window_months: int = DEFAULT_WINDOW_MONTHS, with_pos: bool = True) -> DataFrame:
     """G1 + G2 + L4 at row level: every panel row with its period facts.
 
-    Adds ``mth_of_loan``, ``loan_months_total``, ``in_history`` and ``pos``
-    (0-based position of the row in the loan's (period, tiebreak) order).
+    Adds ``mth_of_loan``, ``loan_months_total``, ``in_history`` and, with
+    ``with_pos``, ``pos`` (0-based position of the row in the loan's
+    (period, tiebreak) order; a window over (loan, period) only).
     """
     per = period_level(panel, cols, window_months).select(
         cols.loan, cols.period, "rows_before", "mth_of_loan", "loan_months_total", "in_history")
     rows = panel.where(F.col(cols.loan).isNotNull() & F.col(cols.period).isNotNull())
     joined = rows.join(per, [cols.loan, cols.period], "inner")
+    if not with_pos:
+        return joined.drop("rows_before")
     w_tie = Window.partitionBy(cols.loan, cols.period).orderBy(*_order_within_period(cols))
     return joined.withColumn("pos", F.col("rows_before") + F.row_number().over(w_tie) - 1) \
                  .drop("rows_before")
@@ -105,9 +108,9 @@ def ranked_rows(panel: DataFrame, cols: PanelCols = PanelCols(),
 def history_target_split(panel: DataFrame, cols: PanelCols = PanelCols(),
                          window_months: int = DEFAULT_WINDOW_MONTHS) -> DataFrame:
     """L4: label each row 'history' or 'target' (history ∪ target = panel)."""
-    r = ranked_rows(panel, cols, window_months)
+    r = ranked_rows(panel, cols, window_months, with_pos=False)
     return r.withColumn("window", F.when(F.col("in_history"), "history").otherwise("target")) \
-            .drop("in_history", "pos")
+            .drop("in_history")
 
 
 # --------------------------------------------------------------------------
@@ -191,7 +194,7 @@ def add_variability_measures(panel: DataFrame, cols: PanelCols = PanelCols(),
                              window_months: int = DEFAULT_WINDOW_MONTHS) -> DataFrame:
     """``loan_IQR`` (exact linear-interpolated percentiles), ``loan_Range``
     and ``UPB_var`` (sample variance) of history balances per loan."""
-    r = ranked_rows(panel, cols, window_months).where("in_history")
+    r = ranked_rows(panel, cols, window_months, with_pos=False).where("in_history")
     return r.groupBy(cols.loan).agg(*_variability_aggs(F.lit(True), cols))
 
 
