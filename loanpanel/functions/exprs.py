@@ -75,6 +75,24 @@ def delinquency_number(c: ColumnOrName) -> Column:
     return F.coalesce((F.replace(s, F.lit("R"), F.lit("7"))).try_cast("double"), F.lit(0.0))
 
 
+# Above this many degrees of freedom the exact series (dof/2 terms) gives way to
+# a normal approximation with a 1/dof correction, so no row builds a long array.
+LARGE_DOF = 10_000
+# Abramowitz & Stegun 26.2.17 normal-CDF approximation (|error| < 7.5e-8).
+NCDF_P = 0.2316419
+NCDF_B = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
+def normal_upper_tail(z: Column) -> Column:
+    """P(Z > |z|) for a standard normal Z."""
+    a = F.abs(z)
+    t = 1.0 / (1.0 + NCDF_P * a)
+    poly = F.lit(0.0)
+    for b in reversed(NCDF_B):
+        poly = (poly + b) * t
+    return F.exp(-a * a / 2.0) / math.sqrt(2 * math.pi) * poly
+
+
 def two_sided_t_pvalue(t: ColumnOrName, dof: ColumnOrName) -> Column:
     """Two-sided p-value of Student's t with integer degrees of freedom, no UDF.
 
@@ -83,7 +101,8 @@ def two_sided_t_pvalue(t: ColumnOrName, dof: ColumnOrName) -> Column:
       odd dof : p = 1 - (2/pi) * (theta + sin(theta) * sum_k a_k cos^(2k+1) theta)
       even dof: p = 1 - sin(theta) * sum_k b_k cos^(2k) theta
     where the terms follow from a running product, evaluated with
-    ``aggregate(sequence(...))`` inside codegen.
+    ``aggregate(sequence(...))`` inside codegen.  Above ``LARGE_DOF``:
+    2 * P(Z > z), z = |t| (1 - 1/(4 dof)) / sqrt(1 + t^2 / (2 dof)).
     """
     t = col(t).cast("double")
     v = col(dof).cast("long")
@@ -99,14 +118,26 @@ def two_sided_t_pvalue(t: ColumnOrName, dof: ColumnOrName) -> Column:
         return F.struct((acc["term"] * ratio * c2).alias("term"),
                         (acc["total"] + acc["term"]).alias("total"))
 
-    series = F.aggregate(F.sequence(F.lit(0), F.greatest(k_max, F.lit(0))), acc0, step)["total"]
+    k_cap = F.least(F.greatest(k_max, F.lit(0)), F.lit(LARGE_DOF // 2))
+    series = F.aggregate(F.sequence(F.lit(0), k_cap), acc0, step)["total"]
     series = F.when(k_max < 0, F.lit(0.0)).otherwise(series)
     p_odd = 1 - (2 / math.pi) * (theta + F.sin(theta) * series)
     p_even = 1 - F.sin(theta) * series
-    p = F.when(odd, p_odd).otherwise(p_even)
+    vd = v.cast("double")
+    z = F.abs(t) * (1 - 1 / (4 * vd)) / F.sqrt(1 + t * t / (2 * vd))
+    p = F.when(v > LARGE_DOF, 2 * normal_upper_tail(z)).when(odd, p_odd).otherwise(p_even)
     return F.when(v >= 1, F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
 
 
+def _upper_tail_sql(z: str) -> str:
+    a = f"abs({z})"
+    t = f"(1.0 / (1.0 + {NCDF_P!r} * {a}))"
+    poly = "0.0"
+    for b in reversed(NCDF_B):
+        poly = f"(({poly}) + {b!r}) * {t}"
+    return f"(exp(-{a} * {a} / 2.0) / {math.sqrt(2 * math.pi)!r} * {poly})"
+
+
 def t_pvalue_sql(t: str, dof: str) -> str:
     """The same p-value as DuckDB SQL text (used by the oracle)."""
     th = f"atan(abs({t}) / sqrt({dof}))"
@@ -116,6 +147,8 @@ def t_pvalue_sql(t: str, dof: str) -> str:
     even_sum = (f"coalesce(list_sum(list_transform(range(0, cast(floor(({dof} - 2) / 2) as bigint) + 1), "
                 f"lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - 2 * k * ln(2)) "
                 f"* pow(cos({th}), 2 * k))), 0)")
-    return (f"case when {dof} >= 1 then least(greatest(case when {dof} % 2 = 1 "
+    z = f"(abs({t}) * (1 - 1 / (4 * cast({dof} as double))) / sqrt(1 + {t} * {t} / (2 * cast({dof} as double))))"
+    return (f"case when {dof} >= 1 then least(greatest(case when {dof} > {LARGE_DOF} "
+            f"then 2 * {_upper_tail_sql(z)} when {dof} % 2 = 1 "
             f"then 1 - (2 / pi()) * ({th} + sin({th}) * {odd_sum}) "
             f"else 1 - sin({th}) * {even_sum} end, 0.0), 1.0) end")

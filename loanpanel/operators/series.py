@@ -17,6 +17,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanpanel.functions.exprs import NCDF_B as _AS_B
+from loanpanel.functions.exprs import NCDF_P as _AS_P
+from loanpanel.functions.exprs import normal_upper_tail
+
 # MacKinnon (2010) response-surface coefficients for the
 # Dickey-Fuller critical values, constant-only regression, one variable:
 # crit(T) = b_inf + b1/T + b2/T^2 + b3/T^3.
@@ -32,9 +36,6 @@ DF_P_TAU_MIN = -18.83
 DF_P_TAU_STAR = -1.61
 DF_P_SMALL = (2.1659, 1.4412, 0.038269)
 DF_P_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
-# Abramowitz & Stegun 26.2.17 normal-CDF approximation.
-_AS_P = 0.2316419
-_AS_B = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 
 MIN_SERIES = 10
 
@@ -61,12 +62,7 @@ def rolling_stats(series: DataFrame, region: str = "MSA", period: str = "firstPa
 
 def normal_cdf(x: Column) -> Column:
     """Standard normal CDF (A&S 26.2.17, |error| < 7.5e-8)."""
-    z = F.abs(x)
-    t = 1.0 / (1.0 + _AS_P * z)
-    poly = F.lit(0.0)
-    for b in reversed(_AS_B):
-        poly = (poly + b) * t
-    upper = F.exp(-z * z / 2.0) / math.sqrt(2 * math.pi) * poly
+    upper = normal_upper_tail(x)
     return F.when(x >= 0, 1.0 - upper).otherwise(upper)
 
 

@@ -96,3 +96,21 @@ def test_panel_dates_are_dates(spark):
     r = T.panel(spark, SF_SMALL).select("d", "month").first()
     assert isinstance(r.d, dt.date) and r.month.day == 1
     assert T.panel(spark, SF_SMALL).where(F.col("status").isNull()).count() == 0
+
+
+def test_hot_loan_is_split_across_chunks(spark):
+    """One loan with a third of all rows: no (loan, chunk) group exceeds the
+    chunk size plus its halo, and the features equal the unchunked ones."""
+    hot = [(1, i, dt.date(2000, 1, 1) + dt.timedelta(days=i), float(1000 - (i * 7) % 13), i % 3)
+           for i in range(600)]
+    cold = [(100 + k, 10_000 + k * 10 + j, dt.date(2000, 1, 1) + dt.timedelta(days=j), float(50 + j), 0)
+            for k in range(60) for j in range(20)]
+    p = spark.createDataFrame(hot + cold, "loan long, obs long, d date, upb double, status int")
+    ranked = P.ranked_rows(p, C)
+    chunked = P._with_chunks(ranked, C, 3, 50)
+    biggest = chunked.groupBy("loan", "_part").count().agg(F.max("count")).first()[0]
+    assert biggest <= 50 + 2
+    loans = p.select("loan").distinct().withColumn("score", F.lit(700))
+    a = P.loan_feature_table(p, loans, C)
+    b = P.loan_feature_table(p, loans, C, chunk_rows=50)
+    assert _rows(a, "loan") == _rows(b, "loan")

@@ -99,3 +99,12 @@ def test_models_run(spark):
     assert len(coefs) == len(QM.FEATURES) + 1
     acc = {r.k: r.accuracy for r in QM.knn(spark, SF_SMALL).collect()}
     assert set(acc) == set(range(1, 11)) and all(0.0 <= a <= 1.0 for a in acc.values())
+
+
+def test_t_pvalue_large_dof_uses_bounded_approximation(spark):
+    # for huge dof t is close to normal: 1.959964 -> 0.05; no long arrays are built
+    r = spark.range(1).select(two_sided_t_pvalue(F.lit(1.959964), F.lit(50_000_000)).alias("p")).first()
+    assert r.p == pytest.approx(0.05, abs=1e-6)
+    near = spark.range(1).select(two_sided_t_pvalue(F.lit(2.0), F.lit(10_000)).alias("a"),
+                                 two_sided_t_pvalue(F.lit(2.0), F.lit(10_001)).alias("b")).first()
+    assert near.a == pytest.approx(near.b, abs=1e-6)
