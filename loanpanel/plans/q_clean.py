@@ -168,7 +168,7 @@ def coded_flag(spark, sf_dir):
 @query("month_parts", T.with_ctes("dirty_loans") + f""",
 p as (select loan, first_raw, {_parse_sql('first_raw')} as first_raw_date from dirty_loans)
 select loan, first_raw, first_raw_date, strftime(first_raw_date, '%Y-%m') as first_raw_month,
-       year(first_raw_date) as first_raw_year from p""")
+       cast(year(first_raw_date) as int) as first_raw_year from p""")
 def month_parts(spark, sf_dir):
     d = T.dirty_loans(spark, sf_dir).select("loan", "first_raw")
     return EN.month_parts(d, "first_raw")

@@ -260,7 +260,7 @@ select loanSeqNumber, mthlyRepPeriod,
                            else replace(zero_code_raw, '.0', '') end)
              when '00' then 'unknown' when '01' then 'prepaid_matured' when '03' then 'foreclosure_alternative'
              when '06' then 'repurchase' when '09' then 'REO_disposition' end, '00') as zeroBalanceCode,
-       0.0 as expenses, 0 as repurchaseFlag
+       cast(0.0 as double) as expenses, 0 as repurchaseFlag
 from z""")
 def monthly_load(spark, sf_dir):
     """A7 + L12: orders written as 24-column monthly performance files, loaded

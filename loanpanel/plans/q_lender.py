@@ -97,7 +97,7 @@ o as (select b.*, m.mm, m.ms,
 
 @query("score_outliers", _OUTLIER_SQL + """
 select loan, MSA, creditScore, round(mm, 6) as MSACreditScore_mean, round(ms, 6) as MSACreditScore_std,
-       creditScoreOutlier_over, creditScoreOutlier_under, year(firstPaymentDate) as year
+       creditScoreOutlier_over, creditScoreOutlier_under, cast(year(firstPaymentDate) as int) as year
 from o""")
 def score_outliers(spark, sf_dir):
     o = L.score_outliers(_loan_rows(spark, sf_dir))
