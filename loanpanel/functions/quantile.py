@@ -8,6 +8,7 @@ bracket refinement instead:
 1. one pass counts the non-null values ``n``; the wanted order statistics
    are ranks ``floor(q(n-1))`` and ``ceil(q(n-1))`` (linear interpolation,
    the same definition as numpy / ``percentile`` / ``quantile_cont``);
+   (up to ``direct_max`` values a single exact ``percentile`` pass is used);
 2. while the bracket holding those ranks has more than ``max_collect``
    values, ``percentile_approx`` proposes split points inside it and one
    aggregate pass counts the values below each split, which narrows the
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_COLLECT = 200_000
+DIRECT_MAX = 1_000_000   # up to this many values one ``percentile`` pass is used
 SPLITS = 64
 
 
@@ -34,12 +36,21 @@ def _ranks(n: int, q: float) -> tuple[int, int, float]:
     return lo, int(math.ceil(pos)), pos - lo
 
 
-def exact_quantiles(df: DataFrame, column: str, qs, max_collect: int = DEFAULT_MAX_COLLECT) -> list:
-    """Exact linear-interpolated quantiles of ``column`` (NULLs ignored)."""
+def exact_quantiles(df: DataFrame, column: str, qs, max_collect: int = DEFAULT_MAX_COLLECT,
+                    direct_max: int = DIRECT_MAX) -> list:
+    """Exact linear-interpolated quantiles of ``column`` (NULLs ignored).
+
+    Columns of at most ``direct_max`` values take one ``percentile`` pass
+    (its merged buffer holds at most that many distinct values); larger
+    ones are narrowed by bracket refinement."""
+    qs = list(qs)
     vals = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     n = vals.count()
     if n == 0:
         return [None for _ in qs]
+    if n <= direct_max:
+        got = vals.agg(F.percentile("v", F.array(*[F.lit(float(q)) for q in qs])).alias("p")).first()["p"]
+        return list(got)
     out = []
     for q in qs:
         k0, k1, frac = _ranks(n, q)
