@@ -41,6 +41,19 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deeper panel: a user's events as the loan's rows (many rows per day)."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("user_id").alias("loan"),
+        F.col("event_id").alias("obs"),
+        F.col("ts").cast("date").alias("d"),
+        F.col("value").alias("upb"),
+        F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "click", 1).otherwise(0)
+         .alias("status"),
+    )
+
+
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select(
@@ -114,6 +127,11 @@ PANEL_SQL = """panel as (
          o_totalprice as upb, 5 - cast(substr(o_orderpriority, 1, 1) as int) as status
   from orders)"""
 
+EVENT_PANEL_SQL = """panel as (
+  select user_id as loan, event_id as obs, cast(ts as date) as d, value as upb,
+         case when event_type = 'error' then 2 when event_type = 'click' then 1 else 0 end as status
+  from events)"""
+
 LOANS_SQL = """loans as (
   select c_custkey as loan, c_mktsegment as servicer, c_nationkey as msa,
          cast(300 + (c_custkey * 37) % 551 as int) as score, c_acctbal as balance

@@ -142,3 +142,21 @@ def loan_row_flags(spark, sf_dir):
     every row (one partial aggregate joined back by loan)."""
     p = T.panel(spark, sf_dir)
     return P.loan_wide(p, C).select("loan", "obs", "months_in_loan", "any_default", "first_month")
+
+
+_EVENT_FEATURE_SQL = (FEATURE_PREFIX.replace(T.with_ctes("panel", "loans"),
+                                             "with " + T.EVENT_PANEL_SQL + ",\nloans as (select distinct loan from panel)")
+                      + FEATURE_SELECT.replace("select l.loan, l.score,", "select l.loan,"))
+
+
+@query("event_panel_features", _EVENT_FEATURE_SQL)
+def event_panel_features(spark, sf_dir):
+    """L10 on the deeper panel (users' events; heavy ties within a day)."""
+    p = T.event_panel(spark, sf_dir)
+    users = p.select("loan").distinct()
+    f = P.loan_feature_table(p, users, C, widths=WIDTHS)
+    return f.select(
+        "loan", "default_in_window", "prev_defaults", "prev_defaults_sum", "months_in_default",
+        rnd("loan_months_total", 4).alias("loan_months_total"), rnd("loan_IQR", 4).alias("loan_IQR"),
+        rnd("loan_Range", 2).alias("loan_Range"), rnd("UPB_var", 0).alias("UPB_var"),
+        *[rnd(f"max_upb_change_rate_{m}", 4).alias(f"max_upb_change_rate_{m}") for m in WIDTHS])
