@@ -29,7 +29,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanpanel.functions.exprs import safe_div
 
 DEFAULT_WINDOW_MONTHS = 3
 DEFAULT_CHUNK_ROWS = 1_000_000
@@ -346,7 +345,3 @@ def loan_wide(monthly: DataFrame, cols: PanelCols = PanelCols()) -> DataFrame:
         F.when(F.max(cols.status) > 0, 1).otherwise(0).alias("any_default"),
         F.min(cols.period).alias("first_month"))
     return monthly.join(per, cols.loan, "inner")
-
-
-def safe_rate(num, den) -> Column:
-    return safe_div(num, den)

@@ -17,8 +17,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanpanel.functions.exprs import NCDF_B as _AS_B
-from loanpanel.functions.exprs import NCDF_P as _AS_P
+from loanpanel.functions.exprs import NCDF_B as _AS_B  # noqa: F401  (re-exported for the SQL twin)
+from loanpanel.functions.exprs import NCDF_P as _AS_P  # noqa: F401
 from loanpanel.functions.exprs import normal_upper_tail
 
 # MacKinnon (2010) response-surface coefficients for the
