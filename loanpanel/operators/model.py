@@ -196,17 +196,19 @@ def knn_neighbors(train: DataFrame, test: DataFrame, key: str, features: list[st
 
     # 2. upper bound on the k-th distance, widening the bucket window as needed
     need = min(k, n)
+    n_test = teb.count()
     bounds = []
     pending = teb.select(*q_cols)
-    reach = 1
+    reach, n_done = 1, 0
     while True:
         cand = candidates(pending, F.col("__b") - reach, F.col("__b") + reach)
         kth = top_k(cand).groupBy("q_key").agg(F.count(F.lit(1)).alias("c"), F.max("sqdist").alias("r2"))
         done = cut_lineage(kth.where(F.col("c") >= need).select("q_key", "r2"))
         bounds.append(done)
-        pending = cut_lineage(pending.join(done, "q_key", "left_anti"))
-        if reach >= n_buckets or pending.isEmpty():
+        n_done += done.count()
+        if n_done >= n_test or reach >= n_buckets:
             break
+        pending = cut_lineage(pending.join(done, "q_key", "left_anti"))
         reach *= 4
     bound = bounds[0]
     for b in bounds[1:]:

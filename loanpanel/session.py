@@ -44,6 +44,10 @@ def build_session(master: str | None = None, app: str = "loanpanel",
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # exact percentiles keep one value-count map per group; hash up to 4,096
+        # groups per task before sorting (a loan's map is at most its months, so
+        # this stays tens of MB per task), instead of the default 128
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
