@@ -13,8 +13,8 @@ exact and stays inside one scan:
 Every record is kept (the file has no header line).  Types come from an
 explicit cast spec (``try_cast``: a bad value becomes NULL, never an
 error) and month codes from a date spec.  Globs and directories read all
-their files in one scan; file choice by a period token filters on the
-scan's file-path metadata (file or folder names).
+their files in one scan; file choice by a period token keeps only the
+matching paths at listing time, so other files are never opened.
 """
 
 from __future__ import annotations
@@ -49,14 +49,15 @@ def load_delimited(spark: SparkSession, path: str | list[str], columns: list[str
     if bad_lines not in ("skip", "error", "keep"):
         raise ValueError("bad_lines must be skip, error or keep")
     paths = [path] if isinstance(path, str) else list(path)
-    raw = spark.read.text(paths)
-    fname = F.col("_metadata.file_path")
     if period_tokens:
+        # A5: choose files by a token in their path at listing time, so only
+        # the chosen files are ever scanned
         toks = list(period_tokens)
-        cond = F.lit(False)
-        for t in toks:
-            cond = cond | fname.contains(t)
-        raw = raw.where(cond)
+        paths = [f for f in list_files(spark, paths) if any(t in f for t in toks)]
+        if not paths:
+            return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+    raw = spark.read.text(paths)
+    fname = F.col("_metadata.file_path")
     if nrows is not None:
         raw = raw.withColumn("__line", F.monotonically_increasing_id()).orderBy("__line").limit(nrows)
     n = len(columns)
@@ -80,6 +81,32 @@ def load_delimited(spark: SparkSession, path: str | list[str], columns: list[str
     return out
 
 
+def list_files(spark: SparkSession, paths: Iterable[str]) -> list[str]:
+    """Expand globs and directories into data files (hidden and ``_`` files skipped),
+    through the Hadoop file system the scan itself uses."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out: list[str] = []
+
+    def walk(status):
+        name = status.getPath().getName()
+        if name.startswith((".", "_")):
+            return
+        if status.isDirectory():
+            fs = status.getPath().getFileSystem(conf)
+            for child in fs.listStatus(status.getPath()):
+                walk(child)
+        else:
+            out.append(status.getPath().toString())
+
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        for st in (fs.globStatus(hp) or []):
+            walk(st)
+    return sorted(out)
+
+
 def _regex_escape(sep: str) -> str:
     return "".join("\\" + ch if ch in ".^$*+?()[]{}|\\" else ch for ch in sep)
 
