@@ -116,6 +116,8 @@ def _neighbours(spark, sf_dir):
     return M.knn_neighbors(train, test, "loan", FEATURES, LABEL, k=max(KS)), test
 
 
+# The oracle is plain brute force (every test row against every training row),
+# run by DuckDB only; the Spark side never forms that product.
 _SQD = " + ".join(f"(te.{f} - tr.{f}) * (te.{f} - tr.{f})" for f in FEATURES)
 _KNN_SQL = FEATURE_CTE + f""",
 d as (select * from feat where """ + " and ".join(f"{f} is not null" for f in FEATURES) + f"""),
