@@ -115,3 +115,19 @@ def test_hot_loan_is_split_across_chunks(spark):
     a = P.loan_feature_table(p, loans, C)
     b = P.loan_feature_table(p, loans, C, chunk_rows=50)
     assert _rows(a, "loan") == _rows(b, "loan")
+
+
+def test_knn_exact_with_heavy_tie_on_first_axis(spark):
+    rng = np.random.default_rng(9)
+    a = np.where(rng.random(400) < 0.6, 100.0, rng.normal(size=400) * 80.0)   # 60 % share one value
+    pts = np.column_stack([a, rng.normal(size=400) * 5.0, rng.normal(size=400)])
+    lab = (pts[:, 2] > 0).astype(int)
+    df = spark.createDataFrame([(i, int(lab[i]), *map(float, pts[i])) for i in range(400)],
+                               "id long, y int, a double, b double, c double")
+    train, test = df.where("id % 4 <> 0"), df.where("id % 4 = 0")
+    got = M.knn_neighbors(train, test, "id", ["a", "b", "c"], "y", k=4, per_bucket=8)
+    got = {(r.q_key, r.rank): r.t_key for r in got.collect()}
+    tr_ids = [i for i in range(400) if i % 4]
+    for q in [i for i in range(400) if i % 4 == 0]:
+        d = sorted((float(((pts[q] - pts[t]) ** 2).sum()), t) for t in tr_ids)[:4]
+        assert [got[(q, r)] for r in range(1, 5)] == [t for _, t in d]
