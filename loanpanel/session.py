@@ -23,7 +23,7 @@ def build_session(master: str | None = None, app: str = "loanpanel",
     """Create (or reuse) a session with the library's defaults.
 
     Without a cluster (no ``master`` and no ``SPARK_MASTER``) the session is
-    ``local[$BENCH_CPUS or *]`` with a small shuffle-partition count.  On a
+    ``local[$BENCH_CPUS or *]`` with one shuffle partition per core.  On a
     cluster the launcher's master and sizing win; only AQE, the UTC clock and
     the UI switch are set, and AQE coalesces the shuffle partitions at run time.
     """
@@ -34,7 +34,9 @@ def build_session(master: str | None = None, app: str = "loanpanel",
     if master:
         builder = builder.master(master)
     if local or (master or "").startswith("local"):
-        parts = shuffle_partitions or int(os.environ.get("LOANPANEL_SHUFFLE_PARTITIONS", "8"))
+        cores = master[len("local["):-1] if master.startswith("local[") else "1"
+        cores = str(os.cpu_count() or 8) if cores in ("*", "") else cores
+        parts = shuffle_partitions or int(os.environ.get("LOANPANEL_SHUFFLE_PARTITIONS", cores))
         builder = (builder.config("spark.sql.shuffle.partitions", str(parts))
                           .config("spark.driver.memory", os.environ.get("LOANPANEL_DRIVER_MEMORY", "16g")))
     elif shuffle_partitions:
