@@ -24,8 +24,15 @@ def safe_div(num: ColumnOrName, den: ColumnOrName) -> Column:
 
 
 def rnd(c: ColumnOrName, digits: int) -> Column:
-    """Round a double for stable comparison across engines."""
-    return F.round(col(c).cast("double"), digits)
+    """Round a double to ``digits`` decimals for comparison across engines.
+
+    Computed as round(x * 10^d) / 10^d on the double itself (half away from
+    zero on the scaled value), which is the arithmetic SQL engines such as
+    DuckDB use; Spark's own ``round(x, d)`` rounds the exact decimal value
+    of the double instead, and the two disagree on values within one ulp of
+    a half."""
+    scale = float(10 ** digits)
+    return F.round(col(c).cast("double") * F.lit(scale), 0) / F.lit(scale)
 
 
 def month_start(c: ColumnOrName) -> Column:

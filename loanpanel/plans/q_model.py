@@ -58,7 +58,7 @@ def gram(spark, sf_dir):
     v = F.col("value")
     e = F.floor(F.log10(F.abs(v))).cast("int")
     return g.select("col_i", "col_j",
-                    F.when(v == 0, F.lit(0.0)).otherwise(F.round(v / F.pow(F.lit(10.0), e), 9)).alias("mantissa"),
+                    F.when(v == 0, F.lit(0.0)).otherwise(rnd(v / F.pow(F.lit(10.0), e), 9)).alias("mantissa"),
                     F.when(v == 0, F.lit(0)).otherwise(e).alias("exponent"))
 
 

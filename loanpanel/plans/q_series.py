@@ -13,15 +13,26 @@ from loanpanel.plans import driver_tables as T
 from loanpanel.plans.registry import query
 
 STATS = ("upb", "status", "score", "balance")
+MONEY = ("upb", "balance")   # averaged in whole cents: integer sums are exact in every engine
 
 
 def _series(spark, sf_dir):
-    lm = T.loan_months(spark, sf_dir).select(F.col("msa").alias("MSA"), "month", *STATS)
-    return S.msa_series(lm, STATS, "MSA", "month")
+    lm = T.loan_months(spark, sf_dir).select(
+        F.col("msa").alias("MSA"), "month",
+        *[F.round(F.col(s) * 100).cast("long").alias(s) if s in MONEY else F.col(s) for s in STATS])
+    series = S.msa_series(lm, STATS, "MSA", "month")
+    return series.withColumn("value", F.when(F.col("stat").isin(*MONEY), F.col("value") / 100.0)
+                             .otherwise(F.col("value")))
+
+
+def _avg_sql(s: str) -> str:
+    if s in MONEY:
+        return f"avg(cast(round({s} * 100) as bigint)) / 100.0 as {s}"
+    return f"avg(cast({s} as double)) as {s}"
 
 
 _SERIES_SQL = T.with_ctes("loan_months") + """,
-w as (select msa as MSA, month, """ + ", ".join(f"avg(cast({s} as double)) as {s}" for s in STATS) + """
+w as (select msa as MSA, month, """ + ", ".join(_avg_sql(s) for s in STATS) + """
       from loan_months where msa is not null and month is not null group by msa, month),
 s as (""" + "\nunion all\n".join(f"select MSA, month, '{s}' as stat, {s} as value from w" for s in STATS) + ")"
 
