@@ -74,3 +74,54 @@ def test_feature_table_matches_brute_force(spark, rows, chunk):
     for loan, rec in want.items():
         for col, val in rec.items():
             assert _same(got[loan][col], val), (loan, col, got[loan][col], val)
+
+
+cell_row = st.tuples(st.sampled_from(["A", "B", "C", "Other servicers"]),   # servicer
+                     st.sampled_from(["m1", "m2"]),                          # MSA
+                     st.sampled_from(["2001-01", "2001-02"]),                # month
+                     st.integers(300, 850))                                  # score
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(cell_row, min_size=1, max_size=80))
+def test_leave_one_out_ttest_matches_brute_force(spark, rows):
+    from loanpanel.operators import lender as L
+    df = spark.createDataFrame(rows, "servicerName string, MSA string, Month string, creditScore int")
+    got = {(r.servicerName, r.MSA, r.Month): r for r in L.adverse_selection_ttest(df).collect()}
+    pdf = pd.DataFrame(rows, columns=["servicerName", "MSA", "Month", "creditScore"])
+    pdf = pdf[pdf.servicerName != "Other servicers"]
+    want = {}
+    for (s, m, mo), g in pdf.groupby(["servicerName", "MSA", "Month"]):
+        others = pdf[(pdf.MSA == m) & (pdf.Month == mo) & (pdf.servicerName != s)]
+        if len(others) == 0 or len(g) < 2:
+            continue
+        mean, sd, n = g.creditScore.mean(), g.creditScore.std(ddof=1), len(g)
+        pop = others.creditScore.mean()
+        if sd == 0 and mean == pop:
+            continue
+        want[(s, m, mo)] = None if sd == 0 else (mean - pop) / (sd / math.sqrt(n))
+    assert set(got) == set(want)
+    for key, t in want.items():
+        assert _same(got[key].t, t)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 3)), min_size=1, max_size=40),
+       st.sampled_from([1, 3, 1_000_000]))
+def test_prior_default_marks_match_shift_semantics(spark, rows, chunk):
+    base = dt.date(2001, 1, 1)
+    data = [(loan, i, base + dt.timedelta(days=i), 1.0, s) for i, (loan, s) in enumerate(rows)]
+    sdf = spark.createDataFrame(data, "loan long, obs long, d date, upb double, status int")
+    got = {r.obs: (r.prior_mth, r.mark) for r in P.prior_default_rows(sdf, C, 60, chunk_rows=chunk).collect()}
+    want = {}
+    pdf = pd.DataFrame(data, columns=["loan", "obs", "d", "upb", "status"])
+    for loan, g in pdf.groupby("loan"):
+        crossed = (g.sort_values(["d", "obs"]).status >= 2).astype(int).tolist()
+        if not any(crossed):
+            continue
+        obs = g.sort_values(["d", "obs"]).obs.tolist()
+        prior = [1 if i + 2 < len(crossed) and crossed[i + 2] == 1 else 0 for i in range(len(crossed))]
+        for i, o in enumerate(obs):
+            mark = 2 if i > 0 and prior[i - 1] == 1 else prior[i]
+            want[o] = (prior[i], mark)
+    assert got == want
