@@ -210,6 +210,24 @@ def add_upb_max_change_rate(panel: DataFrame, cols: PanelCols = PanelCols(),
         F.max(F.when(owned, F.col(f"_rate_{m}"))).alias(f"max_upb_change_rate_{m}") for m in widths])
 
 
+def upb_change_rate_all_widths(panel: DataFrame, cols: PanelCols = PanelCols(),
+                               window_months: int = DEFAULT_WINDOW_MONTHS,
+                               chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """L9 as the source computes it: every width 1..M-1 (M = most history rows
+    of any loan), returned long as (loan, width, max_upb_change_rate) for the
+    widths a loan has enough history rows for."""
+    widths = all_widths(panel, cols, window_months)
+    if not widths:
+        return panel.sparkSession.createDataFrame(
+            [], f"{cols.loan} long, width int, max_upb_change_rate double")
+    wide = add_upb_max_change_rate(panel, cols, window_months, widths=widths, chunk_rows=chunk_rows)
+    long = wide.unpivot(cols.loan, [f"max_upb_change_rate_{m}" for m in widths], "__name",
+                        "max_upb_change_rate")
+    return (long.where(F.col("max_upb_change_rate").isNotNull())
+                .select(cols.loan, F.regexp_extract("__name", r"(\d+)$", 1).cast("int").alias("width"),
+                        "max_upb_change_rate"))
+
+
 def all_widths(panel: DataFrame, cols: PanelCols = PanelCols(),
                window_months: int = DEFAULT_WINDOW_MONTHS) -> list[int]:
     """The source's width list 1..M-1, M = most history rows of any loan

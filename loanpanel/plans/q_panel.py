@@ -160,3 +160,20 @@ def event_panel_features(spark, sf_dir):
         rnd("loan_months_total", 4).alias("loan_months_total"), rnd("loan_IQR", 4).alias("loan_IQR"),
         rnd("loan_Range", 2).alias("loan_Range"), rnd("UPB_var", 0).alias("UPB_var"),
         *[rnd(f"max_upb_change_rate_{m}", 4).alias(f"max_upb_change_rate_{m}") for m in WIDTHS])
+
+
+@query("upb_change_rate_all", T.with_ctes("panel") + _RANKED_SQL + """,
+h as (select loan, upb, row_number() over (partition by loan order by d, obs) - 1 as pos
+      from t where in_history),
+pr as (select a.loan, a.pos as p, b.pos as q, b.upb from h a join h b on a.loan = b.loan and b.pos <= a.pos),
+c as (select loan, p, p - q + 1 as width,
+             max(upb) over (partition by loan, p order by q desc rows between unbounded preceding and current row) as hi,
+             min(upb) over (partition by loan, p order by q desc rows between unbounded preceding and current row) as lo
+      from pr)
+select loan, cast(width as int) as width, round(max((hi - lo) / width), 4) as max_upb_change_rate
+from c where width <= (select max(n) - 1 from (select count(*) as n from h group by loan))
+group by loan, width""")
+def upb_change_rate_all(spark, sf_dir):
+    """L9 literal: every width 1..M-1, long format (loan, width, rate)."""
+    r = P.upb_change_rate_all_widths(T.panel(spark, sf_dir), C)
+    return r.select("loan", "width", rnd("max_upb_change_rate", 4).alias("max_upb_change_rate"))
