@@ -81,6 +81,9 @@ def period_level(panel: DataFrame, cols: PanelCols = PanelCols(),
     per = per.withColumn("rows_before", before)
     per = per.withColumn("mth_of_loan", (F.col("rows_before") + 1).cast("int"))
     per = per.withColumn("loan_months_total", F.max("mth_of_loan").over(w_all))
+    per = (per.withColumn("loan_rows", F.sum("n_rows").over(w_all))
+              .withColumn("loan_max_status", F.max("max_status").over(w_all))
+              .withColumn("loan_first_period", F.min(cols.period).over(w_all)))
     return per.withColumn(
         "in_history", F.col("mth_of_loan") < F.col("loan_months_total") - F.lit(window_months))
 
@@ -94,7 +97,8 @@ def ranked_rows(panel: DataFrame, cols: PanelCols = PanelCols(),
     (period, tiebreak) order; a window over (loan, period) only).
     """
     per = period_level(panel, cols, window_months).select(
-        cols.loan, cols.period, "rows_before", "mth_of_loan", "loan_months_total", "in_history")
+        cols.loan, cols.period, "rows_before", "mth_of_loan", "loan_months_total", "in_history",
+        "loan_rows", "loan_max_status", "loan_first_period")
     rows = panel.where(F.col(cols.loan).isNotNull() & F.col(cols.period).isNotNull())
     joined = rows.join(per, [cols.loan, cols.period], "inner")
     if not with_pos:
@@ -337,9 +341,11 @@ def prior_default_rows(monthly: DataFrame, cols: PanelCols = PanelCols(),
     also holding the first two rows of the next one, so no task holds a
     whole loan."""
     thr = status_for_days(delinq_days_min)
-    crossed_loans = (monthly.where(F.col(cols.status) >= thr).select(cols.loan).distinct())
-    rows = monthly.join(crossed_loans, cols.loan, "left_semi")
-    r = ranked_rows(rows, cols).drop("in_history", "mth_of_loan", "loan_months_total")
+    # loans that ever crossed: a loan-wide max from the period table, joined on
+    # (loan, period) with the ranks, so a hot loan is never routed to one task
+    r = (ranked_rows(monthly, cols).where(F.col("loan_max_status") >= thr)
+         .drop("in_history", "mth_of_loan", "loan_months_total", "loan_rows", "loan_max_status",
+               "loan_first_period"))
     ch = _with_chunks(r, cols, 1, chunk_rows, halo_after=2)
     w = Window.partitionBy(cols.loan, "_part").orderBy("pos")
     crossed = F.when(F.col(cols.status) >= thr, 1).otherwise(0)
@@ -355,11 +361,12 @@ def loan_wide(monthly: DataFrame, cols: PanelCols = PanelCols()) -> DataFrame:
     """G3, G6, G7 on every row: ``months_in_loan``, ``any_default`` (max
     status > 0) and ``first_month``.
 
-    Computed as one partial ``groupBy(loan)`` joined back on the loan rather
-    than a window over the whole loan: the aggregate is combined map-side,
-    and AQE splits a skewed join partition if one loan is very large."""
-    per = monthly.groupBy(cols.loan).agg(
-        F.count(F.lit(1)).alias("months_in_loan"),
-        F.when(F.max(cols.status) > 0, 1).otherwise(0).alias("any_default"),
-        F.min(cols.period).alias("first_month"))
-    return monthly.join(per, cols.loan, "inner")
+    The loan-wide values are windows over the loan's periods (the
+    pre-aggregated period table) and reach the rows through the
+    (loan, period) join, so even a very large loan is spread over tasks."""
+    r = ranked_rows(monthly, cols, with_pos=False)
+    out = (r.withColumn("months_in_loan", F.col("loan_rows"))
+            .withColumn("any_default", F.when(F.col("loan_max_status") > 0, 1).otherwise(0))
+            .withColumn("first_month", F.col("loan_first_period")))
+    return out.drop("mth_of_loan", "loan_months_total", "in_history", "loan_rows", "loan_max_status",
+                    "loan_first_period")
