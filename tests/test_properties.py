@@ -125,3 +125,17 @@ def test_prior_default_marks_match_shift_semantics(spark, rows, chunk):
             mark = 2 if i > 0 and prior[i - 1] == 1 else prior[i]
             want[o] = (prior[i], mark)
     assert got == want
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(0, 500), min_size=1, max_size=120), st.integers(1, 9), st.integers(1, 40))
+def test_bins_match_row_number_definition(spark, keys, parts, cap):
+    from loanpanel.sources import bins as B
+    df = spark.createDataFrame([(k,) for k in keys], "loanSeqNumber long")
+    idx = {r.loanSeqNumber: r.idx for r in B.dense_index(df, "loanSeqNumber", partitions=parts).collect()}
+    assert idx == {k: i for i, k in enumerate(sorted(set(keys)))}
+    m = {r.loanSeqNumber: (r.binNumber, r.binOccupancy) for r in B.create_bins(df, capacity=cap).collect()}
+    n = len(set(keys))
+    for k, i in idx.items():
+        b = i // cap
+        assert m[k] == (b, min(cap, n - b * cap))
