@@ -64,6 +64,28 @@ def exact_median(df: DataFrame, column: str, max_collect: int = DEFAULT_MAX_COLL
     return exact_quantiles(df, column, [0.5], max_collect)[0]
 
 
+def exact_medians(df: DataFrame, columns, max_collect: int = DEFAULT_MAX_COLLECT,
+                  direct_max: int = DIRECT_MAX) -> dict:
+    """Exact medians of several columns: one counting pass for all of them,
+    one ``percentile`` pass for every column of at most ``direct_max``
+    values, bracket refinement only for larger ones."""
+    cols = list(columns)
+    if not cols:
+        return {}
+    ok = {c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols}
+    counts = df.agg(*[F.count(F.when(ok[c], True)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    small = [c for i, c in enumerate(cols) if 0 < counts[f"n{i}"] <= direct_max]
+    out = {c: None for i, c in enumerate(cols) if counts[f"n{i}"] == 0}
+    if small:
+        r = df.agg(*[F.percentile(F.when(ok[c], F.col(c).cast("double")), 0.5).alias(f"m{i}")
+                     for i, c in enumerate(small)]).first()
+        out.update({c: r[f"m{i}"] for i, c in enumerate(small)})
+    for c in cols:
+        if c not in out:
+            out[c] = exact_quantiles(df, c, [0.5], max_collect, direct_max)[0]
+    return out
+
+
 def _order_stat(vals: DataFrame, n: int, k: int, max_collect: int) -> float:
     """Value of 0-based rank ``k`` among ``n`` values."""
     lo, hi = None, None          # bracket [lo, hi) as value bounds (None = open)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanpanel.functions.exprs import parse_yyyymm
-from loanpanel.functions.quantile import exact_median
+from loanpanel.functions.quantile import exact_medians
 
 
 def clean_scores(df: DataFrame, score: str = "creditScore") -> DataFrame:
@@ -77,13 +77,11 @@ def best_effort_numeric(df: DataFrame, columns: Iterable[str] | None = None) ->
 
 
 def median_impute(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """NULL -> exact column median, each column its own median (the
-    median is found by distributed bracket refinement, then inlined as a literal)."""
-    fills = {}
-    for c in columns:
-        m = exact_median(df, c)
-        fills[c] = F.coalesce(F.col(c).cast("double"), F.lit(m).cast("double"))
-    return df.withColumns(fills)
+    """NULL -> exact column median, each column its own median (all
+    columns' medians from shared aggregate passes, then inlined as literals)."""
+    meds = exact_medians(df, list(columns))
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m).cast("double"))
+                           for c, m in meds.items()})
 
 
 def constant_fill(df: DataFrame, values: dict) -> DataFrame:

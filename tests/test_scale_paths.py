@@ -131,3 +131,13 @@ def test_knn_exact_with_heavy_tie_on_first_axis(spark):
     for q in [i for i in range(400) if i % 4 == 0]:
         d = sorted((float(((pts[q] - pts[t]) ** 2).sum()), t) for t in tr_ids)[:4]
         assert [got[(q, r)] for r in range(1, 5)] == [t for _, t in d]
+
+
+def test_exact_medians_batch_equals_single(spark):
+    from loanpanel.functions.quantile import exact_median, exact_medians
+    p = T.panel(spark, SF_SMALL).select("upb", "status", F.lit(None).cast("double").alias("empty"))
+    got = exact_medians(p, ["upb", "status", "empty"])
+    assert got["upb"] == exact_median(p, "upb") and got["status"] == exact_median(p, "status")
+    assert got["empty"] is None
+    forced = exact_medians(p, ["upb"], max_collect=40, direct_max=0)
+    assert forced["upb"] == pytest.approx(got["upb"], rel=1e-12)
