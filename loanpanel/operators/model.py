@@ -135,6 +135,22 @@ def prediction_export(res: DataFrame, key: str, label: str, y_hat: str = "Y_hat"
 
 # --------------------------------------------------------------------- K5: exact k-NN
 
+def dedupe_for_knn(tr: DataFrame, feats: list[str], k: int, salts: int = 64) -> DataFrame:
+    """Keep, for every distinct feature vector, its ``k`` smallest training keys.
+
+    Identical points are tied for every query and ties go to the smaller key,
+    so no other copy can ever enter a top-k: the reduction is exact.  It is a
+    two-level top-k, first per (vector, salt) and then per vector over at
+    most ``salts * k`` survivors, so a heavily duplicated vector is spread
+    over many tasks."""
+    salt = F.pmod(F.xxhash64("t_key"), F.lit(salts))
+    w1 = Window.partitionBy(*feats, "__salt").orderBy("t_key")
+    w2 = Window.partitionBy(*feats).orderBy("t_key")
+    first = (tr.withColumn("__salt", salt).withColumn("__r", F.row_number().over(w1))
+               .where(F.col("__r") <= k).drop("__salt", "__r"))
+    return first.withColumn("__r", F.row_number().over(w2)).where(F.col("__r") <= k).drop("__r")
+
+
 def knn_neighbors(train: DataFrame, test: DataFrame, key: str, features: list[str], label: str,
                   k: int = 10, per_bucket: int = 64, max_buckets: int = 100_000,
                   axes: int = 2) -> DataFrame:
@@ -151,13 +167,16 @@ def knn_neighbors(train: DataFrame, test: DataFrame, key: str, features: list[st
     3. exact pass: every training row in the cells covering the box
        [x_a - r, x_a + r] on each axis (the box contains the ball of radius
        r), joined on the cell id, top k by distance.
-    Only rows inside a box are ever paired."""
+    Only rows inside a box are ever paired, and copies of a training point
+    beyond its k smallest keys are dropped first (exactly; see
+    :func:`dedupe_for_knn`)."""
     from pyspark.ml.feature import Bucketizer
 
     from loanpanel.session import cut_lineage
     feats = list(features)
     tr = train.select(F.col(key).alias("t_key"), F.col(label).alias("t_label"),
                       *[F.col(f).cast("double").alias(f) for f in feats]).dropna()
+    tr = cut_lineage(dedupe_for_knn(tr, feats, k))
     te = test.select(F.col(key).alias("q_key"), *[F.col(f).cast("double").alias(f) for f in feats]).dropna()
     st = tr.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(f).alias(f"v_{i}") for i, f in enumerate(feats)]).first()
     n = st["n"]

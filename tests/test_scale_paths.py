@@ -141,3 +141,19 @@ def test_exact_medians_batch_equals_single(spark):
     assert got["empty"] is None
     forced = exact_medians(p, ["upb"], max_collect=40, direct_max=0)
     assert forced["upb"] == pytest.approx(got["upb"], rel=1e-12)
+
+
+def test_knn_exact_with_duplicate_points(spark):
+    rng = np.random.default_rng(11)
+    pts = rng.normal(size=(300, 2)) * np.array([10.0, 1.0])
+    pts[:150] = pts[0]                                  # half the rows are one identical point
+    lab = (rng.random(300) < 0.5).astype(int)
+    df = spark.createDataFrame([(i, int(lab[i]), *map(float, pts[i])) for i in range(300)],
+                               "id long, y int, a double, b double")
+    train, test = df.where("id % 3 <> 0"), df.where("id % 3 = 0")
+    got = M.knn_neighbors(train, test, "id", ["a", "b"], "y", k=5, per_bucket=8)
+    got = {(r.q_key, r.rank): (r.t_key, r.t_label) for r in got.collect()}
+    tr_ids = [i for i in range(300) if i % 3]
+    for q in [i for i in range(300) if i % 3 == 0]:
+        d = sorted((float(((pts[q] - pts[t]) ** 2).sum()), t) for t in tr_ids)[:5]
+        assert [got[(q, r)] for r in range(1, 6)] == [(t, int(lab[t])) for _, t in d]
