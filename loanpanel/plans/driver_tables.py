@@ -26,10 +26,12 @@ PANEL_COLS = PanelCols(loan="loan", period="d", upb="upb", status="status", tieb
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table (parquet) by name."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly rows: loan, obs (tie-break), d (period), month, upb (balance), status (0-4)."""
     o = table(spark, sf_dir, "orders")
     return o.select(
         F.col("o_custkey").alias("loan"),
@@ -55,6 +57,7 @@ def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loan rows: loan, servicer, msa, score (300-850), balance."""
     c = table(spark, sf_dir, "customer")
     return c.select(
         F.col("c_custkey").alias("loan"),
@@ -71,6 +74,7 @@ def loan_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dirty_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loan rows as raw strings with the origination files' defects (FIXTURES.md §3)."""
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     score = (F.when(k % 13 == 0, F.lit(None).cast("string"))
@@ -97,6 +101,7 @@ def dirty_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dirty_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly rows as raw strings with the performance files' defects (FIXTURES.md §3)."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     status = (F.when(k % 29 == 0, F.lit("R"))

@@ -45,4 +45,5 @@ MAX_BIN_OCCUPANCY = 10_000
 
 
 def string_schema(columns) -> StructType:
+    """All-string schema for reading a file layout before typing it."""
     return StructType([StructField(c, StringType(), True) for c in columns])
