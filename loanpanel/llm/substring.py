@@ -8,9 +8,9 @@ The routing: a window's anchor is the least hash of its short word n-grams, so e
 anchors. Neighbouring windows mostly share an anchor; such a run of windows is one passage. Anchors that
 stand at one place only cannot belong to a repeated window; they are counted out first, over all
 documents. What is left is grouped to distinct passages with their number of copies (so thousands of
-copies of a page are one passage), and goes to the shard of its anchor. An anchor with many distinct
-passages (a phrase that stands in a third of all documents) is dealt out further, window by window, by
-the window's own content: no shard grows with the number of copies or of contexts.
+copies of a page are one passage), and goes to the shard of its anchor. An anchor whose distinct
+passages would overfill a shard (a phrase that stands in a third of all documents) is dealt out further,
+by anchors of longer n-grams, in the end by each window's own content: no shard grows with the number of copies or of contexts.
 """
 
 from __future__ import annotations
@@ -27,8 +27,7 @@ from loanpanel.llm.automaton import SuffixAutomaton
 from loanpanel.llm.common import NON_SPACE, Powers, sliding_min, span_hashes, utf8, word_hashes, write_stage
 
 GRAM = 8                # words of an anchor's n-gram
-MANY = 256              # distinct passages of one anchor from which its windows are dealt out singly
-SHARD_WORDS = 200_000   # words of one automaton; the passages of one anchor stay together
+SHARD_WORDS = 200_000   # words of one automaton; an anchor whose distinct passages hold more is dealt out further
 
 ANCHOR = "array<struct<v:bigint,s:int,e:int,n:int>>"
 
@@ -75,7 +74,8 @@ def _scan(width: int, gram: int):
     return run
 
 
-SEGMENT = "key binary, copies long, s int, v long, digest binary, words binary"
+SEGMENT = "key binary, copies long, s int, v long, digest binary, n int, words binary"
+FOUND = "v long, digest binary, spans array<struct<a:int,b:int>>"
 
 
 def _digest(data: bytes) -> bytes:
@@ -92,30 +92,36 @@ def _segments(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([key] * len(runs), pa.binary()), pa.array([copies] * len(runs), pa.int64()),
                      pa.array([r["s"] for r in runs], pa.int32()), pa.array([r["v"] for r in runs], pa.int64()),
-                     pa.array([_digest(p) for p in parts], pa.binary()), pa.array(parts, pa.binary())],
-                    ["key", "copies", "s", "v", "digest", "words"])
+                     pa.array([_digest(p) for p in parts], pa.binary()), pa.array([r["e"] - r["s"] + width for r in runs], pa.int32()), pa.array(parts, pa.binary())],
+                    ["key", "copies", "s", "v", "digest", "n", "words"])
     return run
 
 
-def _single_windows(width: int):
-    """Each window of a passage as a passage of its own, with a route of its own content."""
+FINER = "v long, digest binary, at int, copies long, v2 long, digest2 binary, n int, places long, words binary"
+
+
+def _finer_passages(width: int, gram: int):
+    """Each passage cut to the runs of its anchors under a longer n-gram; at ``width`` words, an anchor is
+    the window itself."""
     def run(batches):
-        for b in batches:
-            for key, copies, s, words in zip(*(c.to_pylist() for c in b.columns)):
-                w = words.split(b" ")
-                parts = [b" ".join(w[i:i + width]) for i in range(len(w) - width + 1)]
-                digests = [_digest(p) for p in parts]
-                n = len(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * n, pa.binary()), pa.array([copies] * n, pa.int64()), pa.array(range(s, s + n), pa.int32()),
-                     pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()),
-                     pa.array(digests, pa.binary()), pa.array(parts, pa.binary())],
-                    ["key", "copies", "s", "v", "digest", "words"])
+        powers = Powers()
+        with np.errstate(over="ignore"):
+            for b in batches:
+                for v, digest, copies, words in zip(*(c.to_pylist() for c in b.columns)):
+                    w = words.split(b" ")
+                    v2, first, last, places = _anchor_runs(word_hashes(words, NON_SPACE, powers)[0], width, gram, powers)
+                    parts = [b" ".join(w[i:j + width]) for i, j in zip(first.tolist(), last.tolist())]
+                    k = len(parts)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([v] * k, pa.int64()), pa.array([digest] * k, pa.binary()), pa.array(first, pa.int32()), pa.array([copies] * k, pa.int64()),
+                         pa.array(v2, pa.int64()), pa.array([_digest(p) for p in parts], pa.binary()), pa.array(last - first + width, pa.int32()),
+                         pa.array(places, pa.int64()), pa.array(parts, pa.binary())],
+                        ["v", "digest", "at", "copies", "v2", "digest2", "n", "places", "words"])
     return run
 
 
 def _repeats(width: int, shard_words: int):
-    """Streams the passages of one task, anchor by anchor, through automata of about ``shard_words``
+    """Streams the passages of one task, anchor by anchor, through automata of at most ``shard_words``
     words, and returns the windows of each that stand at two places or more."""
     def settle(shard):
         ids: dict[bytes, int] = {}
@@ -133,19 +139,50 @@ def _repeats(width: int, shard_words: int):
             ["v", "digest", "spans"])
 
     def run(batches):
-        shard, size = [], 0
+        shard, size, group, held = [], 0, [], 0         # the automaton's passages, and those of one anchor
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if size >= shard_words and row[0] != shard[-1][0]:
-                    yield settle(shard)
-                    shard, size = [], 0
-                shard.append(row)
-                size += row[3].count(b" ") + 1
-        if shard:
+                if group and row[0] != group[0][0]:
+                    if shard and size + held > shard_words:
+                        yield settle(shard)
+                        shard, size = [], 0
+                    shard += group
+                    size, group, held = size + held, [], 0
+                group.append(row)
+                held += row[3].count(b" ") + 1
+        if shard and size + held > shard_words:
             yield settle(shard)
+            shard = []
+        if shard or group:
+            yield settle(shard + group)
     return run
 
 
+def _settled(distinct: DataFrame, width: int, finer: list[int], shard_words: int) -> DataFrame:
+    """(v, digest, spans): the repeated windows of distinct passages (v, digest, copies, words, n). Anchors
+    that would overfill a shard go on to the next of the ``finer`` n-grams; there, passages whose anchor
+    stands at one place only are done with."""
+    def in_shards(rows: DataFrame) -> DataFrame:
+        rows = rows.select("v", "digest", "copies", "words").repartition("v").sortWithinPartitions("v")
+        return rows.mapInArrow(_repeats(width, shard_words), FOUND)
+
+    if not finer:               # an anchor is one window by now, or one word over and over
+        return in_shards(distinct)
+    crowded = write_stage(distinct.groupBy("v").agg(F.sum("n").alias("n")).where(F.col("n") > shard_words).select("v"), "repeat-crowded")
+    cut = write_stage(distinct.join(crowded, "v", "left_semi").select("v", "digest", "copies", "words")
+                      .mapInArrow(_finer_passages(width, finer[0]), FINER), "repeat-finer")
+    below = write_stage(cut.groupBy(F.col("v2").alias("v"), F.col("digest2").alias("digest")).agg(
+        F.sum("copies").alias("copies"), F.first("words").alias("words"), F.first("n").alias("n"), F.first("places").alias("places")), "repeat-distinct")
+    again = write_stage(below.groupBy("v").agg(F.sum(F.col("copies") * F.col("places")).alias("places")).where("places > 1").select("v"), "repeat-anchors")
+    below = write_stage(below.join(again, "v", "left_semi"), "repeat-distinct")
+    found = write_stage(_settled(below, width, finer[1:], shard_words), "repeat-found")
+    found = found.select(F.col("v").alias("v2"), F.col("digest").alias("digest2"), "spans")
+    up = (cut.select("v", "digest", "at", "v2", "digest2").join(found, ["v2", "digest2"])
+          .select("v", "digest", "at", F.explode("spans").alias("x"))
+          .groupBy("v", "digest").agg(F.collect_set(F.struct((F.col("x.a") + F.col("at")).alias("a"), (F.col("x.b") + F.col("at")).alias("b"))).alias("spans")))
+    return in_shards(distinct.join(crowded, "v", "left_anti")).union(up)
+
+
 def _kept(width: int):
     """What is left of a text: (key, n_removed, digest of the kept words, their text)."""
     def run(batches):
@@ -165,7 +202,7 @@ def _kept(width: int):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, gram: int = GRAM,
-                   many: int = MANY, shard_words: int = SHARD_WORDS, with_text: bool = False) -> DataFrame:
+                   shard_words: int = SHARD_WORDS, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) of every row: what is left of its text when
     each word under a repeated window of ``width`` words is removed.
 
@@ -189,13 +226,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = write_stage(texts.join(in_text, "key"), "repeat-texts")          # each text once, if any of it may repeat
 
     parts = write_stage(texts.select("key", "copies", "text", "runs").mapInArrow(_segments(width), SEGMENT), "repeat-passages")
-    crowded = write_stage(parts.select("v", "digest").distinct().groupBy("v").count().where(F.col("count") > many).select("v"), "repeat-crowded")
-    single = parts.join(crowded, "v", "left_semi").select("key", "copies", "s", "words").mapInArrow(_single_windows(width), SEGMENT)
-    parts = parts.join(crowded, "v", "left_anti").select(*single.columns).union(single)
-
-    distinct = parts.groupBy("v", "digest").agg(F.sum("copies").alias("copies"), F.first("words").alias("words"))
-    shards = distinct.repartition("v").sortWithinPartitions("v").select("v", "digest", "copies", "words")
-    found = write_stage(shards.mapInArrow(_repeats(width, shard_words), "v long, digest binary, spans array<struct<a:int,b:int>>"), "repeat-found")
+    distinct = write_stage(parts.groupBy("v", "digest").agg(F.sum("copies").alias("copies"), F.first("words").alias("words"), F.first("n").alias("n")), "repeat-distinct")
+    found = write_stage(_settled(distinct, width, [(gram + width) // 2, width], shard_words), "repeat-found")
     spans = (parts.select("key", "s", "v", "digest").join(found, ["v", "digest"])
              .select("key", F.explode("spans").alias("x"), "s")
              .select("key", F.struct((F.col("x.a") + F.col("s")).alias("a"), (F.col("x.b") + F.col("s")).alias("b")).alias("x"))

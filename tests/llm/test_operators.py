@@ -47,6 +47,28 @@ def test_substring_dedup(spark, texts):
         assert (got[d]["n_words"], got[d]["n_removed"], got[d]["kept_sha256"]) == (len(w), keep.count(False), hashlib.sha256(left).hexdigest())
 
 
+@pytest.mark.parametrize("shard_words", [40, 3000])
+def test_substring_dedup_by_crowded_anchors(spark, shard_words):
+    from loanpanel.llm.substring import remove_repeats
+    rng = np.random.default_rng(1)
+    vocabulary = [f"w{i}" for i in range(9)]
+    common = rng.choice(vocabulary, 30).tolist()
+    docs = [rng.choice(vocabulary, 8).tolist() + common + rng.choice(vocabulary, 8).tolist() for _ in range(40)]
+    docs += [["a"] * 40, ["a", "b", "c"] * 7, ["b"] * 11, [], docs[0], docs[1]]
+    table = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)] + [(99, None)], "doc_id long, text string")
+    width = 12
+    seen = Counter(tuple(w[i:i + width]) for w in docs for i in range(len(w) - width + 1))
+    got = {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in remove_repeats(table, width=width, gram=4, shard_words=shard_words, with_text=True).collect()}
+    assert got.pop(99) == (0, None)
+    for d, w in enumerate(docs):
+        keep = [True] * len(w)
+        for i in range(len(w) - width + 1):
+            if seen[tuple(w[i:i + width])] > 1:
+                keep[i:i + width] = [False] * width
+        left = " ".join(x for x, k in zip(w, keep) if k)
+        assert got[d] == (keep.count(False), left if not all(keep) else None)
+
+
 def plain_simhash(text, k=3):
     w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text))
     grams = [b" ".join(w[i:i + k]) for i in range(len(w) - k + 1)] or ([b" ".join(w)] if w else [])
