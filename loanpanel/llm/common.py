@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, and
     every executor sees the files."""
     path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -112,10 +113,10 @@ class CachedTokenizer:
 
     A piece ends before a blank that follows a non-blank character; both public vocabularies in use
     start a new pre-token there, so the ids of the pieces, joined, are the ids of the whole text.
-    Texts holding a special token's string are encoded whole. ``limit`` bounds the cached pieces (about twice that many at most); frequent pieces come early and stay.
+    Texts holding a special token's string are encoded whole. ``limit`` bounds the cached pieces; frequent ones come early and stay.
     """
 
-    def __init__(self, path: str, keeps_blanks: bool, limit: int = 600_000) -> None:
+    def __init__(self, path: str, keeps_blanks: bool, limit: int = 1_000_000) -> None:
         import os
         import re
 
@@ -126,6 +127,40 @@ class CachedTokenizer:
         self.unsafe = re.compile(r"\s " if keeps_blanks else r"(?!)")
         self.cut = re.compile(r"(?<=\S)(?= )")
         self.cache: dict[str, bytes] = {}
+        self.model = self.tok.model
+        letters = "A-Za-zÀ-ÖØ-öø-ÿ"             # characters that no normalizer changes but in case
+        self.simple = re.compile(f"( ?)([{letters}]+)([.,!*$%&#]*)")
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]       # byte-level vocabularies' signs
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.signs = {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(hidden)}}
+
+    def _whole(self, piece: str) -> bytes:
+        return np.asarray(self.tok.encode(piece, add_special_tokens=False).ids, np.uint16).tobytes()
+
+    def _cached(self, piece: str, make) -> bytes:
+        ids = self.cache.get(piece)
+        if ids is None:
+            ids = make(piece)
+            if len(self.cache) < self.limit:
+                self.cache[piece] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """Ids of letters, with a blank before them or not: one pre-token, so the model alone is asked."""
+        signs = self.signs
+        shown = word.replace(" ", signs[32]) if word.isascii() else "".join([signs[b] for b in word.encode()])
+        return array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece: letters and the signs behind them are pre-tokens of their own, and so is a
+        single line break between other characters; any other piece is encoded whole."""
+        if m := self.simple.fullmatch(piece):
+            word = m[1] + m[2] if self.keeps else m[2].lower()
+            return self._cached(word, self._word) + (self._cached(m[3], self._whole) if m[3] else b"")
+        head, line, tail = piece.partition("\n")
+        if self.keeps and line and head and tail and not head[-1].isspace() and not tail[0].isspace():
+            return self._cached(head, self._piece) + self._cached(line, self._whole) + self._cached(tail, self._piece)
+        return self._whole(piece)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text as uint16 where the vocabulary allows it (both public ones do)."""
@@ -139,18 +174,5 @@ class CachedTokenizer:
             pieces = self.cut.split(text)
         else:
             pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else self.cut.split(text)
-        cache = self.cache
-        try:
-            return np.frombuffer(b"".join([cache[p] for p in pieces]), np.uint16)
-        except KeyError:
-            pass
-        out, limit = [], self.limit
-        for at in range(0, len(pieces), limit):              # a text of any length, in bounded rounds
-            part = pieces[at:at + limit]
-            new = [p for p in dict.fromkeys(part) if p not in cache]
-            own = dict(zip(new, (np.asarray(e.ids, np.uint16).tobytes() for e in
-                                 self.tok.encode_batch_fast(new, add_special_tokens=False))))
-            out.append(b"".join([cache[p] if p in cache else own[p] for p in part]))
-            if len(cache) < limit:
-                cache.update(own)
-        return np.frombuffer(b"".join(out), np.uint16)
+        known, cached, make = self.cache.get, self._cached, self._piece
+        return np.frombuffer(b"".join([known(p) or cached(p, make) for p in pieces]), np.uint16)
