@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from array import array
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -176,3 +177,9 @@ class CachedTokenizer:
             pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else self.cut.split(text)
         known, cached, make = self.cache.get, self._cached, self._piece
         return np.frombuffer(b"".join([known(p) or cached(p, make) for p in pieces]), np.uint16)
+
+
+@lru_cache(maxsize=2)
+def shared_tokenizer(path: str, keeps_blanks: bool) -> CachedTokenizer:
+    """One tokenizer for all tasks that a Python worker runs, so the pieces it knows are kept."""
+    return CachedTokenizer(path, keeps_blanks)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanpanel.llm.common import CachedTokenizer, mix, write_stage
+from loanpanel.llm.common import mix, shared_tokenizer, write_stage
 
 DIMS, BITS = 3, 12          # the curve's dimensions, and bits of each
 
@@ -70,7 +70,7 @@ def default_tokenizer() -> str:
 
 def _encode(path: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, directions = CachedTokenizer(path, keeps_blanks=False), projection(size)
+        tok, directions = shared_tokenizer(path, False), projection(size)
         for b in batches:
             ids = [np.append(tok.encode(t.as_py()), np.uint16(end_id)) for t in b.column(2)]
             keys = hilbert_key(np.array([curve_cells(x[:-1], directions) for x in ids]).reshape(len(ids), DIMS))

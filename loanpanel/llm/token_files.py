@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanpanel.llm.common import CachedTokenizer, stage_path, write_stage
+from loanpanel.llm.common import shared_tokenizer, stage_path, write_stage
 
 SEQUENCE, BATCH = 2048, 256         # ids of a sequence, sequences of a record batch
 
@@ -91,7 +91,7 @@ def open_sequences(path: str) -> pa.ipc.RecordBatchFileReader:
 
 def _write(folder: str, tokenizer: str, end_id: int, length: int, batch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = CachedTokenizer(tokenizer, keeps_blanks=True)
+        tok = shared_tokenizer(tokenizer, True)
         writer = sink = first = None
         path, docs, ids_total = f"{folder}/{uuid.uuid4().hex}.arrow", 0, 0       # a repeated task writes a file of its own
         for b in batches:
