@@ -1,7 +1,7 @@
 """Feature selection by variance inflation.
 
 The only distributed step is one pass that sums the cross products of the
-feature columns (the p x p Gram matrix X'X, p(p+1)/2 partial sums).  The
+feature columns (the p x p Gram matrix X'X, scaled to unit diagonal, p(p+1)/2 partial sums).  The
 elimination loop then runs on that small matrix on the driver: for column
 i, regressing it on the remaining columns (no intercept, as the usual VIF
 helper does on the matrix it is given) has residual sum of squares
@@ -50,6 +50,11 @@ def vif_from_gram(g: np.ndarray) -> np.ndarray:
     """VIF of every column from X'X; inf where a column is an exact combination of the others."""
     p = g.shape[0]
     out = np.empty(p)
+    # to unit diagonal first: the pseudo-inverse's cut-off is relative to the largest singular value, so
+    # on the raw matrix the columns of small scale would vanish as regressors (VIFs don't depend on scale)
+    size = np.sqrt(np.maximum(np.diag(g), 0.0))
+    unit = np.where(size > 0, size, 1.0)
+    g = g / np.outer(unit, unit)
     for i in range(p):
         if p == 1:
             out[i] = 1.0

@@ -62,12 +62,15 @@ def build_session(master: str | None = None, app: str = "loanpanel",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """Return the shared checkpoint folder; a local one is set only if it is unset and the master is local."""
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if not configured:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="loanpanel-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
-    spark.sparkContext.setCheckpointDir(configured)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 

@@ -108,3 +108,19 @@ def test_t_pvalue_large_dof_uses_bounded_approximation(spark):
     near = spark.range(1).select(two_sided_t_pvalue(F.lit(2.0), F.lit(10_000)).alias("a"),
                                  two_sided_t_pvalue(F.lit(2.0), F.lit(10_001)).alias("b")).first()
     assert near.a == pytest.approx(near.b, abs=1e-6)
+
+
+def test_vif_on_columns_of_mixed_scale():
+    import numpy as np
+
+    from loanpanel.operators.select import vif_from_gram
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(500, 3)) + 2
+    x = np.column_stack([base[:, 0] * 1e9, base[:, 1], base[:, 0] * 1e-3 + 1e-4 * base[:, 2], base[:, 2] * 50 + 7, base.sum(axis=1) + rng.normal(size=500) * 0.3])
+    want = []
+    for i in range(x.shape[1]):
+        rest = np.delete(x, i, axis=1)
+        rest = rest / np.linalg.norm(rest, axis=0)
+        fit = rest @ np.linalg.lstsq(rest, x[:, i], rcond=None)[0]
+        want.append((x[:, i] ** 2).sum() / ((x[:, i] - fit) ** 2).sum())
+    assert np.allclose(vif_from_gram(x.T @ x), want, rtol=1e-5)
