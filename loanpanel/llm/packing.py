@@ -33,8 +33,9 @@ def curve_cells(ids: np.ndarray, directions: np.ndarray, bits: int = BITS) -> np
     The projection of a unit vector is near standard normal, so its normal quantile fills the cells evenly."""
     if not len(ids):
         return np.zeros(directions.shape[1], np.int64)
-    tokens, counts = np.unique(ids, return_counts=True)
-    weights = np.log1p(counts)
+    counts = np.bincount(ids)
+    tokens = np.flatnonzero(counts)
+    weights = np.log1p(counts[tokens])
     p = weights @ directions[tokens] / math.sqrt(float(weights @ weights))
     return np.array([min((1 << bits) - 1, int((0.5 + 0.5 * math.erf(x / math.sqrt(2))) * (1 << bits))) for x in p], np.int64)
 
@@ -85,25 +86,25 @@ def _pieces(length: int):
 
     def run(batches):
         for b in batches:
-            for k in range(b.num_rows):
-                ids = np.frombuffer(b.column(1)[k].as_py(), np.uint16).astype("<u4")
-                n, rows = len(ids), []
-                for copy in range(b.column(2)[k].as_py()):
-                    at = b.column(3)[k].as_py() + copy * n
-                    start = 0
+            docs, rows = [], []                 # row of the batch, and the piece
+            for k, (blob, copies, place) in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]))):
+                ids = np.frombuffer(blob, np.uint16).astype("<u4")
+                n = len(ids)
+                for copy in range(copies):
+                    at, start = place + copy * n, 0
                     while start < n:
                         end = min(n, start + length - (at + start) % length)
-                        rows.append((copy, start, end - start, zlib.crc32(ids[start:end].tobytes()), n, (at + start) // length, (at + start) % length))
+                        docs.append(k)
+                        rows.append((copy, start, end - start, zlib.crc32(ids[start:end]), n, (at + start) // length, (at + start) % length))
                         start = end
                     if len(rows) >= 10_000:
-                        yield from emit(b, k, rows)
-                        rows = []
-                yield from emit(b, k, rows)
-
-    def emit(b, k, rows):
-        if rows:
-            first = b.column(0).slice(k, 1).take(pa.array([0] * len(rows)))
-            yield pa.RecordBatch.from_arrays([first, *(pa.array(c, pa.int64()) for c in zip(*rows))], names)
+                        yield emit(b, docs, rows)
+                        docs, rows = [], []
+            if rows:
+                yield emit(b, docs, rows)
+
+    def emit(b, docs, rows):
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(docs)), *(pa.array(c, pa.int64()) for c in zip(*rows))], names)
     return run
 
 
