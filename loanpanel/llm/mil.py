@@ -23,7 +23,7 @@ PASSAGE = 64                # words of a passage
 SHAPES = 64                 # hashed word shapes
 EXTRA = 12                  # further features of a passage
 WIDTH = SHAPES + EXTRA
-CACHE = 400_000             # words whose codes a task keeps
+CACHE = 150_000             # words whose codes a task keeps
 SAMPLE_ROWS = 4_000         # labelled rows to fit on, at most
 SAMPLE_PASSAGES = 256       # a fitting row has this many passages at most (longer ones are not fitted on)
 _RUN = re.compile(r"(.)\1+", re.S)
@@ -227,7 +227,10 @@ def keep_quality(docs: DataFrame, model: AttentionModel | float, least: float, t
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder()
         for texts in batches:
-            bags = [encoder.passages(t) for t in texts]
-            yield pd.Series(np.full(len(bags), model) if isinstance(model, float) else model.scores(bags), dtype=float)
+            out = []
+            for at in range(0, len(texts), 256):            # the passages of few texts at a time
+                bags = [encoder.passages(t) for t in texts.iloc[at:at + 256]]
+                out.append(np.full(len(bags), model) if isinstance(model, float) else model.scores(bags))
+            yield pd.Series(np.concatenate(out) if out else [], dtype=float)
 
     return docs.where(score(F.col(text_col)) >= least)
