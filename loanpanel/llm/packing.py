@@ -69,10 +69,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few documents' ids are held at once."""
+    for b in batches:
+        yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+
+
 def _encode(path: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, directions = shared_tokenizer(path, False), projection(size)
-        for b in batches:
+        for b in small(batches):
             ids = [np.append(tok.encode(t.as_py()), np.uint16(end_id)) for t in b.column(2)]
             keys = hilbert_key(np.array([curve_cells(x[:-1], directions) for x in ids]).reshape(len(ids), DIMS))
             yield pa.RecordBatch.from_arrays(
@@ -85,7 +91,7 @@ def _pieces(length: int):
     names = ["doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             docs, rows = [], []                 # row of the batch, and the piece
             for k, (blob, copies, place) in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]))):
                 ids = np.frombuffer(blob, np.uint16).astype("<u4")
