@@ -180,6 +180,6 @@ class CachedTokenizer:
 
 
 @lru_cache(maxsize=2)
-def shared_tokenizer(path: str, keeps_blanks: bool) -> CachedTokenizer:
+def shared_tokenizer(path: str, keeps_blanks: bool, limit: int = 600_000) -> CachedTokenizer:
     """One tokenizer for all tasks that a Python worker runs, so the pieces it knows are kept."""
-    return CachedTokenizer(path, keeps_blanks)
+    return CachedTokenizer(path, keeps_blanks, limit)

@@ -232,5 +232,6 @@ def keep_quality(docs: DataFrame, model: AttentionModel | float, least: float, t
                 bags = [encoder.passages(t) for t in texts.iloc[at:at + 256]]
                 out.append(np.full(len(bags), model) if isinstance(model, float) else model.scores(bags))
             yield pd.Series(np.concatenate(out) if out else [], dtype=float)
+            pa.default_memory_pool().release_unused()
 
     return docs.where(score(F.col(text_col)) >= least)

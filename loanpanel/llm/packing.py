@@ -70,14 +70,16 @@ def default_tokenizer() -> str:
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that few documents' ids are held at once."""
+    """The same rows in small batches, so that few documents' ids are held at once. What Arrow keeps of
+    a batch that is done with goes back to the system."""
     for b in batches:
         yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+        pa.default_memory_pool().release_unused()
 
 
-def _encode(path: str, end_id: int, size: int):
+def _encode(path: str, end_id: int, size: int, cached_pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, directions = shared_tokenizer(path, False), projection(size)
+        tok, directions = shared_tokenizer(path, False, cached_pieces), projection(size)
         for b in small(batches):
             ids = [np.append(tok.encode(t.as_py()), np.uint16(end_id)) for t in b.column(2)]
             keys = hilbert_key(np.array([curve_cells(x[:-1], directions) for x in ids]).reshape(len(ids), DIMS))
@@ -125,17 +127,18 @@ def laid_out(sizes: DataFrame, order: list[str], size: str, name: str) -> DataFr
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = 2048,
-         end_id: int = 1, vocabulary: int = 1 << 16) -> DataFrame:
+         end_id: int = 1, vocabulary: int = 1 << 16, cached_pieces: int = 600_000) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, copy) of every piece.
 
     A document is its text's ids and then ``end_id``; a null text is empty, so its document is the end id
     alone. Each id lies in one piece; every sequence but the last is full. Repeated rows follow each other
     as copies 0, 1, ...; a null id is a row like any other. An empty table returns no rows; other columns
-    are not read. Ids must be below 65,536, as both public vocabularies' are.
+    are not read. Ids must be below 65,536, as both public vocabularies' are. ``cached_pieces`` bounds the
+    pieces whose ids a worker remembers (some 200 bytes each); it changes no result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("key"), F.col(text_col).alias("text"))
-    coded = write_stage(rows.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id, vocabulary),
+    coded = write_stage(rows.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id, vocabulary, cached_pieces),
                                         f"doc_id {kind}, key binary, n long, curve long, ids binary"), "pack-ids")
     sizes = coded.groupBy("doc_id", "key").agg(F.first("curve").alias("curve"), F.sum("n").alias("total"))
     placed = write_stage(laid_out(sizes, ["curve", "doc_id", "key"], "total", "pack-order").select(
