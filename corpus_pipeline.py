@@ -46,8 +46,9 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences, one row per piece."""
-    return packing.pack(docs)
+    """Packs what is left into sequences, one row per piece. Workers still hold memory of the stages
+    before, so fewer pieces are remembered than by default."""
+    return packing.pack(docs, cached_pieces=200_000)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated),
