@@ -11,8 +11,9 @@ bracket refinement instead:
    (up to ``direct_max`` values a single exact ``percentile`` pass is used);
 2. while the bracket holding those ranks has more than ``max_collect``
    values, ``percentile_approx`` proposes split points inside it and one
-   aggregate pass counts the values below each split, which narrows the
-   bracket (a tie-only bracket ends the search);
+   aggregate pass counts the values below and equal to each split: a rank
+   among the equal ones ends the search, any other narrows the bracket to
+   the values strictly between two splits;
 3. the few values left in the bracket are sorted and the two ranks read.
 
 Every pass is a full-parallel aggregate returning a handful of numbers.
@@ -88,41 +89,31 @@ def exact_medians(df: DataFrame, columns, max_collect: int = DEFAULT_MAX_COLLECT
 
 def _order_stat(vals: DataFrame, n: int, k: int, max_collect: int) -> float:
     """Value of 0-based rank ``k`` among ``n`` values."""
-    lo, hi = None, None          # bracket [lo, hi) as value bounds (None = open)
-    below, inside = 0, n         # values < lo, values in bracket
+    lo, hi = None, None          # open bracket (lo, hi) as value bounds (None = no bound)
+    below, inside = 0, n         # values before the bracket, values in it
     v = F.col("v")
     while True:
-        cond = F.lit(True)
+        part = vals
         if lo is not None:
-            cond = cond & (v >= lo)
+            part = part.where(v > lo)
         if hi is not None:
-            cond = cond & (v < hi)
-        part = vals.where(cond)
+            part = part.where(v < hi)
         if inside <= max_collect:
             rows = part.orderBy("v").select("v").collect()
             return rows[k - below][0]
         fracs = [i / SPLITS for i in range(1, SPLITS)]
-        splits = part.agg(F.percentile_approx("v", fracs, 100_000).alias("s")).first()["s"]
-        edges = sorted(set(s for s in splits
-                           if (lo is None or s > lo) and (hi is None or s < hi)))
-        stats = part.agg(F.min("v").alias("mn"), F.max("v").alias("mx"),
-                         *[F.count(F.when(v < e, True)).alias(f"c{i}") for i, e in enumerate(edges)]).first()
-        if stats["mn"] == stats["mx"]:
-            return stats["mn"]
-        counts = [below + stats[f"c{i}"] for i in range(len(edges))]
-        bounds = [lo] + edges + [hi]
-        cum = [below] + counts + [below + inside]
-        for j in range(len(bounds) - 1):
-            if cum[j] <= k < cum[j + 1]:
-                new_lo, new_hi = bounds[j], bounds[j + 1]
-                new_below, new_inside = cum[j], cum[j + 1] - cum[j]
+        edges = sorted(set(part.agg(F.percentile_approx("v", fracs, 100_000).alias("s")).first()["s"]))
+        stats = part.agg(*[F.count(F.when(v < e, True)).alias(f"under{i}") for i, e in enumerate(edges)],
+                         *[F.count(F.when(v <= e, True)).alias(f"upto{i}") for i, e in enumerate(edges)]).first()
+        # gaps between the splits; the splits are values of the column, so every pass leaves some rows out
+        new_lo, start = lo, below
+        for i, e in enumerate(edges):
+            if k < below + stats[f"under{i}"]:
+                new_hi, end = e, below + stats[f"under{i}"]
                 break
-        if new_inside >= inside:  # no progress: every split collapsed onto ties
-            rows = part.where((v >= new_lo) if new_lo is not None else F.lit(True)) \
-                       .groupBy("v").count().orderBy("v").collect()
-            acc = new_below
-            for r in rows:
-                acc += r["count"]
-                if k < acc:
-                    return r["v"]
-        lo, hi, below, inside = new_lo, new_hi, new_below, new_inside
+            if k < below + stats[f"upto{i}"]:
+                return e
+            new_lo, start = e, below + stats[f"upto{i}"]
+        else:
+            new_hi, end = hi, below + inside
+        lo, hi, below, inside = new_lo, new_hi, start, end - start

@@ -181,7 +181,8 @@ def knn_neighbors(train: DataFrame, test: DataFrame, key: str, features: list[st
     st = tr.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(f).alias(f"v_{i}") for i, f in enumerate(feats)]).first()
     n = st["n"]
     if not n:
-        return te.select("q_key").limit(0)
+        return (te.join(tr, F.col("q_key") == F.col("t_key"))
+                .select("q_key", F.lit(0).alias("rank"), "t_key", "t_label", F.lit(0.0).alias("sqdist")).limit(0))
     order = sorted(range(len(feats)), key=lambda i: -(st[f"v_{i}"] or 0.0))
     cand_axes = [feats[i] for i in order[:max(1, min(axes, len(feats)))]]
 

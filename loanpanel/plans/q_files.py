@@ -76,14 +76,16 @@ def file_choice(spark, sf_dir):
 
 @query("row_limit", f"""
 select o_orderkey as obs, cast(o_custkey as varchar) as loanSeqNumber from orders
-order by o_orderkey limit {D.SAMPLE_ROWS}""")
+where o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 order by o_orderkey limit {D.SAMPLE_ROWS}""")
 def row_limit(spark, sf_dir):
-    """A3: the first ``nrows`` lines of a file ('sample' = 10,000)."""
+    """A3: the first ``nrows`` records ('sample' = 10,000) of a set of files, in which every seventh line
+    is too long and every eleventh is blank."""
     o = T.table(spark, sf_dir, "orders")
-    line = F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"))
+    key = F.col("o_orderkey")
+    line = F.concat_ws("|", key.cast("string"), F.col("o_custkey").cast("string"), F.when(key % 7 == 0, "extra"))
     path = D.staging_dir(spark, "monthly-sorted")
-    o.select(line.alias("value"), "o_orderkey").orderBy("o_orderkey").coalesce(1).select("value") \
-        .write.mode("overwrite").text(path)
+    o.select(F.when(key % 11 == 0, "").otherwise(line).alias("value"), key).orderBy(key).select("value") \
+        .write.mode("overwrite").option("maxRecordsPerFile", 4_000).text(path)
     return D.load_delimited(spark, path + "/*.txt", ["obs", "loanSeqNumber"], nrows=D.SAMPLE_ROWS,
                             col_types={"obs": "bigint"})
 

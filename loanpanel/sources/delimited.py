@@ -54,24 +54,9 @@ def load_delimited(spark: SparkSession, path: str | list[str], columns: list[str
         # the chosen files are ever scanned
         toks = list(period_tokens)
         paths = [f for f in list_files(spark, paths) if any(t in f for t in toks)]
-        if not paths:
-            return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
-    raw = spark.read.text(paths)
-    fname = F.col("_metadata.file_path")
+    rows = _split_lines(spark, paths, len(columns), sep, bad_lines)
     if nrows is not None:
-        raw = raw.withColumn("__line", F.monotonically_increasing_id()).orderBy("__line").limit(nrows)
-    n = len(columns)
-    parts = F.split(F.col("value"), _regex_escape(sep), -1)
-    raw = raw.where(F.length(F.col("value")) > 0)
-    if keep_file_name:
-        raw = raw.withColumn("__file", fname)
-    rows = raw.withColumn("__f", parts)
-    too_long = F.size("__f") > n
-    if bad_lines == "skip":
-        rows = rows.where(~too_long)
-    elif bad_lines == "error":
-        rows = rows.withColumn("__f", F.when(too_long, F.raise_error(
-            F.concat(F.lit(f"line has more than {n} fields: "), F.col("value")))).otherwise(F.col("__f")))
+        rows = _first_rows(spark, paths, nrows, lambda some: _split_lines(spark, some, len(columns), sep, bad_lines))
     out = rows.select(*[F.nullif(F.get(F.col("__f"), i), F.lit("")).alias(c) for i, c in enumerate(columns)],
                       *(["__file"] if keep_file_name else []))
     if col_types:
@@ -81,6 +66,35 @@ def load_delimited(spark: SparkSession, path: str | list[str], columns: list[str
     return out
 
 
+def _split_lines(spark: SparkSession, paths: list[str], n: int, sep: str, bad_lines: str) -> DataFrame:
+    """Fields (``__f``), file and place of every record of ``paths``: blank lines are no records, and
+    lines of more than ``n`` fields follow the bad-line policy. No paths: no rows, same columns."""
+    if paths:
+        raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("__file"),
+                                            F.col("_metadata.file_block_start").alias("__block"))
+    else:
+        raw = spark.createDataFrame([], "value string, __file string, __block long")
+    # a block of a file is read by one task in line order, so the id orders the lines within it
+    rows = raw.withColumn("__line", F.monotonically_increasing_id()).where(F.length("value") > 0) \
+              .withColumn("__f", F.split(F.col("value"), _regex_escape(sep), -1))
+    too_long = F.size("__f") > n
+    if bad_lines == "skip":
+        rows = rows.where(~too_long)
+    elif bad_lines == "error":
+        rows = rows.withColumn("__f", F.when(too_long, F.raise_error(
+            F.concat(F.lit(f"line has more than {n} fields: "), F.col("value")))).otherwise(F.col("__f")))
+    return rows
+
+
+def _first_rows(spark: SparkSession, paths: list[str], nrows: int, read) -> DataFrame:
+    """A3: the first ``nrows`` records by file name and place in the file. The files are opened in that
+    order, a few more each time, until they hold enough; each task keeps its first ``nrows`` only."""
+    files, opened = list_files(spark, paths), 1
+    while opened < len(files) and read(files[:opened]).limit(nrows).count() < nrows:
+        opened *= 4
+    return read(files[:opened]).orderBy("__file", "__block", "__line").limit(nrows)
+
+
 def list_files(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     """Expand globs and directories into data files (hidden and ``_`` files skipped),
     through the Hadoop file system the scan itself uses."""
@@ -162,11 +176,12 @@ def _txt_glob(path: str) -> str:
     return path.rstrip("/") + "/*.txt"
 
 
-def load_census(spark: SparkSession, path: str, filename: str, nrows: int | str | None = "sample",
+def load_census(spark: SparkSession, path: str, filename: str, nrows: int | str | None = None,
                 dictionary_path: str | None = None, col_types: Mapping[str, str] | None = None,
                 date_formats: Mapping[str, str] | None = None) -> DataFrame:
     """Headed census CSV (``.csv`` added when missing), renamed through a
-    Field -> Renamed dictionary, cast and date-parsed."""
+    Field -> Renamed dictionary, cast and date-parsed. All rows, unless ``nrows`` asks for the first
+    few (``"sample"``: the source's 10,000)."""
     if not filename.endswith(".csv"):
         filename += ".csv"
     df = spark.read.option("header", True).csv(os.path.join(path, filename))
