@@ -302,9 +302,11 @@ def semi_both(spark, sf_dir):
 
 
 @query("anti_new", T.with_ctes("panel", "loans") + """
-select loan, servicer, msa, score from loans where loan not in (select loan from panel)""")
+select loan, servicer, msa, score from loans where loan not in (select loan from panel where cast(d as date) < date '1996-01-01')""")
 def anti_new(spark, sf_dir):
-    return J.only_new(T.loans(spark, sf_dir), T.panel(spark, sf_dir), "loan") \
+    """The loans without a record in the panel's first year."""
+    known = T.panel(spark, sf_dir).where(F.col("d").cast("date") < F.lit("1996-01-01").cast("date"))
+    return J.only_new(T.loans(spark, sf_dir), known, "loan") \
         .select("loan", "servicer", "msa", "score")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanpanel.schema import MAX_BIN_OCCUPANCY
+from loanpanel.session import cut_lineage
 
 
 def dense_index(keys: DataFrame, key: str, out: str = "idx", partitions: int | None = None) -> DataFrame:
@@ -28,6 +29,8 @@ def dense_index(keys: DataFrame, key: str, out: str = "idx", partitions: int | N
                   .repartitionByRange(n, key).sortWithinPartitions(key)
                   .withColumn("__pid", F.spark_partition_id())
                   .withColumn("__mid", F.monotonically_increasing_id()))
+    # materialised: the counts and the positions below must come from the same partitioning
+    ranged = cut_lineage(ranged)
     # monotonically_increasing_id = (partition id << 33) + row position in the partition
     ranged = ranged.withColumn("__local", F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33))
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
