@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,9 +83,6 @@ def delinquency_number(c: ColumnOrName) -> Column:
     return F.coalesce((F.replace(s, F.lit("R"), F.lit("7"))).try_cast("double"), F.lit(0.0))
 
 
-# Above this many degrees of freedom the exact series (dof/2 terms) gives way to
-# a normal approximation with a 1/dof correction, so no row builds a long array.
-LARGE_DOF = 10_000
 # Abramowitz & Stegun 26.2.17 normal-CDF approximation (|error| < 7.5e-8).
 NCDF_P = 0.2316419
 NCDF_B = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
@@ -100,53 +98,44 @@ def normal_upper_tail(z: Column) -> Column:
     return F.exp(-a * a / 2.0) / math.sqrt(2 * math.pi) * poly
 
 
+# Gauss-Legendre nodes and weights on eight equal parts of [0, 1]
+_PARTS, _ORDER = 8, 16
+_NODES = [((part + (x + 1) / 2) / _PARTS, w / 2 / _PARTS) for part in range(_PARTS) for x, w in zip(*np.polynomial.legendre.leggauss(_ORDER))]
+
+
 def two_sided_t_pvalue(t: ColumnOrName, dof: ColumnOrName) -> Column:
-    """Two-sided p-value of Student's t with integer degrees of freedom, no UDF.
-
-    Closed form for integer dof (Abramowitz & Stegun 26.7.3/26.7.4) with
-    theta = atan(|t| / sqrt(dof)):
-      odd dof : p = 1 - (2/pi) * (theta + sin(theta) * sum_k a_k cos^(2k+1) theta)
-      even dof: p = 1 - sin(theta) * sum_k b_k cos^(2k) theta
-    where the terms follow from a running product, evaluated with
-    ``aggregate(sequence(...))`` inside codegen.  Above ``LARGE_DOF``:
-    2 * P(Z > z), z = |t| (1 - 1/(4 dof)) / sqrt(1 + t^2 / (2 dof)).
+    """Two-sided p-value of Student's t, no UDF; one formula and the same work for all degrees of freedom v.
+
+    With t = sqrt(v) sinh(u) the density is proportional to cosh(u)^-v, so p is the integral of
+    cosh(u)^-v from u0 = asinh(|t| / sqrt(v)) over that from 0.  Each is taken up to where the
+    integrand has fallen by e^-40, at u = u0 + range * s^2 for fixed nodes s of [0, 1].
     """
     t = col(t).cast("double")
-    v = col(dof).cast("long")
-    theta = F.atan(F.abs(t) / F.sqrt(v.cast("double")))
-    c2 = F.pow(F.cos(theta), 2)
-    odd = (v % 2) == 1
-    k_max = F.when(odd, F.floor((v - 3) / 2)).otherwise(F.floor((v - 2) / 2)).cast("int")
-    first = F.when(odd, F.cos(theta)).otherwise(F.lit(1.0))
-    acc0 = F.struct(first.alias("term"), F.lit(0.0).alias("total"))
-
-    def step(acc, k):
-        ratio = F.when(odd, (2 * k + 2) / (2 * k + 3)).otherwise((2 * k + 1) / (2 * k + 2))
-        return F.struct((acc["term"] * ratio * c2).alias("term"),
-                        (acc["total"] + acc["term"]).alias("total"))
-
-    k_cap = F.least(F.greatest(k_max, F.lit(0)), F.lit(LARGE_DOF // 2))
-    series = F.aggregate(F.sequence(F.lit(0), k_cap), acc0, step)["total"]
-    series = F.when(k_max < 0, F.lit(0.0)).otherwise(series)
-    p_odd = 1 - (2 / math.pi) * (theta + F.sin(theta) * series)
-    p_even = 1 - F.sin(theta) * series
-    vd = v.cast("double")
-    z = F.abs(t) * (1 - 1 / (4 * vd)) / F.sqrt(1 + t * t / (2 * vd))
-    p = F.when(v > LARGE_DOF, 2 * normal_upper_tail(z)).when(odd, p_odd).otherwise(p_even)
-    return F.when(v >= 1, F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
-
-
-def _upper_tail_sql(z: str) -> str:
-    a = f"abs({z})"
-    t = f"(1.0 / (1.0 + {NCDF_P!r} * {a}))"
-    poly = "0.0"
-    for b in reversed(NCDF_B):
-        poly = f"(({poly}) + {b!r}) * {t}"
-    return f"(exp(-{a} * {a} / 2.0) / {math.sqrt(2 * math.pi)!r} * {poly})"
+    v = col(dof).cast("double")
+    nodes = F.array(*[F.struct(F.lit(float(s)).alias("s"), F.lit(float(w)).alias("w")) for s, w in _NODES])
+
+    def reach(log_cosh):                        # the u of a given ln cosh(u)
+        return log_cosh + F.log1p(F.sqrt(-F.expm1(-2 * log_cosh)))
+
+    def integral(log_cosh):                     # relative to the integrand at the start
+        start = reach(log_cosh)
+        ends = F.struct(start.alias("start"), (reach(log_cosh + 40 / v) - start).alias("width"), log_cosh.alias("first"), v.alias("v"))
+
+        def over(x):                            # an array of one struct: its fields are worked out once, not per node
+            def add(total, node):
+                height = F.sinh(x["start"] + x["width"] * node["s"] * node["s"])
+                return total + node["w"] * node["s"] * F.exp(-x["v"] * (F.log1p(height * height) / 2 - x["first"]))
+            return 2 * x["width"] * F.aggregate(nodes, F.lit(0.0), add)
+        return F.transform(F.array(ends), over)[0]
+
+    first = F.log1p(F.least(t * t / v, F.lit(1e250))) / 2
+    p = F.exp(-v * first) * integral(first) / integral(F.lit(0.0))
+    return F.when((v >= 1) & t.isNotNull(), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
 
 
 def t_pvalue_sql(t: str, dof: str) -> str:
-    """The same p-value as DuckDB SQL text (used by the oracle)."""
+    """The p-value as DuckDB SQL text for the oracle, by the finite sums for integer degrees of freedom
+    (Abramowitz & Stegun 26.7.3, 26.7.4)."""
     th = f"atan(abs({t}) / sqrt({dof}))"
     odd_sum = (f"coalesce(list_sum(list_transform(range(0, cast(floor(({dof} - 3) / 2) as bigint) + 1), "
                f"lambda k: exp(2 * k * ln(2) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) "
@@ -154,8 +143,6 @@ def t_pvalue_sql(t: str, dof: str) -> str:
     even_sum = (f"coalesce(list_sum(list_transform(range(0, cast(floor(({dof} - 2) / 2) as bigint) + 1), "
                 f"lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - 2 * k * ln(2)) "
                 f"* pow(cos({th}), 2 * k))), 0)")
-    z = f"(abs({t}) * (1 - 1 / (4 * cast({dof} as double))) / sqrt(1 + {t} * {t} / (2 * cast({dof} as double))))"
-    return (f"case when {dof} >= 1 then least(greatest(case when {dof} > {LARGE_DOF} "
-            f"then 2 * {_upper_tail_sql(z)} when {dof} % 2 = 1 "
+    return (f"case when {dof} >= 1 then least(greatest(case when {dof} % 2 = 1 "
             f"then 1 - (2 / pi()) * ({th} + sin({th}) * {odd_sum}) "
             f"else 1 - sin({th}) * {even_sum} end, 0.0), 1.0) end")

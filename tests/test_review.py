@@ -1,5 +1,11 @@
 """Cases that a review found wrong: ties in the median, the row limit, loaders without input, k-NN without training rows."""
 
+import math
+
+import duckdb
+from pyspark.sql import functions as F
+
+from loanpanel.functions.exprs import t_pvalue_sql, two_sided_t_pvalue
 from loanpanel.functions.quantile import exact_quantiles
 from loanpanel.operators import model as M
 from loanpanel.sources import delimited as D
@@ -60,3 +66,14 @@ def test_knn_without_training_rows(spark):
     got = M.knn_neighbors(df.limit(0), df, "id", ["f"], "y", k=2)
     assert got.columns == ["q_key", "rank", "t_key", "t_label", "sqdist"] and got.count() == 0
     assert M.knn_predictions(got).count() == 0
+
+
+def test_t_pvalue_is_one_formula_for_every_dof(spark):
+    cases = [(t, v) for v in (1, 2, 3, 4, 7, 30, 999, 9_999, 10_000, 10_001, 1_000_000) for t in (0.0, 0.3, 2.0, 5.0)]
+    got = [r.p for r in spark.createDataFrame(cases, "t double, v long").select(two_sided_t_pvalue("t", "v").alias("p")).collect()]
+    con = duckdb.connect()
+    for (t, v), p in zip(cases, got):
+        want = con.execute(f"select {t_pvalue_sql(f'{t}::double', str(v))}").fetchone()[0]
+        assert abs(p - want) < (1e-12 if v < 1000 else 1e-8), (t, v, p, want)
+    far = spark.range(1).select(two_sided_t_pvalue(F.lit(6.0), F.lit(1_000_000_000)).alias("p")).first().p
+    assert abs(far / math.erfc(6 / math.sqrt(2)) - 1) < 1e-6
