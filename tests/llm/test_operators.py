@@ -159,6 +159,25 @@ def test_license_scan(spark, texts):
         assert r["score"] == pytest.approx(1.0 if places else max(best.values(), default=0.0))
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_license_scan_finds_wrapped_notices(spark, mark):
+    import textwrap
+    wrapped = {k: "\n".join(mark + x for x in textwrap.wrap(v, 72)) for k, v in licenses.TEMPLATES.items()}
+    wrapped |= {f"{k}/narrow": "\n".join(mark + x for x in textwrap.wrap(v, 24)) for k, v in licenses.TEMPLATES.items()}
+    head, tail = "one line ahead of it\n" * 9, "\nwords that follow" * 40
+    texts = wrapped | {f"{k}/inside": head + v + tail for k, v in wrapped.items()}
+    texts |= {"line": head + licenses.TEMPLATES["mpl-header"] + tail, "none": head + tail,
+              "twice": tail.join([wrapped["mit-grant"]] * 2), "apart": "Permission is hereby granted free of charge to any person" + tail + " obtaining a copy of this software and associated documentation files"}
+    table = spark.createDataFrame([*texts.items(), ("null", None), ("none", "")], "doc_id string, text string")
+    got = licenses.license_scan(table).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        if (name := r["doc_id"].split("/")[0]) in licenses.TEMPLATES:
+            assert name in r["labels"].split(",") and r["score"] == 1.0 and r["n_blocks"] == 1, r
+        else:
+            assert (r["labels"], r["n_blocks"]) == {"line": ("mpl-header", 1), "twice": ("mit-grant", 2)}.get(name, ("", 0)), r
+
+
 @pytest.mark.parametrize("n,label,modulus,rest", [(5, "toxic", 5, 0), (6, "quality", 3, 1)])
 def test_classifiers_on_held_out_rows(spark, duck, n, label, modulus, rest):
     y = dict(duck.execute("select doc_id, %s from read_parquet('/root/testdata/sf0.01/labels.parquet')" % label).fetchall())
