@@ -221,6 +221,40 @@ def test_decontamination_finds_whole_and_substituted_items(spark, texts, duck):
             assert got[d] == {str(i) for i, x in items.items() if len(set(x) & set(w)) > 5 and stretch(w, x)}, d
 
 
+def test_decontamination_accepts_every_placement_of_substitutions():
+    import itertools
+    from loanpanel.llm import decontaminate as d
+    from loanpanel.llm.common import Powers
+
+    def accepted(same):
+        need = min(d.MIN_MATCH, math.ceil(d.MIN_SHARE * len(same) - 1e-9))
+        return any(sum(same[i:j]) >= max(need, d.MIN_SHARE * (j - i) - 1e-9) for i in range(len(same)) for j in range(i + 1, len(same) + 1))
+    powers = Powers()
+    with np.errstate(over="ignore"):
+        for n in range(8, 18):
+            item = [f"t{i}" for i in range(n)]
+            block = d.BenchmarkBlock([(7, " ".join(item))], d.MIN_MATCH, d.MIN_SHARE)
+            for k in (0, 1, 2, 3):
+                for places in itertools.combinations(range(n), k):
+                    same = [i not in places for i in range(n)]
+                    got = block.search(" ".join(["other"] * 4 + [w if s else "x" for w, s in zip(item, same)] + ["words"] * 3), powers)
+                    assert bool(got) == accepted(same), (n, places)
+                    for item_id, start, end, equal in got:
+                        assert item_id == 7 and 4 <= start < end <= 4 + n and equal == sum(same[start - 4:end - 4]) >= 0.8 * (end - start) - 1e-9
+
+
+def test_decontamination_finds_short_items_whole(spark):
+    from loanpanel.llm.decontaminate import benchmark_overlaps, drop_contaminated
+    items = [(n, " ".join(f"k{n}w{i}" for i in range(n))) for n in range(1, 8)] + [(90, ""), (91, " .,"), (92, None), (None, "words to see")]
+    docs = [(n, f"Some words, {t.upper()}! and more") for n, t in items[:7]] + [(10 + n, t) for n, t in items[:7]]
+    clean = [(20 + n, " x ".join(t.split()[:-1])) for n, t in items[1:7]] + [(30, "words to see"), (31, ""), (32, None)]
+    table = spark.createDataFrame(docs + clean, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: [(o["item_id"], o["start"], o["end"], o["equal"]) for o in r["overlaps"]] for r in benchmark_overlaps(table, bench).collect()}
+    assert got == {**{n: [(n, 2, 2 + n, n)] for n in range(1, 8)}, **{10 + n: [(n, 0, n, n)] for n in range(1, 8)}, **{k: [] for k, _ in clean}}
+    assert {r["doc_id"] for r in drop_contaminated(table, bench).collect()} == {k for k, _ in clean}
+
+
 def test_topk(spark, duck):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(spark, 8))
     assert got == sorted(duck.execute(E.oracle_sql()[NAMES[8]]).fetchall())
