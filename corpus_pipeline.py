@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group, that of the smallest doc_id (of rows that repeat
-    it, one). Rows without a doc_id are kept: they have no group to be named by."""
+    it, one). A row without a doc_id stays only where no row of its group has one."""
     return simhash.keep_one(docs, shingle=3, max_bits=2)
 
 

@@ -85,6 +85,15 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _groups(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root, least_id, n) of every fingerprint in ``rows`` (doc_id, fp); root names its group."""
+    by_fp = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
+    roots = connected_components(fingerprint_links(by_fp, max_bits))
+    rooted = by_fp.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least_id", "n", F.coalesce("root", "fp").alias("root"))
+    return write_stage(rooted, "simhash-root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id, n_members): every row's near-duplicate group.
 
@@ -94,27 +103,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row. An empty table returns none. Extra columns are ignored.
     """
     rows = write_stage(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
-    by_fp = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
-    roots = connected_components(fingerprint_links(by_fp, max_bits))
-    rooted = by_fp.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least_id", "n", F.coalesce("root", "fp").alias("root"))
-    rooted = write_stage(rooted, "simhash-root")
+    rooted = _groups(rows, max_bits)
     groups = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("n").alias("n_members"))
     table = write_stage(rooted.select("fp", "root").join(write_stage(groups, "simhash-group"), "root").drop("root"), "simhash-class")
     return rows.join(table, "fp").select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id", "n_members")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` with one row of each near-duplicate group: the one of the smallest id, of rows
-    that repeat it the one of the smallest fingerprint, and of rows equal in both, one. Rows with a null
-    id all stay: there is no id to name a group's keeper by."""
+    """The rows of ``docs`` with one row of each near-duplicate group: the one of the smallest id (a null id
+    comes after all others), of rows that repeat it the one of the smallest fingerprint, then of the
+    smallest text digest, and of rows equal in all three, one."""
     @F.udf("long", useArrow=True)
     def fingerprint(text):
         return simhash(text, shingle)
 
-    groups = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    keepers = write_stage(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.min("fingerprint").alias("fingerprint")), "simhash-keep")
-    marked = docs.withColumn("__fp__", fingerprint_hex(fingerprint(F.col(text_col))))
-    on = (F.col(f"d.{id_col}") == F.col("k.doc_id")) & (F.col("d.__fp__") == F.col("k.fingerprint"))
-    kept = marked.alias("d").join(keepers.alias("k"), on, "left_semi").dropDuplicates([id_col])
-    return kept.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    digest = F.coalesce(F.sha2(F.col(text_col), 256), F.lit(""))
+    marked = docs.withColumn("__fp__", fingerprint(F.col(text_col))).withColumn("__digest__", digest)
+    rows = write_stage(marked.select(F.col(id_col).alias("doc_id"), F.col("__fp__").alias("fp"), F.col("__digest__").alias("digest")), "simhash-fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "digest")).alias("first")
+    # the first row of each fingerprint, then of each group: no group's rows come to one task
+    by_fp = rows.groupBy("fp").agg(first).select("fp", "first")
+    keepers = (by_fp.join(_groups(rows, max_bits).select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+               .select("first.doc_id", "first.fp", "first.digest"))
+    keepers = write_stage(keepers, "simhash-keep")
+    on = F.col(f"d.{id_col}").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__fp__") == F.col("k.fp")) & (F.col("d.__digest__") == F.col("k.digest"))
+    kept = marked.alias("d").join(keepers.alias("k"), on, "left_semi").dropDuplicates([id_col, "__fp__", "__digest__"])
+    return kept.select(*docs.columns)

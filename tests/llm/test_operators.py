@@ -99,6 +99,26 @@ def test_simhash(spark, texts):
     assert got == {d: (f"{fps[d]:016x}", want[d]) for d in fps}
 
 
+def test_one_of_each_group_is_kept(spark):
+    from loanpanel.llm.simhash import keep_one
+    rng = np.random.default_rng(3)
+    a, b, c, d, e = (" ".join(rng.choice([f"w{i}" for i in range(500)], 60)) for _ in range(5))
+    # id 1 is the least of two groups; groups of null ids only; copies, null and empty texts
+    rows = [(1, a), (1, b), (2, a), (3, b), (3, b), (4, c), (None, c), (None, d), (None, d), (None, e), (5, None), (6, ""), (None, None)]
+    rows += [(10 + i, f"{a} w{i}") for i in range(3)]
+    fps = {k: plain_simhash(t or "") for k, (_, t) in enumerate(rows)}
+    groups = defaultdict(list)
+    for k, root in components(fps).items():
+        groups[root].append((rows[k][0] is None, rows[k][0] or 0, fps[k] - (fps[k] >> 63 << 64), hashlib.sha256(rows[k][1].encode()).hexdigest() if rows[k][1] is not None else "", k))
+    want = Counter(rows[min(g)[-1]] for g in groups.values())
+    table = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    got = keep_one(table)
+    assert got.columns == ["doc_id", "text", "lang"]
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
+    assert want[(1, a)] == want[(1, b)] == want[(None, d)] == 1 and not want[(None, c)]
+    assert keep_one(table.where("false")).collect() == []
+
+
 def test_secret_scan(spark, texts):
     kinds = (("assign", re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
              ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
