@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PASSAGE = 64                # words of a passage
+PIECE = 48                  # characters of a word; longer runs without a blank are cut into pieces, each a word
 SHAPES = 64                 # hashed word shapes
 EXTRA = 12                  # further features of a passage
 WIDTH = SHAPES + EXTRA
@@ -36,15 +37,22 @@ def _word_code(word: str) -> int:
     """Identity, shape, length, upper-case letters and other signs of a word, in the bits of an integer.
     A shape has U, l, d for letters and digits, signs as they are, runs written once; so it says how a
     word is put together, not which it is."""
-    kinds = word[:256].translate(_KINDS)
+    kinds = word.translate(_KINDS)
     if not kinds.isascii():
         kinds = "".join(k if k in "Uld" or not k.isalnum() else "U" if k.isupper() else "l" if k.isalpha() else "d" for k in kinds)
-    shape = zlib.crc32(_RUN.sub(r"\1", kinds)[:12].encode("utf-8", "surrogatepass")) % SHAPES
+    shape = zlib.crc32(_RUN.sub(r"\1", kinds).encode("utf-8", "surrogatepass")) % SHAPES
     upper, letters = kinds.count("U"), kinds.count("U") + kinds.count("l") + kinds.count("d")
     ident = zlib.crc32(word.lower().encode("utf-8", "surrogatepass"))
     return ident << 24 | shape << 18 | min(len(word), 63) << 12 | min(upper, 63) << 6 | min(len(kinds) - letters, 63)
 
 
+def _pieces(words: list[str]) -> list[str]:
+    """The words, those of more than PIECE characters cut: every character is in a piece."""
+    if max(map(len, words)) <= PIECE:
+        return words
+    return [w[i:i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+
+
 class Encoder:
     """Turns a text into the vectors of its passages; an empty text is one passage without words."""
 
@@ -61,16 +69,17 @@ class Encoder:
 
     def passages(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
-        n = len(words)
-        if not n:
+        if not words:
             out = np.zeros((1, WIDTH), np.float32)
             out[0, SHAPES] = 1.0
             return out
         codes = self.codes
         try:
             c = np.array([codes[w] for w in words], np.int64)
-        except KeyError:
+        except KeyError:                    # a run to be cut is never among the codes
+            words = _pieces(words)
             c = np.array([codes[w] if w in codes else self._code(w) for w in words], np.int64)
+        n = len(c)
         ident, shape, size, upper, signs = c >> 24, c >> 18 & 63, c >> 12 & 63, c >> 6 & 63, c & 63
         count = -(-n // PASSAGE)
         at = np.arange(n) // PASSAGE

@@ -211,6 +211,19 @@ def test_classifiers_on_held_out_rows(spark, duck, n, label, modulus, rest):
     assert auc > (0.75 if n == 5 else 0.95), auc
 
 
+def test_quality_encodes_every_character_of_unbroken_text():
+    from loanpanel.llm import mil
+    rng = np.random.default_rng(4)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 20_000)))
+    got = mil.Encoder().passages(text)
+    assert len(got) == -(-(-(-len(text) // mil.PIECE)) // mil.PASSAGE) == 7
+    spoilt = mil.Encoder().passages(text[:19_000] + "Ab1," * 250)      # far behind the first characters
+    assert (spoilt[:6] != got[:6]).any(axis=0).sum() <= 2 and (spoilt[6] != got[6]).any()
+    assert mil._word_code("aB1,-" * 9 + "cD2") != mil._word_code("aB1,-" * 9 + "c2D")
+    words = [w for w in ("x" * k + "," + "Y" * k for k in range(1, 23))]
+    assert mil._pieces(words) is words and "".join(mil._pieces([*words, text])) == "".join(words) + text
+
+
 def test_decontamination_finds_whole_and_substituted_items(spark, texts, duck):
     split = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     items = {i: split(t) for i, t in duck.execute("select item_id, text from benchmark").fetchall()}
