@@ -5,7 +5,9 @@ many bytes of their own: the words that mark toxic, and ordinary, training docum
 compressed under both; what is toxic costs less under the toxic dictionary. A frame of a few bytes shows
 nothing (its fixed parts weigh more than the text, and the coder leaves the last bytes as they are), so a
 word is compressed between two carriers that both dictionaries hold, and a window's length is the sum of
-its words' lengths. Words repeat, so their pairs of lengths are kept in a bounded cache.
+its words' lengths. Words repeat, so their pairs of lengths are kept in a bounded cache. Lengths are clamped (TOP_T, TOP_O), so a word of more than
+LONG bytes, such as a run of unspaced script, is cut into overlapping pieces that stay below the clamp,
+each of them a word.
 
 The pairs are calibrated on the training rows: each pair has the log of how much oftener it stands in
 toxic documents; a document is described by its windows' sums of these, and a logistic function of that
@@ -30,6 +32,7 @@ from loanpanel.llm.mil import labelled_sample
 
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 WINDOW = 32                 # words of a window
+LONG, PIECE, STEP = 16, 12, 6           # bytes of a word that is not cut, of a piece, and from piece to piece
 BACKGROUND, OWN = 32_768, 8_192         # bytes of the shared and of each own part
 SAMPLE_ROWS = 6_000         # labelled rows to fit on, at most
 SAMPLE_CHARS = 12_000       # longer texts are not fitted on
@@ -39,6 +42,24 @@ _noise = np.random.default_rng(5)
 HEAD, TAIL = (bytes(_noise.integers(128, 256, n).astype(np.uint8)) for n in (48, 24))
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a text, lower-cased; those of more than LONG bytes as overlapping pieces that cover them."""
+    return _pieces(WORD.findall(utf8(text).lower()))
+
+
+def _pieces(words: list[bytes]) -> list[bytes]:
+    if not words or max(map(len, words)) <= LONG:
+        return words
+    out = []
+    for w in words:
+        if len(w) <= LONG:
+            out.append(w)
+        else:
+            out += [w[i:i + PIECE] for i in range(0, len(w) - PIECE, STEP)]
+            out.append(w[-PIECE:])
+    return out
+
+
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
         window_log=17, hash_log=15, chain_log=16, search_log=5, min_match=3, target_length=48, strategy=zstandard.STRATEGY_BTULTRA2,
@@ -80,8 +101,8 @@ class Lengths:
         words, cache = WORD.findall(utf8(text).lower()), self.cache
         try:
             return np.array([cache[w] for w in words], np.int64)
-        except KeyError:
-            return np.array([cache[w] if w in cache else self.code(w) for w in words], np.int64)
+        except KeyError:                    # a word to be cut is never in the cache
+            return np.array([cache[w] if w in cache else self.code(w) for w in _pieces(words)], np.int64)
 
 
 def describe(evidence: np.ndarray) -> list[float]:
@@ -141,7 +162,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 60
 def train(texts: list[str], labels: list[int]) -> ToxicityModel:
     """Fits dictionaries, evidence and calibration. The dictionaries come from one half of the rows and
     the evidence from the other, so that it isn't judged on words it was picked from; then all are used."""
-    bags = [WORD.findall(utf8(t).lower()) for t in texts]
+    bags = [words_of(t) for t in texts]
     y = np.array(labels, float)
     half = np.arange(len(bags)) % 2 == 0
 

@@ -224,6 +224,25 @@ def test_quality_encodes_every_character_of_unbroken_text():
     assert mil._pieces(words) is words and "".join(mil._pieces([*words, text])) == "".join(words) + text
 
 
+def test_toxicity_reads_unbroken_runs():
+    from loanpanel.llm import compression as c
+    rng = np.random.default_rng(8)
+    signs = [chr(x) for x in rng.integers(0x4E00, 0x9FA5, 300)]
+    plain = lambda n: "".join(rng.choice(signs, n))
+    bad = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 8))) for _ in range(3)]
+    texts = [plain(60) + (bad[k % 3] * 2 + plain(20) if y else plain(36)) + plain(60) for k, y in enumerate([0, 0, 1, 1] * 60)]
+    model = c.train(texts[:160], [0, 0, 1, 1] * 40)
+    scores = np.array([model.score(t) for t in texts[160:]]).reshape(-1, 4)
+    assert np.mean([p > q for p in scores[:, 2:].flat for q in scores[:, :2].flat]) > 0.9
+    run = "".join(texts).encode()
+    pieces = c.words_of(run.decode())
+    at = [*range(0, len(run) - c.PIECE, c.STEP), len(run) - c.PIECE]
+    assert pieces == [run[i:i + c.PIECE] for i in at] and len(model.codes(run.decode())) == len(pieces)
+    lengths = c.Lengths(b"", b"")
+    noise = rng.integers(0x4E00, 0x9FA5, (200, 4))
+    assert max(lengths.code("".join(map(chr, n)).encode()) // c.TOP_O for n in noise) < c.TOP_T - 1
+
+
 def test_decontamination_finds_whole_and_substituted_items(spark, texts, duck):
     split = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     items = {i: split(t) for i, t in duck.execute("select item_id, text from benchmark").fetchall()}
