@@ -54,8 +54,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated),
           ("redacted", redacted), ("packed", packed)]
 
-#: SQL cannot express the stages (a fitted network, 64-bit hashes, spaced seeds, a tokenizer); the tests
-#: hold them against brute-force versions.
+#: SQL cannot express the stages (a fitted network, 64-bit hashes, spaced seeds, a tokenizer). The tests
+#: hold the operators against brute-force versions, and of the stages' own functions ``keep_one``, and
+#: ``drop_contaminated`` for short items; a test of the whole pipeline is open.
 ORACLE_SQL = None
 
 
