@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanpanel.llm import (compression, decontaminate, licenses, mil, packing, secrets, simhash, substring,
-                           token_files, topk)
+from loanpanel.llm import (compression, decontaminate, licenses, mil, packing, personal, phrases, runs, secrets, simhash,
+                           substring, token_files, topk)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -95,3 +95,41 @@ def op9(spark, sf_dir):
 @query("op10_token_files")
 def op10(spark, sf_dir):
     return token_files.round_trip(_table(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf_dir):
+    return runs.run_digests(runs.periodic_runs(_table(spark, sf_dir, "documents"), copies=4, min_words=6, rewrite=runs.repeat_tail))
+
+
+@query("op12_collocations", """
+with d as (
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) as piece from d),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from p),
+g as (
+  select lang, s as size, unnest(list_transform(range(1, len(w) - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))) as phrase
+  from w, (values (1), (2), (3)) v(s) where len(w) >= s),
+c as (select lang, size, phrase, count(*) as f from g group by all),
+n as (select lang, sum(f)::bigint as n from c where size = 1 group by lang),
+k as (select lang, size, phrase, f as a, string_split(phrase, ' ') as w from c where size >= 2 and f >= 10),
+cuts as (
+  select k.lang, k.size, k.phrase, a, l.f as l, r.f as r, cut, ((1000000::hugeint * a * a) // (l.f::hugeint * r.f)) as score
+  from k, (values (1), (2)) v(cut), c l, c r
+  where cut < k.size and l.lang = k.lang and l.phrase = array_to_string(k.w[1:cut], ' ')
+    and r.lang = k.lang and r.phrase = array_to_string(k.w[cut + 1:], ' ')),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+kept as (
+  select * from best b where not exists (
+    select 1 from k where k.lang = b.lang and k.size > b.size and 100 * k.a >= 50 * b.a
+      and (array_to_string(k.w[1:2], ' ') = b.phrase or array_to_string(k.w[2:3], ' ') = b.phrase))),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join n using (lang) where rank <= 2000""")
+def op12(spark, sf_dir):
+    return phrases.collocations(_table(spark, sf_dir, "documents"), longest=3, least=10, absorb_percent=50, top=2000)
+
+
+@query("op13_personal_data")
+def op13(spark, sf_dir):
+    return personal.span_digests(personal.personal_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")))
