@@ -111,19 +111,24 @@ w as (select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), la
 g as (
   select lang, s as size, unnest(list_transform(range(1, len(w) - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))) as phrase
   from w, (values (1), (2), (3)) v(s) where len(w) >= s),
-c as (select lang, size, phrase, count(*) as f from g group by all),
+c as materialized (select lang, size, phrase, count(*) as f from g group by all),
 n as (select lang, sum(f)::bigint as n from c where size = 1 group by lang),
-k as (select lang, size, phrase, f as a, string_split(phrase, ' ') as w from c where size >= 2 and f >= 10),
-cuts as (
-  select k.lang, k.size, k.phrase, a, l.f as l, r.f as r, cut, ((1000000::hugeint * a * a) // (l.f::hugeint * r.f)) as score
-  from k, (values (1), (2)) v(cut), c l, c r
-  where cut < k.size and l.lang = k.lang and l.phrase = array_to_string(k.w[1:cut], ' ')
-    and r.lang = k.lang and r.phrase = array_to_string(k.w[cut + 1:], ' ')),
+k as materialized (select lang, size, phrase, f as a, string_split(phrase, ' ') as w from c where size >= 2 and f >= 10),
+cut as materialized (
+  select lang, size, phrase, a, cut, array_to_string(w[1:cut], ' ') as head, array_to_string(w[cut + 1:], ' ') as rest
+  from k, (values (1), (2)) v(cut) where cut < size),
+lefts as materialized (select cut.*, c.f as l from cut join c on c.lang = cut.lang and c.phrase = cut.head),
+cuts as materialized (
+  select lefts.*, c.f as r, ((1000000::hugeint * a * a) // (l::hugeint * c.f::hugeint)) as score
+  from lefts join c on c.lang = lefts.lang and c.phrase = lefts.rest),
 best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+inside as (
+  select lang, array_to_string(w[1:2], ' ') as phrase, a from k where size = 3
+  union all select lang, array_to_string(w[2:3], ' '), a from k where size = 3),
+longer as (select lang, phrase, max(a) as more from inside group by all),
 kept as (
-  select * from best b where not exists (
-    select 1 from k where k.lang = b.lang and k.size > b.size and 100 * k.a >= 50 * b.a
-      and (array_to_string(k.w[1:2], ' ') = b.phrase or array_to_string(k.w[2:3], ' ') = b.phrase))),
+  select best.* from best left join longer on longer.lang = best.lang and longer.phrase = best.phrase
+  where more is null or 100 * more < 50 * a),
 ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
 select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join n using (lang) where rank <= 2000""")
 def op12(spark, sf_dir):
