@@ -9,18 +9,24 @@ counts is hashed or broadcast, and Spark splits a key that very many candidates
 longer candidates that extend a phrase to the right or to the left come by the same joins. No part of a
 candidate is missing from the streams, as a part occurs at least as often as the whole.
 
-Counting sorts too: each task counts chunks of its texts by sorting word numbers, and sends one row for
-each phrase of a chunk, so a phrase that stands everywhere is a row per chunk and not one per occurrence.
-Spark adds the rows up; only phrases that reach ``least`` leave that step.
+Counting is an external sort as well. A task counts chunks of its texts by sorting word numbers, in which
+a phrase that stands everywhere is one entry of a chunk and not one per occurrence. A chunk's sorted
+phrases are cut at splitters that all tasks share, and each cut travels as one compressed block; whoever
+gets a range of keys merges its blocks and adds up equal neighbours. Only phrases that reach ``least``
+leave that step. The splitters are quantiles of the phrases of a bounded random sample of documents: they
+decide how evenly ranges are cut, never what is counted.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +34,7 @@ from pyspark.sql.window import Window
 from loanpanel.llm.common import utf8, write_stage
 
 CHUNK_BYTES = 8 << 20               # text whose phrases a task counts at once: some 10 bytes of memory for each
+SAMPLE_DOCS, SAMPLE_CHARS = 1000, 2000      # what the splitters of ranges are taken from
 BREAK = b"\xff"                     # never in UTF-8, so it can stand for the end of a piece
 #: A-Z lower-cased, a tab is a blank, what ends a piece is a break
 _FOLD = bytes(ord(BREAK) if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -41,10 +48,14 @@ def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_chunk(texts: list[bytes], longest: int) -> list[tuple[pa.Array, np.ndarray]]:
-    """For 1 to ``longest`` words: the phrases of these texts (words joined by a blank) and their counts."""
+    """For 1 to ``longest`` words: the phrases of these texts (words joined by a blank) in prefix order, and
+    their counts."""
     words = BREAK.join(texts).translate(_FOLD).replace(BREAK, b" \xff ").split()
     coded = pa.array(words, pa.binary()).dictionary_encode()
-    ids, vocabulary = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    ids, vocabulary = place[coded.indices.to_numpy(zero_copy_only=False)], coded.dictionary.take(pa.array(order))
     is_word = ids != (pc.index(vocabulary, pa.scalar(BREAK, pa.binary())).as_py() if len(vocabulary) else 0)
     out, names = [], vocabulary
     phrase, ok = ids, is_word                    # number of the phrase that starts at each place
@@ -65,23 +76,69 @@ def count_chunk(texts: list[bytes], longest: int) -> list[tuple[pa.Array, np.nda
     return out
 
 
+def pack_block(names: pa.Array, n: np.ndarray) -> bytes:
+    """Phrases and their counts as compressed bytes: lengths, counts, characters."""
+    ends = np.frombuffer(names.buffers()[1], np.int32)[names.offset:names.offset + len(names) + 1]
+    letters = memoryview(names.buffers()[2])[ends[0]:ends[-1]] if ends[-1] > ends[0] else b""
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.int64(len(n)).tobytes(), np.diff(ends).tobytes(), n.astype(np.int64).tobytes(), letters]))
+
+
+def unpack_block(block: bytes) -> tuple[pa.Array, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(block)
+    k = int(np.frombuffer(data, np.int64, 1)[0])
+    ends = np.concatenate(([0], np.cumsum(np.frombuffer(data, np.int32, k, 8)))).astype(np.int32)
+    n = np.frombuffer(data, np.int64, k, 8 + 4 * k) if k % 2 == 0 else np.frombuffer(data[8 + 4 * k:8 + 12 * k], np.int64)
+    return pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(ends), pa.py_buffer(data[8 + 12 * k:])]), n
+
+
+def merge_blocks(blocks: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The phrases of sorted blocks, each once, with the sums of their counts."""
+    parts = [unpack_block(x) for x in blocks]
+    names, n = pa.concat_arrays([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+    if len(parts) == 1:
+        return names, n
+    order = pc.sort_indices(names)
+    names, n = names.take(order), n[order.to_numpy()]
+    first = np.concatenate(([True], pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)))
+    at = np.flatnonzero(first)
+    return names.take(pa.array(at)), np.add.reduceat(n, at)
+
+
+def range_splitters(rows: DataFrame, ranges: int, longest: int) -> list[tuple]:
+    """Up to ``ranges`` - 1 keys (language, word, word, ...) that cut the phrases of a bounded sample evenly."""
+    found = set()
+    for lang, text in rows.select("lang", F.left("text", F.lit(SAMPLE_CHARS))).orderBy(F.rand(7)).limit(SAMPLE_DOCS).collect():
+        for piece in utf8(text).translate(_FOLD).split(BREAK):
+            words = piece.split()
+            found |= {(lang, *words[i:i + longest]) for i in range(len(words))}
+    keys = sorted(found)
+    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+
+
 def phrase_counts(docs: DataFrame, lang_col: str, text_col: str, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, n) of the phrases of 1 to ``longest`` words that occur ``least`` times or more in
     a language, as a written table, and (lang, n) of all its word occurrences."""
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    splitters = range_splitters(rows, ranges, longest)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
         bytes_of: dict[str, int] = {}
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
             bytes_of.pop(lang)
+            low, own = bisect_left(splitters, (lang,)), [x[1:] for x in splitters if x[0] == lang]
+            out = []
             for size, (names, n) in enumerate(count_chunk(held.pop(lang), longest), 1):
-                if len(n):
-                    total = pa.array([int(n.sum())] if size == 1 else [], pa.int64())
-                    rows = len(n) + len(total)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * rows), pa.concat_arrays([names.cast(pa.string()), pa.nulls(len(total), pa.string())]),
-                         pa.array([size] * len(n) + [0] * len(total), pa.int32()), pa.concat_arrays([pa.array(n, pa.int64()), total])],
-                        ["lang", "phrase", "size", "n"])
+                key = lambda i: tuple(names[i].as_py().split(b" "))                  # noqa: B023, E731
+                ends = [bisect_left(range(len(names)), x, key=key) for x in own]
+                out += [(low + j, lang, size, pack_block(names[a:b], n[a:b])) for j, (a, b) in enumerate(zip([0, *ends], [*ends, len(names)])) if b > a]
+                if size == 1 and len(n):
+                    out.append((low, lang, 0, pack_block(pa.array([b""], pa.binary()), np.array([n.sum()]))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.string(), pa.int32(), pa.binary()))],
+                                                 ["part", "lang", "size", "block"])
 
         for b in batches:
             for lang, text in zip(b.column(0), b.column(1)):
@@ -93,11 +150,19 @@ def phrase_counts(docs: DataFrame, lang_col: str, text_col: str, longest: int, l
         for lang in list(held):
             yield from flush(lang)
 
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    parts = rows.mapInArrow(each, "lang string, phrase string, size int, n long")
-    sums = parts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
-    counts = write_stage(sums, "phrase-counts")
-    return counts.where(F.col("size") > 0), counts.where(F.col("size") == 0).select("lang", F.col("n").alias("total"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = ((r["lang"], r["size"], r["block"]) for b in batches for r in b.to_pylist())
+        for (lang, size), group in groupby(blocks, key=lambda x: x[:2]):
+            names, n = merge_blocks([x[2] for x in group])
+            keep = np.flatnonzero((n >= least) | (size == 0))
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keep)), names.take(pa.array(keep)).cast(pa.string()), pa.array([size] * len(keep), pa.int32()), pa.array(n[keep])],
+                                                 ["lang", "phrase", "size", "n"])
+
+    parts = rows.mapInArrow(cut, "part int, lang string, size int, block binary").repartitionById(ranges, F.col("part"))
+    counts = write_stage(parts.sortWithinPartitions("lang", "size").select("lang", "size", "block").mapInArrow(merge, "lang string, phrase string, size int, n long"), "phrase-counts")
+    totals = counts.where(F.col("size") == 0).groupBy("lang").agg(F.sum("n").alias("total"))
+    return counts.where(F.col("size") > 0), totals
 
 
 def _backwards(phrase: Column) -> Column:
