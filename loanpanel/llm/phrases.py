@@ -107,7 +107,8 @@ def merge_blocks(blocks: list[bytes]) -> tuple[pa.Array, np.ndarray]:
 def range_splitters(rows: DataFrame, ranges: int, longest: int) -> list[tuple]:
     """Up to ``ranges`` - 1 keys (language, word, word, ...) that cut the phrases of a bounded sample evenly."""
     found = set()
-    for lang, text in rows.select("lang", F.left("text", F.lit(SAMPLE_CHARS))).orderBy(F.rand(7)).limit(SAMPLE_DOCS).collect():
+    share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))        # so the tasks together send some SAMPLE_DOCS rows
+    for lang, text in rows.sample(share, 7).select("lang", F.left("text", F.lit(SAMPLE_CHARS))).collect():
         for piece in utf8(text).translate(_FOLD).split(BREAK):
             words = piece.split()
             found |= {(lang, *words[i:i + longest]) for i in range(len(words))}
