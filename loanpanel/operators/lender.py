@@ -1,8 +1,9 @@
 """Lender and regional score statistics.
 
-Every statistic is a partial aggregate (count/sum/moments, exact
-percentiles over a bounded score domain), so a servicer holding a third
-of all loans is combined map-side before the shuffle.  Region statistics
+Every statistic is a partial aggregate (count/sum/moments), so a servicer
+holding a third of all loans is combined map-side before the shuffle;
+exact quartiles are read by rank from segments of the order, so no task
+holds a group's values.  Region statistics
 are joined back onto loans with an equi-join; AQE turns it into a
 broadcast when the runtime size of the region table is under the
 broadcast threshold, otherwise it stays a shuffle join.  Leave-one-out
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanpanel.functions.exprs import safe_div, two_sided_t_pvalue
+from loanpanel.functions.segments import grouped_quantiles
 
 OTHER_SERVICERS = "Other servicers"  # fixed value: the catch-all servicer name
 
@@ -29,18 +31,20 @@ def exclude_servicer(df: DataFrame, servicer: str = "servicerName",
 def credit_quality_trend(df: DataFrame, group=("servicerName", "Month"),
                          score: str = "creditScore") -> DataFrame:
     """L18 (F1 + F4 + F5): count, mean, std, var, min, max, p25, p75 and
-    ``Coef_var`` = (p75 - p25) / mean per group, in one aggregate."""
+    ``Coef_var`` = (p75 - p25) / mean per group: one aggregate, and the quartiles by rank."""
     s = F.col(score)
-    out = df.where(F.col(score).isNotNull()).groupBy(*group).agg(
+    base = df.where(F.col(score).isNotNull())
+    out = base.groupBy(*group).agg(
         F.count(s).alias(f"{score}_count"),
         F.avg(s).alias(f"{score}_mean"),
         F.stddev_samp(s).alias(f"{score}_std"),
         F.var_samp(s).alias(f"{score}_var"),
         F.min(s).alias(f"{score}_min"),
         F.max(s).alias(f"{score}_max"),
-        F.percentile(s, 0.25).alias("pctl_25"),
-        F.percentile(s, 0.75).alias("pctl_75"),
     )
+    quartiles = grouped_quantiles(base, group, score, {"pctl_25": 0.25, "pctl_75": 0.75})
+    same = [F.col(f"a.`{g}`").eqNullSafe(F.col(f"q.`{g}`")) for g in group]
+    out = out.alias("a").join(quartiles.alias("q"), same, "left").select("a.*", "q.pctl_25", "q.pctl_75")
     return out.withColumn("Coef_var", safe_div(F.col("pctl_75") - F.col("pctl_25"), f"{score}_mean"))
 
 

@@ -13,10 +13,18 @@ Scale design
 * Row-level work (percentiles, variance, rolling frames) gets the period
   facts back through an equi-join on *(loan, period)*; hashing on both keys
   spreads even a very large loan over many tasks.
-* Rolling frames (G8/L9) run over fixed-size chunks of a loan's ordered
-  rows; each chunk also receives the ``max_width - 1`` rows before it (a
-  halo) so frames that cross a chunk boundary are complete.  No task ever
-  holds a whole loan.
+* A row's position in its loan comes from segments of the order (see
+  ``functions/segments``): rows are counted per (loan, period, segment), a
+  window over these counts gives each segment's carry, and only the rows of
+  one segment are numbered together.  A (loan, period) that holds a third
+  of all rows is spread over a third of the segments.
+* Rolling frames of given widths (G8) run over fixed-size chunks of a loan's
+  ordered rows; each chunk also receives the ``max_width - 1`` rows before it
+  (a halo) so frames that cross a chunk boundary are complete.  All widths
+  together (L9) come from doubling levels (``operators/widths``).  No task
+  ever holds a whole loan.
+* Quartiles per loan are read by rank from the same kind of segments, not
+  from a merged map of the loan's values.
 * Loan-level results come from one ``groupBy(loan)`` with conditional
   aggregates (partial aggregation before the shuffle), never from joins of
   several per-feature aggregates.
@@ -29,6 +37,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanpanel.functions.segments import grouped_quantiles, with_segment
+from loanpanel.operators.widths import DEFAULT_BLOCK_ROWS, rates_of_all_widths
+from loanpanel.session import cut_lineage
+
 
 DEFAULT_WINDOW_MONTHS = 3
 DEFAULT_CHUNK_ROWS = 1_000_000
@@ -75,10 +87,14 @@ def period_level(panel: DataFrame, cols: PanelCols = PanelCols(),
                 F.min(cols.upb).alias("min_upb"),
                 F.max(cols.upb).alias("max_upb")))
     w_ord = Window.partitionBy(cols.loan).orderBy(cols.period)
-    w_all = Window.partitionBy(cols.loan)
     before = F.coalesce(F.sum("n_rows").over(w_ord.rowsBetween(Window.unboundedPreceding, -1)),
                         F.lit(0)).cast("long")
-    per = per.withColumn("rows_before", before)
+    return _rank_facts(per.withColumn("rows_before", before), cols, window_months)
+
+
+def _rank_facts(per: DataFrame, cols: PanelCols, window_months: int) -> DataFrame:
+    """Rank and loan-wide facts from rows of (loan, period, ...) with ``rows_before``, ``n_rows`` and ``max_status``."""
+    w_all = Window.partitionBy(cols.loan)
     per = per.withColumn("mth_of_loan", (F.col("rows_before") + 1).cast("int"))
     per = per.withColumn("loan_months_total", F.max("mth_of_loan").over(w_all))
     per = (per.withColumn("loan_rows", F.sum("n_rows").over(w_all))
@@ -88,24 +104,47 @@ def period_level(panel: DataFrame, cols: PanelCols = PanelCols(),
         "in_history", F.col("mth_of_loan") < F.col("loan_months_total") - F.lit(window_months))
 
 
+def segment_level(rows: DataFrame, cols: PanelCols = PanelCols(),
+                  window_months: int = DEFAULT_WINDOW_MONTHS) -> DataFrame:
+    """The facts of :func:`period_level` per (loan, period, ``_seg``), with
+    ``rows_ahead`` (rows of the loan before the segment) and ``history_rows``
+    (rows of the loan that are history).  The windows see one row per
+    (period, segment) of a loan that has rows there."""
+    seg = rows.groupBy(cols.loan, cols.period, "_seg").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(cols.status).alias("max_status"))
+    w_ord = Window.partitionBy(cols.loan).orderBy(cols.period, "_seg")
+    ahead = F.coalesce(F.sum("n_rows").over(w_ord.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seg = seg.withColumn("rows_ahead", ahead.cast("long"))
+    seg = seg.withColumn("rows_before", F.min("rows_ahead").over(Window.partitionBy(cols.loan, cols.period)))
+    seg = _rank_facts(seg, cols, window_months)
+    return seg.withColumn("history_rows", F.sum(F.when(F.col("in_history"), F.col("n_rows")).otherwise(0))
+                                           .over(Window.partitionBy(cols.loan)))
+
+
 def ranked_rows(panel: DataFrame, cols: PanelCols = PanelCols(),
-                window_months: int = DEFAULT_WINDOW_MONTHS, with_pos: bool = True) -> DataFrame:
+                window_months: int = DEFAULT_WINDOW_MONTHS, with_pos: bool = True,
+                segments: int | None = None) -> DataFrame:
     """G1 + G2 + L4 at row level: every panel row with its period facts.
 
     Adds ``mth_of_loan``, ``loan_months_total``, ``in_history`` and, with
     ``with_pos``, ``pos`` (0-based position of the row in the loan's
-    (period, tiebreak) order; a window over (loan, period) only).
+    (period, tiebreak) order) and ``history_rows``.  Positions come from
+    segments of the tiebreak (``segments`` of them; the session's number of
+    shuffle partitions by default), so no task sorts a whole (loan, period).
     """
-    per = period_level(panel, cols, window_months).select(
-        cols.loan, cols.period, "rows_before", "mth_of_loan", "loan_months_total", "in_history",
-        "loan_rows", "loan_max_status", "loan_first_period")
     rows = panel.where(F.col(cols.loan).isNotNull() & F.col(cols.period).isNotNull())
-    joined = rows.join(per, [cols.loan, cols.period], "inner")
+    facts = ["mth_of_loan", "loan_months_total", "in_history", "loan_rows", "loan_max_status", "loan_first_period"]
     if not with_pos:
-        return joined.drop("rows_before")
-    w_tie = Window.partitionBy(cols.loan, cols.period).orderBy(*_order_within_period(cols))
-    return joined.withColumn("pos", F.col("rows_before") + F.row_number().over(w_tie) - 1) \
-                 .drop("rows_before")
+        per = period_level(panel, cols, window_months).select(cols.loan, cols.period, *facts)
+        return rows.join(per, [cols.loan, cols.period], "inner")
+    order = _order_within_period(cols)
+    rows = with_segment(rows, cols.tiebreak or cols.upb, "_seg", segments)
+    unit = [cols.loan, cols.period, "_seg"]
+    seg = segment_level(rows, cols, window_months).select(*unit, "rows_ahead", "history_rows", *facts)
+    inside = Window.partitionBy(*unit).orderBy(*order)
+    return (rows.join(seg, unit, "inner")
+                .withColumn("pos", F.col("rows_ahead") + F.row_number().over(inside) - 1)
+                .drop("rows_ahead", "_seg"))
 
 
 def history_target_split(panel: DataFrame, cols: PanelCols = PanelCols(),
@@ -184,21 +223,28 @@ def _rolling_rates(chunked: DataFrame, cols: PanelCols, widths) -> DataFrame:
     return out
 
 
+_QUARTILES = {"__p25": 0.25, "__p75": 0.75}
+
+
 def _variability_aggs(hist: Column, cols: PanelCols) -> list[Column]:
     upb = F.when(hist, F.col(cols.upb))
-    return [
-        (F.percentile(upb, 0.75) - F.percentile(upb, 0.25)).alias("loan_IQR"),
-        (F.max(upb) - F.min(upb)).alias("loan_Range"),
-        F.var_samp(upb).alias("UPB_var"),
-    ]
+    return [(F.max(upb) - F.min(upb)).alias("loan_Range"), F.var_samp(upb).alias("UPB_var")]
+
+
+def _loan_iqr(history: DataFrame, cols: PanelCols, segments: int | None = None) -> DataFrame:
+    """(loan, ``loan_IQR``) of the loans with a balance among their history rows."""
+    q = grouped_quantiles(history, [cols.loan], cols.upb, _QUARTILES, segments)
+    return q.select(cols.loan, (F.col("__p75") - F.col("__p25")).alias("loan_IQR"))
 
 
 def add_variability_measures(panel: DataFrame, cols: PanelCols = PanelCols(),
-                             window_months: int = DEFAULT_WINDOW_MONTHS) -> DataFrame:
-    """``loan_IQR`` (exact linear-interpolated percentiles), ``loan_Range``
+                             window_months: int = DEFAULT_WINDOW_MONTHS,
+                             segments: int | None = None) -> DataFrame:
+    """``loan_IQR`` (exact linear-interpolated quartiles, read by rank), ``loan_Range``
     and ``UPB_var`` (sample variance) of history balances per loan."""
-    r = ranked_rows(panel, cols, window_months, with_pos=False).where("in_history")
-    return r.groupBy(cols.loan).agg(*_variability_aggs(F.lit(True), cols))
+    r = cut_lineage(ranked_rows(panel, cols, window_months, with_pos=False).where("in_history").select(cols.loan, cols.upb))
+    spread = r.groupBy(cols.loan).agg(*_variability_aggs(F.lit(True), cols))
+    return spread.join(_loan_iqr(r, cols, segments), cols.loan, "left").select(cols.loan, "loan_IQR", "loan_Range", "UPB_var")
 
 
 def add_upb_max_change_rate(panel: DataFrame, cols: PanelCols = PanelCols(),
@@ -214,22 +260,29 @@ def add_upb_max_change_rate(panel: DataFrame, cols: PanelCols = PanelCols(),
         F.max(F.when(owned, F.col(f"_rate_{m}"))).alias(f"max_upb_change_rate_{m}") for m in widths])
 
 
+def _rates_by_loan(history: DataFrame, cols: PanelCols, block_rows: int) -> DataFrame:
+    """(loan, ``__rates``, ``max_upb_change_rates``): element m - 1 is the rate of width m, for all widths that
+    the loan has rows for, and for those up to M - 1 (M = most history rows of any loan, a subquery of
+    the same plan)."""
+    rates = rates_of_all_widths(history.select(F.col(cols.loan).alias("loan"), "pos", F.col(cols.upb).alias("upb"),
+                                               F.col("history_rows").alias("n")), block_rows)
+    widest = history.agg(F.max("history_rows") - 1).scalar()
+    return rates.select(F.col("loan").alias(cols.loan), F.col("rates").alias("__rates"),
+                        F.slice("rates", F.lit(1), widest.cast("int")).alias("max_upb_change_rates"))
+
+
 def upb_change_rate_all_widths(panel: DataFrame, cols: PanelCols = PanelCols(),
                                window_months: int = DEFAULT_WINDOW_MONTHS,
-                               chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                               chunk_rows: int = DEFAULT_BLOCK_ROWS, segments: int | None = None) -> DataFrame:
     """L9 as the source computes it: every width 1..M-1 (M = most history rows
     of any loan), returned long as (loan, width, max_upb_change_rate) for the
-    widths a loan has enough history rows for."""
-    widths = all_widths(panel, cols, window_months)
-    if not widths:
-        return panel.sparkSession.createDataFrame(
-            [], f"{cols.loan} long, width int, max_upb_change_rate double")
-    wide = add_upb_max_change_rate(panel, cols, window_months, widths=widths, chunk_rows=chunk_rows)
-    long = wide.unpivot(cols.loan, [f"max_upb_change_rate_{m}" for m in widths], "__name",
-                        "max_upb_change_rate")
+    widths a loan has enough history rows for.  The plan is the same for every M."""
+    r = ranked_rows(panel, cols, window_months, segments=segments).where("in_history")
+    history = cut_lineage(r.select(cols.loan, "pos", cols.upb, "history_rows"))
+    by_loan = _rates_by_loan(history, cols, chunk_rows)
+    long = by_loan.select(cols.loan, F.posexplode("max_upb_change_rates").alias("__m", "max_upb_change_rate"))
     return (long.where(F.col("max_upb_change_rate").isNotNull())
-                .select(cols.loan, F.regexp_extract("__name", r"(\d+)$", 1).cast("int").alias("width"),
-                        "max_upb_change_rate"))
+                .select(cols.loan, (F.col("__m") + 1).alias("width"), "max_upb_change_rate"))
 
 
 def all_widths(panel: DataFrame, cols: PanelCols = PanelCols(),
@@ -243,25 +296,27 @@ def all_widths(panel: DataFrame, cols: PanelCols = PanelCols(),
 
 def loan_feature_table(panel: DataFrame, loans: DataFrame, cols: PanelCols = PanelCols(),
                        window_months: int = DEFAULT_WINDOW_MONTHS, widths=(1, 2, 3),
-                       drop_incomplete: bool = False,
-                       chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """The loan feature table (L5-L9) in one pass over the panel.
+                       drop_incomplete: bool = False, chunk_rows: int = DEFAULT_BLOCK_ROWS,
+                       segments: int | None = None) -> DataFrame:
+    """The loan feature table.
 
     ``loans`` carries the loan-level columns (score, origination columns);
     loans without panel rows are dropped, as the source builds its loan
-    list from the joined panel.  ``drop_incomplete`` applies the source's
-    listwise deletion (B11).
+    list from the joined panel.  ``max_upb_change_rates`` holds the rate of
+    every width 1..M-1 that the loan has rows for; ``widths`` also come as
+    columns ``max_upb_change_rate_<m>``.  ``drop_incomplete`` applies the
+    source's listwise deletion (B11) to all columns but that array.
+
+    The ranked rows are staged once; flags, quartiles and rates are read from it.
     """
     widths = list(widths)
-    r = ranked_rows(panel, cols, window_months)
-    ch = _rolling_rates(_with_chunks(r, cols, max(widths) if widths else 1, chunk_rows),
-                        cols, widths)
-    own = F.col("owned")
-    hist = own & F.col("in_history")
-    tgt = own & ~F.col("in_history")
+    r = cut_lineage(ranked_rows(panel, cols, window_months, segments=segments)
+                    .select(cols.loan, cols.status, cols.upb, "in_history", "loan_months_total", "pos", "history_rows"))
+    history = r.where("in_history")
+    hist, tgt = F.col("in_history"), ~F.col("in_history")
     prev_flag = F.when(F.max(F.when(hist, F.col(cols.status))) > 0, 1) \
                  .when(F.count(F.when(hist, True)) > 0, 0)
-    feats = ch.groupBy(cols.loan).agg(
+    feats = r.groupBy(cols.loan).agg(
         F.when(F.max(F.when(tgt, F.col(cols.status))) > 0, 1).otherwise(0).alias("default_in_window"),
         prev_flag.alias("prev_defaults"),
         prev_flag.cast("long").alias("prev_defaults_sum"),
@@ -269,10 +324,16 @@ def loan_feature_table(panel: DataFrame, loans: DataFrame, cols: PanelCols = Pan
                F.count(F.when(hist & (F.col(cols.status) > 0), True))).alias("months_in_default"),
         F.avg(F.when(hist, F.col("loan_months_total"))).alias("loan_months_total"),
         *_variability_aggs(hist, cols),
-        *[F.max(F.when(hist, F.col(f"_rate_{m}"))).alias(f"max_upb_change_rate_{m}") for m in widths],
     )
+    feats = feats.join(_loan_iqr(history, cols, segments), cols.loan, "left")
+    feats = feats.join(_rates_by_loan(history, cols, chunk_rows), cols.loan, "left")
+    feats = feats.select(
+        cols.loan, "default_in_window", "prev_defaults", "prev_defaults_sum", "months_in_default", "loan_months_total",
+        "loan_IQR", "loan_Range", "UPB_var",
+        *[F.get("__rates", F.lit(m - 1)).alias(f"max_upb_change_rate_{m}") for m in widths],
+        "max_upb_change_rates")
     out = loans.join(feats, cols.loan, "inner")
-    return out.dropna("any") if drop_incomplete else out
+    return out.dropna("any", subset=[c for c in out.columns if c != "max_upb_change_rates"]) if drop_incomplete else out
 
 
 # --------------------------------------------------------------------------
@@ -345,7 +406,7 @@ def prior_default_rows(monthly: DataFrame, cols: PanelCols = PanelCols(),
     # (loan, period) with the ranks, so a hot loan is never routed to one task
     r = (ranked_rows(monthly, cols).where(F.col("loan_max_status") >= thr)
          .drop("in_history", "mth_of_loan", "loan_months_total", "loan_rows", "loan_max_status",
-               "loan_first_period"))
+               "loan_first_period", "history_rows"))
     ch = _with_chunks(r, cols, 1, chunk_rows, halo_after=2)
     w = Window.partitionBy(cols.loan, "_part").orderBy("pos")
     crossed = F.when(F.col(cols.status) >= thr, 1).otherwise(0)

@@ -12,6 +12,25 @@ from loanpanel.plans.registry import query
 C = T.PANEL_COLS
 WIDTHS = (1, 2, 3)
 
+
+def _rates_text(rates: str = "max_upb_change_rates"):
+    """The rates of all widths as one text, four decimals each."""
+    return F.array_join(F.transform(rates, lambda x: rnd(x, 4).cast("decimal(20, 4)").cast("string")), ",").alias("rates")
+
+
+# every frame of every width from each position backwards, as the oracle reads them
+_ALL_WIDTHS_SQL = """,
+hp as (select loan, upb, row_number() over (partition by loan order by d, obs) - 1 as pos from t where in_history),
+pr as (select a.loan, a.pos as p, b.pos as q, b.upb from hp a join hp b on a.loan = b.loan and b.pos <= a.pos),
+aw as (select loan, p - q + 1 as width,
+              max(upb) over (partition by loan, p order by q desc rows between unbounded preceding and current row) as hi,
+              min(upb) over (partition by loan, p order by q desc rows between unbounded preceding and current row) as lo
+       from pr),
+rw as (select loan, width, cast(round(max((hi - lo) / width), 4) as decimal(20, 4)) as rate
+       from aw where width <= (select max(n) - 1 from (select count(*) as n from hp group by loan))
+       group by loan, width),
+rl as (select loan, string_agg(cast(rate as varchar), ',' order by width) as rates from rw group by loan)"""
+
 # Row-level rank facts as the oracle states them: rank() and max() windows
 # straight on the rows (the Spark side pre-aggregates to (loan, d) first).
 _RANKED_SQL = """,
@@ -107,7 +126,7 @@ hs as (select loan,
               var_samp(upb) as UPB_var
        from t where in_history group by loan),
 rt as (select loan, """ + ", ".join(f"max(rate_{m}) as max_upb_change_rate_{m}" for m in WIDTHS) + """
-       from rr group by loan)"""
+       from rr group by loan)""" + _ALL_WIDTHS_SQL
 
 FEATURE_SELECT = """
 select l.loan, l.score, tg.default_in_window, hs.prev_defaults, hs.prev_defaults_sum, hs.months_in_default,
@@ -115,13 +134,15 @@ select l.loan, l.score, tg.default_in_window, hs.prev_defaults, hs.prev_defaults
        round(hs.loan_Range, 2) as loan_Range, round(hs.UPB_var, 0) as UPB_var, """ + ", ".join(
     f"round(rt.max_upb_change_rate_{m}, 4) as max_upb_change_rate_{m}" for m in WIDTHS) + """
 from loans l join tg using (loan) left join hs using (loan) left join rt using (loan)"""
+# with the rates of all widths
+ALL_WIDTHS_SELECT = FEATURE_SELECT.replace("\nfrom loans l", ", rl.rates\nfrom loans l") + " left join rl using (loan)"
 
 FEATURE_PREFIX = _FEATURE_SQL
 # the loan feature table as a named relation ``feat`` for queries built on it
 FEATURE_CTE = FEATURE_PREFIX + ",\nfeat as (" + FEATURE_SELECT + ")"
 
 
-@query("loan_features", FEATURE_PREFIX + FEATURE_SELECT)
+@query("loan_features", FEATURE_PREFIX + ALL_WIDTHS_SELECT)
 def loan_features(spark, sf_dir):
     loans = T.loans(spark, sf_dir).select("loan", "score")
     f = P.loan_feature_table(T.panel(spark, sf_dir), loans, C, widths=WIDTHS)
@@ -129,7 +150,7 @@ def loan_features(spark, sf_dir):
         "loan", "score", "default_in_window", "prev_defaults", "prev_defaults_sum", "months_in_default",
         rnd("loan_months_total", 4).alias("loan_months_total"), rnd("loan_IQR", 4).alias("loan_IQR"),
         rnd("loan_Range", 2).alias("loan_Range"), rnd("UPB_var", 0).alias("UPB_var"),
-        *[rnd(f"max_upb_change_rate_{m}", 4).alias(f"max_upb_change_rate_{m}") for m in WIDTHS])
+        *[rnd(f"max_upb_change_rate_{m}", 4).alias(f"max_upb_change_rate_{m}") for m in WIDTHS], _rates_text())
 
 
 @query("loan_row_flags", T.with_ctes("panel") + """
@@ -146,7 +167,7 @@ def loan_row_flags(spark, sf_dir):
 
 _EVENT_FEATURE_SQL = (FEATURE_PREFIX.replace(T.with_ctes("panel", "loans"),
                                              "with " + T.EVENT_PANEL_SQL + ",\nloans as (select distinct loan from panel)")
-                      + FEATURE_SELECT.replace("select l.loan, l.score,", "select l.loan,"))
+                      + ALL_WIDTHS_SELECT.replace("select l.loan, l.score,", "select l.loan,"))
 
 
 @query("event_panel_features", _EVENT_FEATURE_SQL)
@@ -159,7 +180,7 @@ def event_panel_features(spark, sf_dir):
         "loan", "default_in_window", "prev_defaults", "prev_defaults_sum", "months_in_default",
         rnd("loan_months_total", 4).alias("loan_months_total"), rnd("loan_IQR", 4).alias("loan_IQR"),
         rnd("loan_Range", 2).alias("loan_Range"), rnd("UPB_var", 0).alias("UPB_var"),
-        *[rnd(f"max_upb_change_rate_{m}", 4).alias(f"max_upb_change_rate_{m}") for m in WIDTHS])
+        *[rnd(f"max_upb_change_rate_{m}", 4).alias(f"max_upb_change_rate_{m}") for m in WIDTHS], _rates_text())
 
 
 @query("upb_change_rate_all", T.with_ctes("panel") + _RANKED_SQL + """,
