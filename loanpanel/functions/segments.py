@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loanpanel.session import cut_lineage
+
 
 def order_number(df: DataFrame, column: str) -> Column:
     """A double that never decreases along ``column``'s order (strings: by their first seven bytes)."""
@@ -62,7 +64,7 @@ def grouped_quantiles(df: DataFrame, group, value: str, qs: dict[str, float], pa
     """Exact linear-interpolated quantiles of ``value`` per group: one row per group that has a value, with
     the columns named in ``qs``.  NULL and NaN values are left out.
 
-    Equal values of a group are first counted together (map-side).  The counts per (group, segment) say in
+    Equal values of a group are first counted together (map-side) and staged.  The counts per (group, segment) say in
     which segments the wanted ranks lie; only those are looked at row by row, by a window over
     (group, segment).  Nothing holds a group's values together.
     """
@@ -70,7 +72,7 @@ def grouped_quantiles(df: DataFrame, group, value: str, qs: dict[str, float], pa
     number = F.col(f"`{value}`").cast("double")
     counts = (df.where(number.isNotNull() & ~F.isnan(number)).select(*group, number.alias("__v"))
               .groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n")))
-    counts = with_segment(counts, "__v", "__seg", parts)
+    counts = with_segment(cut_lineage(counts), "__v", "__seg", parts)
     per = counts.groupBy(*group, "__seg").agg(F.sum("__n").alias("__rows"))
     whole = Window.partitionBy(*group)
     earlier = whole.orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
