@@ -99,14 +99,14 @@ def normal_upper_tail(z: Column) -> Column:
 
 
 # Gauss-Legendre nodes and weights on [0, 1]
-_NODES = [((x + 1) / 2, w / 2) for x, w in zip(*np.polynomial.legendre.leggauss(40))]
+_NODES = [((x + 1) / 2, w / 2) for x, w in zip(*np.polynomial.legendre.leggauss(52))]
 # 1 / z^k terms of gamma(z + 1/2) / (gamma(z) sqrt(z))
-_HALF_STEP = (1.0, -1 / 8, 1 / 128, 5 / 1024, -21 / 32768, -399 / 262144)
-_SHIFT = 16
+_HALF_STEP = (1.0, -1 / 8, 1 / 128, 5 / 1024, -21 / 32768, -399 / 262144, 869 / 4194304)
+_SHIFT = 32
 
 
 def gamma_half_step(z: Column) -> Column:
-    """gamma(z + 1/2) / gamma(z) for z > 0: the asymptotic series at z + 16, brought back by the recurrence."""
+    """gamma(z + 1/2) / gamma(z) for z > 0: the asymptotic series at z + 32, brought back by the recurrence."""
     far = z + _SHIFT
     series = F.lit(0.0)
     for c in reversed(_HALF_STEP):

@@ -3,10 +3,8 @@
 Fits use ``pyspark.ml`` estimators (distributed gradient descent / tree
 growing).  The split is a hash of the loan key, so it is reproducible, needs
 no sort and is the same in SQL.  k-nearest-neighbours is exact but avoids
-the all-pairs product: candidates come from an equi-join on grid cells of the
-highest-variance features (|x_a - y_a| <= |x - y| on every axis, so every
-true neighbour lies in the box whose half-width is any upper bound on the
-k-th neighbour distance).
+the all-pairs product: candidates come from an equi-join on the leaves of a
+k-d tree whose bounding boxes lie within the k-th distance.
 """
 
 from __future__ import annotations
@@ -16,6 +14,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanpanel.operators.neighbors import tree_neighbors
+from loanpanel.session import cut_lineage
+
 TEST_SIZE = 0.33
 SEED = 7
 
@@ -152,129 +153,20 @@ def dedupe_for_knn(tr: DataFrame, feats: list[str], k: int, salts: int = 64) ->
 
 
 def knn_neighbors(train: DataFrame, test: DataFrame, key: str, features: list[str], label: str,
-                  k: int = 10, per_bucket: int = 64, max_buckets: int = 100_000,
-                  axes: int = 2) -> DataFrame:
+                  k: int = 10, per_bucket: int = 64) -> DataFrame:
     """Exact ``k`` nearest training rows (Euclidean, ties by training key) of
     every test row -> (test key, rank, neighbour key, neighbour label, sqdist).
 
-    1. cut the highest-variance feature at approximate quantiles of the
-       training rows into cells of about ``per_bucket`` rows (dense regions
-       get narrow cells); when a heavy tie collapses those cuts, grid on the
-       top ``axes`` features instead so the tie is split by the next axis;
-    2. upper bound: candidates from the same and neighbouring cells,
-       widened round by round until a test row has k candidates; the k-th
-       candidate distance r bounds its true k-th neighbour distance;
-    3. exact pass: every training row in the cells covering the box
-       [x_a - r, x_a + r] on each axis (the box contains the ball of radius
-       r), joined on the cell id, top k by distance.
-    Only rows inside a box are ever paired, and copies of a training point
-    beyond its k smallest keys are dropped first (exactly; see
-    :func:`dedupe_for_knn`)."""
-    from pyspark.ml.feature import Bucketizer
-
-    from loanpanel.session import cut_lineage
+    The training rows are dealt to the leaves (of about ``per_bucket`` rows) of a
+    k-d tree; a test row only meets the leaves whose bounding box is within its
+    k-th distance (see :mod:`loanpanel.operators.neighbors`).  Copies of a training
+    point beyond its k smallest keys are dropped first (exactly; see
+    :func:`dedupe_for_knn`).  Rows with a NULL or NaN feature take no part."""
     feats = list(features)
     tr = train.select(F.col(key).alias("t_key"), F.col(label).alias("t_label"),
                       *[F.col(f).cast("double").alias(f) for f in feats]).dropna()
-    tr = cut_lineage(dedupe_for_knn(tr, feats, k))
     te = test.select(F.col(key).alias("q_key"), *[F.col(f).cast("double").alias(f) for f in feats]).dropna()
-    st = tr.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(f).alias(f"v_{i}") for i, f in enumerate(feats)]).first()
-    n = st["n"]
-    if not n:
-        return (te.join(tr, F.col("q_key") == F.col("t_key"))
-                .select("q_key", F.lit(0).alias("rank"), "t_key", "t_label", F.lit(0.0).alias("sqdist")).limit(0))
-    order = sorted(range(len(feats)), key=lambda i: -(st[f"v_{i}"] or 0.0))
-    cand_axes = [feats[i] for i in order[:max(1, min(axes, len(feats)))]]
-
-    def cuts_for(cols, per_axis):
-        probs = [i / per_axis for i in range(1, per_axis)]
-        if not probs:
-            return [[float("-inf"), 0.0, float("inf")] for _ in cols]
-        q = tr.agg(*[F.percentile_approx(c, probs, 10 * per_axis + 1000).alias(f"q{j}")
-                     for j, c in enumerate(cols)]).first()
-        # Bucketizer needs strictly increasing splits with at least one inner split
-        return [[float("-inf")] + (sorted(set(float(c) for c in q[f"q{j}"])) or [0.0]) + [float("inf")]
-                for j in range(len(cols))]
-
-    # one axis when its quantile cuts stay distinct; a second axis when a
-    # heavy tie collapses them (a tie would otherwise make one huge cell)
-    per_axis = int(min(max(n // per_bucket, 1), max_buckets))
-    splits = cuts_for(cand_axes[:1], per_axis)
-    axis_cols = cand_axes[:1]
-    if len(cand_axes) > 1 and len(splits[0]) - 1 < 0.5 * per_axis:
-        axis_cols = cand_axes
-        per_axis = int(min(max(round((n / per_bucket) ** 0.5), 1), max_buckets))
-        splits = cuts_for(axis_cols, per_axis)
-    dims = len(axis_cols)
-    sizes = [len(sp) - 1 for sp in splits]
-
-    def bucketize(df: DataFrame, j: int, src: str, out: str) -> DataFrame:
-        b = Bucketizer(splits=splits[j], inputCol=src, outputCol=out + "_d", handleInvalid="keep")
-        return b.transform(df).withColumn(out, F.col(out + "_d").cast("long")).drop(out + "_d")
-
-    def with_cells(df: DataFrame) -> DataFrame:
-        for j, c in enumerate(axis_cols):
-            df = bucketize(df, j, c, f"__b{j}")
-        return df
-
-    # both sides are read once per widening round: cut their lineage once
-    trb = cut_lineage(with_cells(tr))
-    teb = cut_lineage(with_cells(te))
-    q_cols = ["q_key"] + [f"__b{j}" for j in range(dims)] + feats
-
-    def top_k(cand: DataFrame) -> DataFrame:
-        w = Window.partitionBy("q_key").orderBy("sqdist", "t_key")
-        return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    def cell_ids(ranges) -> Column:
-        """Array of cell structs covering the per-axis bucket ranges (clamped)."""
-        seqs = [F.sequence(F.greatest(lo, F.lit(0).cast("long")), F.least(hi, F.lit(sizes[j] - 1).cast("long")))
-                for j, (lo, hi) in enumerate(ranges)]
-        if dims == 1:
-            return F.transform(seqs[0], lambda x: F.struct(x.alias("c0")))
-        return F.flatten(F.transform(seqs[0], lambda x: F.transform(
-            seqs[1], lambda y: F.struct(x.alias("c0"), y.alias("c1")))))
-
-    def candidates(q: DataFrame, ranges) -> DataFrame:
-        qb = q.select(*[F.col(c) for c in q_cols], F.explode(cell_ids(ranges)).alias("__cell"))
-        qb = qb.select(*[F.col(c) for c in q_cols], *[F.col(f"__cell.c{j}").alias(f"__j{j}") for j in range(dims)])
-        t = trb.select(*[F.col(f"__b{j}").alias(f"__j{j}") for j in range(dims)], "t_key", "t_label",
-                       *[F.col(f).alias(f"t_{f}") for f in feats])
-        d = None
-        for f in feats:
-            diff = F.col(f) - F.col(f"t_{f}")
-            d = diff * diff if d is None else d + diff * diff
-        return qb.join(t, [f"__j{j}" for j in range(dims)]).select("q_key", "t_key", "t_label", d.alias("sqdist"))
-
-    # 2. upper bound on the k-th distance, widening the cell window as needed
-    need = min(k, n)
-    n_test = teb.count()
-    bounds = []
-    pending = teb.select(*q_cols)
-    reach, n_done = 1, 0
-    while True:
-        ranges = [(F.col(f"__b{j}") - reach, F.col(f"__b{j}") + reach) for j in range(dims)]
-        kth = top_k(candidates(pending, ranges)).groupBy("q_key").agg(
-            F.count(F.lit(1)).alias("c"), F.max("sqdist").alias("r2"))
-        done = cut_lineage(kth.where(F.col("c") >= need).select("q_key", "r2"))
-        bounds.append(done)
-        n_done += done.count()
-        if n_done >= n_test or reach >= max(sizes):
-            break
-        pending = cut_lineage(pending.join(done, "q_key", "left_anti"))
-        reach *= 4
-    bound = bounds[0]
-    for b in bounds[1:]:
-        bound = bound.unionByName(b)
-    # 3. exact pass over the cells covering the box around the radius-r ball
-    r = F.sqrt(F.col("r2"))
-    qr = teb.select(*q_cols).join(bound, "q_key")
-    for j, c in enumerate(axis_cols):
-        qr = qr.withColumn(f"__lo_p{j}", F.col(c) - r).withColumn(f"__hi_p{j}", F.col(c) + r)
-        qr = bucketize(bucketize(qr, j, f"__lo_p{j}", f"__lo{j}"), j, f"__hi_p{j}", f"__hi{j}")
-    # one spare bucket on each side absorbs rounding at the box edges
-    band = candidates(qr, [(F.col(f"__lo{j}") - 1, F.col(f"__hi{j}") + 1) for j in range(dims)])
-    return top_k(band).select("q_key", "rank", "t_key", "t_label", "sqdist")
+    return tree_neighbors(cut_lineage(dedupe_for_knn(tr, feats, k)), te, feats, k, per_bucket)
 
 
 def knn_predictions(neigh: DataFrame, ks: Iterable[int] = range(1, 11)) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanpanel.functions.segments import grouped_quantiles, with_segment
-from loanpanel.operators.widths import DEFAULT_BLOCK_ROWS, rates_of_all_widths
+from loanpanel.operators.widths import DEFAULT_BLOCK_ROWS, series_measures
 from loanpanel.session import cut_lineage
 
 
@@ -260,15 +260,16 @@ def add_upb_max_change_rate(panel: DataFrame, cols: PanelCols = PanelCols(),
         F.max(F.when(owned, F.col(f"_rate_{m}"))).alias(f"max_upb_change_rate_{m}") for m in widths])
 
 
-def _rates_by_loan(history: DataFrame, cols: PanelCols, block_rows: int) -> DataFrame:
-    """(loan, ``__rates``, ``max_upb_change_rates``): element m - 1 is the rate of width m, for all widths that
-    the loan has rows for, and for those up to M - 1 (M = most history rows of any loan, a subquery of
-    the same plan)."""
-    rates = rates_of_all_widths(history.select(F.col(cols.loan).alias("loan"), "pos", F.col(cols.upb).alias("upb"),
-                                               F.col("history_rows").alias("n")), block_rows)
+def _series_by_loan(history: DataFrame, cols: PanelCols, block_rows: int, segments: int | None) -> DataFrame:
+    """(loan, ``__rates``, ``max_upb_change_rates``, ``loan_IQR``) of the history rows.  Element m - 1 of the
+    two arrays is the rate of width m, for all widths that the loan has rows for, and for those up to M - 1
+    (M = most history rows of any loan, a subquery of the same plan)."""
+    rows = history.select(F.col(cols.loan).alias("loan"), "pos", F.col(cols.upb).alias("upb"), F.col("history_rows").alias("n"))
+    found = series_measures(rows, list(_QUARTILES.values()), block_rows, segments)
     widest = history.agg(F.max("history_rows") - 1).scalar()
-    return rates.select(F.col("loan").alias(cols.loan), F.col("rates").alias("__rates"),
-                        F.slice("rates", F.lit(1), widest.cast("int")).alias("max_upb_change_rates"))
+    return found.select(F.col("loan").alias(cols.loan), F.col("rates").alias("__rates"),
+                        F.slice("rates", F.lit(1), widest.cast("int")).alias("max_upb_change_rates"),
+                        (F.get("quantiles", F.lit(1)) - F.get("quantiles", F.lit(0))).alias("loan_IQR"))
 
 
 def upb_change_rate_all_widths(panel: DataFrame, cols: PanelCols = PanelCols(),
@@ -279,7 +280,7 @@ def upb_change_rate_all_widths(panel: DataFrame, cols: PanelCols = PanelCols(),
     widths a loan has enough history rows for.  The plan is the same for every M."""
     r = ranked_rows(panel, cols, window_months, segments=segments).where("in_history")
     history = cut_lineage(r.select(cols.loan, "pos", cols.upb, "history_rows"))
-    by_loan = _rates_by_loan(history, cols, chunk_rows)
+    by_loan = _series_by_loan(history, cols, chunk_rows, segments)
     long = by_loan.select(cols.loan, F.posexplode("max_upb_change_rates").alias("__m", "max_upb_change_rate"))
     return (long.where(F.col("max_upb_change_rate").isNotNull())
                 .select(cols.loan, (F.col("__m") + 1).alias("width"), "max_upb_change_rate"))
@@ -325,8 +326,7 @@ def loan_feature_table(panel: DataFrame, loans: DataFrame, cols: PanelCols = Pan
         F.avg(F.when(hist, F.col("loan_months_total"))).alias("loan_months_total"),
         *_variability_aggs(hist, cols),
     )
-    feats = feats.join(_loan_iqr(history, cols, segments), cols.loan, "left")
-    feats = feats.join(_rates_by_loan(history, cols, chunk_rows), cols.loan, "left")
+    feats = feats.join(_series_by_loan(history, cols, chunk_rows, segments), cols.loan, "left")
     feats = feats.select(
         cols.loan, "default_in_window", "prev_defaults", "prev_defaults_sum", "months_in_default", "loan_months_total",
         "loan_IQR", "loan_Range", "UPB_var",

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanpanel.functions.segments import grouped_quantiles
+
 DEFAULT_BLOCK_ROWS = 4096
 BATCH_ROWS = 262_144
 
@@ -70,12 +72,29 @@ def rates_across(start: np.ndarray, end: np.ndarray, between: int, high: float |
     return out
 
 
+def quantiles_of(values: np.ndarray, lengths: np.ndarray, qs: list[float]) -> np.ndarray:
+    """Linear-interpolated quantiles of several series, laid end to end: one row per series, NaN where a
+    series has no value.  NaN marks a missing value."""
+    series = np.repeat(np.arange(len(lengths)), lengths)
+    ordered = values[np.lexsort((values, series))]           # NaN come last in their series
+    n = np.bincount(series[~np.isnan(values)], minlength=len(lengths))
+    begin = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+    out = np.full((len(lengths), len(qs)), np.nan)
+    have = n > 0
+    for j, q in enumerate(qs):
+        at = q * (n[have] - 1)
+        low = np.floor(at).astype(np.int64)
+        a, b = ordered[begin[have] + low], ordered[begin[have] + np.ceil(at).astype(np.int64)]
+        out[have, j] = a + (b - a) * (at - low)
+    return out
+
+
 def _column(values: np.ndarray) -> pa.Array:
     return pa.array(values, pa.float64(), mask=np.isnan(values))
 
 
-def _whole_series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(loan, rates) of the series in a sorted stream of (loan, upb)."""
+def _whole_series(batches: Iterator[pa.RecordBatch], qs: list[float]) -> Iterator[pa.RecordBatch]:
+    """(loan, rates, quantiles) of the series in a sorted stream of (loan, upb)."""
     held: list[pa.RecordBatch] = []
     rows = 0
 
@@ -86,7 +105,10 @@ def _whole_series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         lengths = np.diff(np.append(at, len(codes)))
         rates = rates_by_width(values, lengths)
         offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([codes.take(pa.array(at)), pa.ListArray.from_arrays(pa.array(offsets), _column(np.concatenate(rates)))], ["loan", "rates"])
+        points = quantiles_of(values, lengths, qs)
+        steps = pa.array(np.arange(len(at) + 1, dtype=np.int32) * len(qs))
+        yield pa.RecordBatch.from_arrays([codes.take(pa.array(at)), pa.ListArray.from_arrays(pa.array(offsets), _column(np.concatenate(rates))),
+                                          pa.ListArray.from_arrays(steps, _column(points.ravel()))], ["loan", "rates", "quantiles"])
 
     for b in batches:
         if not b.num_rows:
@@ -160,17 +182,30 @@ def _block_pairs(rows: DataFrame, block_rows: int) -> DataFrame:
     return found.where("rate is not null").groupBy("loan", "width").agg(F.max("rate").alias("rate"))
 
 
-def rates_of_all_widths(rows: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """(loan, rates) from (loan, pos, upb, n): rates[m - 1] is the largest rate of width m, NULL where no
-    full frame counts.  ``pos`` runs from 0 to n - 1 in each loan; a frame with a NULL or NaN balance does not count."""
+def series_measures(rows: DataFrame, qs: list[float], block_rows: int = DEFAULT_BLOCK_ROWS, segments: int | None = None) -> DataFrame:
+    """(loan, rates, quantiles) from (loan, pos, upb, n): rates[m - 1] is the largest rate of width m, NULL
+    where no full frame counts (widths beyond the last that counts may be left out), and the linear-interpolated
+    quantiles ``qs`` of the balances.  ``pos`` runs from 0 to n - 1 in each loan; a NULL or NaN balance
+    is missing.  Loans longer than a block are cut: frames by blocks, quantiles by rank."""
     upb = F.col("upb").cast("double")
     rows = rows.select("loan", "pos", F.when(~F.isnan(upb), upb).alias("upb"), "n")
     kind = rows.schema["loan"].dataType.simpleString()
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     short = (rows.where(F.col("n") <= block_rows).repartition(parts, "loan").sortWithinPartitions("loan", "pos")
-             .select("loan", "upb").mapInArrow(_whole_series, f"loan {kind}, rates array<double>"))
-    pairs = _block_pairs(rows.where(F.col("n") > block_rows), block_rows)
-    by_width = pairs.groupBy("loan").agg(F.map_from_entries(F.collect_list(F.struct("width", "rate"))).alias("m"))
+             .select("loan", "upb").mapInArrow(lambda b: _whole_series(b, qs), f"loan {kind}, rates array<double>, quantiles array<double>"))
+    cut = rows.where(F.col("n") > block_rows)
+    if cut.isEmpty():                                        # stops at the first row of a long loan
+        return short
+    by_width = _block_pairs(cut, block_rows).groupBy("loan").agg(F.map_from_entries(F.collect_list(F.struct("width", "rate"))).alias("m"))
     widest = F.array_max(F.map_keys("m"))
     long = by_width.select("loan", F.transform(F.sequence(F.lit(1).cast("long"), widest), lambda w: F.try_element_at("m", w)).alias("rates"))
-    return short.unionByName(long)
+    names = {f"q{i}": q for i, q in enumerate(qs)}
+    points = F.array(*[F.col(c) for c in names]) if names else F.array().cast("array<double>")
+    if names:
+        long = long.join(grouped_quantiles(cut, ["loan"], "upb", names, segments), "loan", "left")
+    return short.unionByName(long.select("loan", "rates", points.alias("quantiles")))
+
+
+def rates_of_all_widths(rows: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """(loan, rates) of :func:`series_measures`."""
+    return series_measures(rows, [], block_rows).select("loan", "rates")

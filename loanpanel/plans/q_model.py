@@ -14,6 +14,7 @@ from loanpanel.operators import select as SEL
 from loanpanel.plans import driver_tables as T
 from loanpanel.plans.q_panel import FEATURE_CTE, loan_features
 from loanpanel.plans.registry import query
+from loanpanel.session import cut_lineage
 
 LABEL = "default_in_window"
 FEATURES = ["score", "prev_defaults", "loan_months_total", "loan_IQR", "loan_Range", "UPB_var",
@@ -22,8 +23,8 @@ KS = list(range(1, 11))
 
 
 def model_frame(spark, sf_dir):
-    """Loans with every feature present (listwise deletion, B11)."""
-    return loan_features(spark, sf_dir).select("loan", LABEL, *FEATURES).dropna()
+    """Loans with every feature present (listwise deletion, B11), staged: the fits read it many times."""
+    return cut_lineage(loan_features(spark, sf_dir).select("loan", LABEL, *FEATURES).dropna())
 
 
 def _split(spark, sf_dir):
