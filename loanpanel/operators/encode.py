@@ -1,10 +1,10 @@
 """Encodings of loan codes and flags.
 
 Static code maps are literal ``when`` chains or ``create_map`` lookups;
-dynamic one-hot and label encodings need the set of observed values, found
-with one ``distinct`` aggregate (bounded by the column's cardinality) and
-sorted so the output schema is stable.  Callers can pass a fixed value
-list to skip that pass.
+a dynamic one-hot encoding needs the set of observed values on the driver, as
+each becomes a column: one bounded ``distinct``, sorted so the schema is
+stable; callers can pass a fixed list instead.  Label encoding numbers the
+values in a distributed dictionary and joins it back, for any number of them.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from loanpanel.functions.exprs import (
     zero_pad,
 )
 from loanpanel.operators.panel import DELINQUENCY_BUCKETS
+from loanpanel.session import cut_lineage
+from loanpanel.sources.bins import dense_index
 
 # Zero-balance codes (after padding to two digits) and their names.
 ZERO_BALANCE_CODES = {
@@ -101,7 +103,7 @@ def observed_values(df: DataFrame, column: str, max_values: int = MAX_CODES) ->
     """Sorted distinct non-NULL values of a code column (one aggregate).
 
     At most ``max_values + 1`` values ever reach the driver; a column with
-    more is refused rather than collected."""
+    more is refused rather than collected, as each value becomes a column."""
     vals = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct()
             .limit(max_values + 1).collect()]
     if len(vals) > max_values:
@@ -109,6 +111,21 @@ def observed_values(df: DataFrame, column: str, max_values: int = MAX_CODES) ->
     return sorted(vals)
 
 
+def observed_values_of(df: DataFrame, columns: Iterable[str], max_values: int = MAX_CODES) -> dict[str, list]:
+    """:func:`observed_values` of several string columns, in one job."""
+    cols = list(columns)
+    if not cols:
+        return {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in cols])).alias("p")
+    found = (df.select(pairs).select("p.*").where(F.col("value").isNotNull()).distinct()
+             .limit(len(cols) * max_values + 1).collect())
+    out = {c: sorted(r["value"] for r in found if r["name"] == c) for c in cols}
+    for c, vals in out.items():
+        if len(vals) > max_values:
+            raise ValueError(f"{c} has more than {max_values} distinct values; pass the code list")
+    return out
+
+
 def one_hot_dynamic(df: DataFrame, column: str, values: Iterable | None = None,
                     prefix: str | None = None) -> DataFrame:
     """``<prefix>_<value>`` 0/1 column for each observed value, sorted."""
@@ -118,15 +135,27 @@ def one_hot_dynamic(df: DataFrame, column: str, values: Iterable | None = None,
                            for v in vals})
 
 
+def label_dictionary(df: DataFrame, column: str, label: str = "label") -> DataFrame:
+    """(column, label): the distinct non-NULL values in order, numbered 0, 1, 2, ...
+
+    The values are range-partitioned and numbered by partition offsets, so a column may have any number of
+    them; the table is staged and never passes through the driver."""
+    return cut_lineage(dense_index(df.where(F.col(column).isNotNull()), column, label))
+
+
 def label_encode(df: DataFrame, column: str, out: str | None = None, fill: str | None = None) -> DataFrame:
-    """Sorted distinct values -> 0..k-1 (``StringIndexer`` in alphabetical order)."""
-    from pyspark.ml.feature import StringIndexer
+    """Sorted distinct values -> 0..k-1; a NULL that ``fill`` does not replace becomes k.
+
+    The rows meet the dictionary in a join of two plain shuffles, so AQE broadcasts a small dictionary by
+    its measured size and splits a value that holds very many rows."""
     src = df.fillna({column: fill}) if fill is not None else df
-    observed_values(src, column)  # the fitted label list lives on the driver: check its size first
-    tmp = f"__{column}_idx"
-    model = StringIndexer(inputCol=column, outputCol=tmp, stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(src)
-    return model.transform(src).withColumn(out or column, F.col(tmp).cast("int")).drop(tmp)
+    tmp = f"__{column}_label"
+    labels = label_dictionary(src, column, tmp)
+    k = labels.agg(F.count(F.lit(1))).scalar()
+    value = F.coalesce(F.col(tmp), k).cast("int")
+    keep = [value.alias(c) if c == (out or column) else F.col(f"`{c}`") for c in src.columns]
+    joined = src.join(labels, column, "left")
+    return joined.select(*keep, *([value.alias(out)] if out and out not in src.columns else []))
 
 
 def strip_and_pad(df: DataFrame, column: str, width: int | None = None) -> DataFrame:

@@ -111,10 +111,11 @@ def prep_origination(df: DataFrame, channel_values: Iterable[str] | None = None,
         out = EN.label_encode(out, "firstTimeBuyFlag", fill="N")
     if "channel" in cols:
         out = out.withColumn("channel", F.trim("channel"))
-        out = EN.one_hot_dynamic(out, "channel", channel_values).drop("channel")
-    for c in ("occStatus", "loanPurpose", "propertyType", "propertyState"):
-        if c in cols:
-            out = EN.one_hot_dynamic(out, c)
+    coded = [c for c in ("channel", "occStatus", "loanPurpose", "propertyType", "propertyState") if c in cols]
+    values = EN.observed_values_of(out, [c for c in coded if c != "channel" or channel_values is None])
+    for c in coded:
+        out = EN.one_hot_dynamic(out, c, values.get(c, channel_values))
+    out = out.drop("channel")
     if "productType" in cols:
         out = EN.one_hot_static(out, "productType", EN.PRODUCT_TYPE_CODES)
     return out

@@ -133,6 +133,17 @@ def label_encode(spark, sf_dir):
     return EN.label_encode(d, "firstTimeBuyFlag", fill="N")
 
 
+@query("label_encode_wide", """
+with v as (select distinct o_orderkey % 7 || '-' || o_custkey || '-' || o_orderpriority as f from orders),
+r as (select f, cast(row_number() over (order by f) - 1 as int) as idx from v)
+select o_orderkey as obs, r.idx as code from orders join r on o_orderkey % 7 || '-' || o_custkey || '-' || o_orderpriority = r.f""")
+def label_encode_wide(spark, sf_dir):
+    """D9 on a column of very many values (over 10,000 from sf0.01 on)."""
+    o = T.table(spark, sf_dir, "orders")
+    text = F.concat_ws("-", F.col("o_orderkey") % 7, "o_custkey", "o_orderpriority")
+    return EN.label_encode(o.select(F.col("o_orderkey").alias("obs"), text.alias("code")), "code")
+
+
 @query("pad_strip", T.with_ctes("dirty_loans") + """
 select loan, case when length(replace(postal_raw, '.0', '')) < 5 then lpad(replace(postal_raw, '.0', ''), 5, '0')
                   else replace(postal_raw, '.0', '') end as postalCode

@@ -132,3 +132,24 @@ def test_features_of_a_hot_loan(spark, segments, chunk):
         assert [long.get((loan, m)) for m in range(1, len(rates) + 1)] == rates
         iqr = np.percentile(v, 75) - np.percentile(v, 25) if v else None
         assert got[loan]["loan_IQR"] == (pytest.approx(iqr) if v else None)
+
+
+def test_labels_of_very_many_values_and_a_hot_one(spark):
+    from loanpanel.operators import encode as EN
+    rows = [(i, None if i % 50 == 7 else "hot" if i % 3 == 0 else f"v{i * 7919 % 20_000:05d}") for i in range(30_000)]
+    df = spark.createDataFrame(rows, "id long, code string")
+    order = {v: k for k, v in enumerate(sorted({v for _, v in rows if v is not None}))}
+    assert len(order) > 10_000
+    got = {r["id"]: r["code"] for r in EN.label_encode(df, "code").collect()}
+    assert got == {i: len(order) if v is None else order[v] for i, v in rows}
+    filled = EN.label_encode(df.limit(10), "code", out="label", fill="v")
+    assert filled.columns == ["id", "code", "label"] and filled.where("label is null").count() == 0
+    assert EN.label_encode(df.where("false"), "code").collect() == []
+
+
+def test_values_of_several_columns_at_once(spark):
+    from loanpanel.operators import encode as EN
+    df = spark.createDataFrame([("a", "x"), ("b", None), ("a", "y")], "p string, q string")
+    assert EN.observed_values_of(df, ["p", "q"]) == {"p": ["a", "b"], "q": ["x", "y"]}
+    with pytest.raises(ValueError):
+        EN.observed_values_of(df, ["p", "q"], max_values=1)
