@@ -181,9 +181,26 @@ m as (select loan, cast(floor((row_number() over (order by yr, loan) - 1) / {_CA
 select loan as loanSeqNumber, binNumber, cast(count(*) over (partition by binNumber) as int) as binOccupancy,
        {_CAP} as maxBinOccupancy from m""")
 def bin_stream(spark, sf_dir):
-    """A15 as a stream: the years arrive one after another, each micro-batch updates the bin map;
-    returns the final map."""
-    from loanpanel.streaming.bin_stream import latest_map, start_bin_stream
+    """A15 as a stream: the years arrive one after another, each micro-batch adds its new loans to the bin
+    map; returns the final map."""
+    from loanpanel.streaming.bin_stream import latest_map
+    return latest_map(spark, f"{_run_bin_stream(spark, sf_dir)}/map")
+
+
+@query("bin_stream_rows", f"""
+with f as (select o_custkey as loan, min(year(o_orderdate)) as yr from orders group by o_custkey),
+m as (select loan, cast(floor((row_number() over (order by yr, loan) - 1) / {_CAP}) as int) as binNumber from f)
+select o_custkey as loanSeqNumber, o_orderkey as obs, cast(year(o_orderdate) as int) as yr, m.binNumber
+from orders join m on m.loan = o_custkey""")
+def bin_stream_rows(spark, sf_dir):
+    """The rows that the stream routed to the bins, old loans' rows of later batches among them."""
+    base = _run_bin_stream(spark, sf_dir)
+    return spark.read.parquet(f"{base}/data").select("loanSeqNumber", "obs", "yr", "binNumber")
+
+
+def _run_bin_stream(spark, sf_dir) -> str:
+    """Run the stream over the years of the orders, one after another; its folder."""
+    from loanpanel.streaming.bin_stream import start_bin_stream
     base = D.staging_dir(spark, "bin-stream")
     o = T.table(spark, sf_dir, "orders")
     rows = o.select(F.col("o_custkey").cast("long").alias("loanSeqNumber"), F.col("o_orderkey").cast("long").alias("obs"),
@@ -193,7 +210,7 @@ def bin_stream(spark, sf_dir):
         src = spark.readStream.schema("loanSeqNumber long, obs long, yr int").parquet(f"{base}/incoming")
         q = start_bin_stream(spark, src, f"{base}/map", f"{base}/data", f"{base}/checkpoint", capacity=_CAP)
         q.awaitTermination()
-    return latest_map(spark, f"{base}/map")
+    return base
 
 
 @query("loans_per_file", """

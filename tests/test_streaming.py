@@ -30,3 +30,48 @@ def test_bin_stream_small_capacity(spark):
     data = spark.read.parquet(f"{base}/data")
     assert data.count() == rows.count()                           # every row routed to its loan's bin
     assert data.join(m, ["loanSeqNumber", "binNumber"], "left_anti").count() == 0
+
+
+def _bins(df):
+    return {r["loanSeqNumber"]: r["binNumber"] for r in df.collect()}
+
+
+def test_segments_merge_and_a_replayed_batch_changes_nothing(spark, monkeypatch):
+    from loanpanel.streaming import bin_stream as S
+    monkeypatch.setattr(S, "FAN_IN", 3)
+    base = D.staging_dir(spark, "bin-segments")
+    batches = [[i, i + 1, i + 7 * b] for b, i in enumerate(range(0, 70, 7))]
+    wanted, order = {}, []
+    for b, loans in enumerate(batches):
+        frame = spark.createDataFrame([(x, b) for x in [*loans, None]], "loanSeqNumber long, obs int")
+        S.add_batch(spark, frame, b, f"{base}/map", f"{base}/data", capacity=4)
+        order += sorted(set(loans) - set(order))
+        wanted = {x: k // 4 for k, x in enumerate(order)}
+        assert _bins(latest_map(spark, f"{base}/map")) == wanted
+    levels = {s[0] for s in S._segments(spark, f"{base}/map")}
+    assert levels == {0, 1, 2}                            # ten batches, three to a merge
+    assert len(S.live_segments(S._segments(spark, f"{base}/map"))) < 5
+    last = spark.createDataFrame([(x, 9) for x in batches[9]], "loanSeqNumber long, obs int")
+    S.add_batch(spark, last, 9, f"{base}/map", f"{base}/data", capacity=4)          # run again after a failure
+    assert _bins(latest_map(spark, f"{base}/map")) == wanted
+    rows = spark.read.parquet(f"{base}/data")
+    assert rows.count() == sum(map(len, batches)) and {r["loanSeqNumber"]: r["binNumber"] for r in rows.collect()} == wanted
+    import pytest
+    with pytest.raises(ValueError):
+        S.add_batch(spark, last, 10, f"{base}/map", f"{base}/data", capacity=5)
+
+
+def test_a_batch_writes_its_new_loans_only(spark):
+    from loanpanel.streaming import bin_stream as S
+    base = D.staging_dir(spark, "bin-bytes")
+    S.add_batch(spark, spark.range(5_000).toDF("loanSeqNumber"), 0, f"{base}/map", f"{base}/data", capacity=100)
+    S.add_batch(spark, spark.range(4_990, 5_010).toDF("loanSeqNumber"), 1, f"{base}/map", f"{base}/data", capacity=100)
+    assert spark.read.parquet(S._path(f"{base}/map", (0, 1, 1))).count() == 10
+    assert latest_map(spark, f"{base}/map").count() == 5_010
+
+
+def test_live_segments():
+    from loanpanel.streaming.bin_stream import live_segments
+    all_ = [(0, i, i) for i in range(5)] + [(1, 0, 2)]
+    assert live_segments(all_) == [(1, 0, 2), (0, 3, 3), (0, 4, 4)]
+    assert live_segments(all_, before=2) == [(0, 0, 0), (0, 1, 1)]
