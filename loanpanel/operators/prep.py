@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loanpanel.functions.exprs import delinquency_number, parse_yyyymm, strip_float_suffix, yes_no_flag, zero_pad
 from loanpanel.operators import clean as CL
 from loanpanel.operators import encode as EN
+from loanpanel.operators.guards import RowChecks
 
 # Monthly money columns whose NULLs become 0.
 MONTHLY_ZERO_FILL = (
@@ -28,14 +29,24 @@ MONTHLY_MEDIAN_FILL = ("currUPB", "currInterestRate", "currDeferredUPB")
 MONTHLY_DATES = ("zeroBalanceEffectiveDate", "dueDateLastPaidInstallment")
 
 
-def prep_monthly(df: DataFrame, zero_balance_values: Iterable[str] | None = None) -> DataFrame:
+def _finished(out: DataFrame, keep: Iterable[str] | None, checks: RowChecks | None, not_null: Iterable[str] = ()) -> DataFrame:
+    """The projection (B6, columns in the order of ``keep``) and the checks at the end of a prep."""
+    if keep is not None:
+        out = out.select(*[F.col(f"`{c}`") for c in keep])
+    return checks.watch(out, "prepared", not_null) if checks is not None else out
+
+
+def prep_monthly(df: DataFrame, zero_balance_values: Iterable[str] | None = None,
+                 keep: Iterable[str] | None = None, checks: RowChecks | None = None) -> DataFrame:
     """Monthly performance file -> typed, cleaned, encoded rows.
 
     Steps: period not NULL (B10) and parsed if still a string (D15); median
     fill (D1); delinquency number (D4); Y/N flags (D5); zero-balance decode
     and one-hot (D6/D7); date codes (D10/D15); net-sales sentinels (D14,
     testing the source column); zero fill of money columns (D3); drop the
-    unnamed trailing column (B9)."""
+    unnamed trailing column (B9); projection to ``keep`` (B6).  With ``checks`` the
+    NULL report of the result (C4) comes with the job that writes it
+    (stage "prepared")."""
     cols = set(df.columns)
     out = df
     if "mthlyRepPeriod" in cols and dict(df.dtypes)["mthlyRepPeriod"] == "string":
@@ -72,20 +83,28 @@ def prep_monthly(df: DataFrame, zero_balance_values: Iterable[str] | None = None
         out = CL.median_impute(out, med)
     if "zeroBalanceCode" in cols:
         out = EN.one_hot_dynamic(out, "zeroBalanceCode", zero_balance_values, prefix="zeroBalCode")
-    return CL.drop_name_patterns(out, patterns=(), exact=("Unknown", ""))
+    return _finished(CL.drop_name_patterns(out, patterns=(), exact=("Unknown", "")), keep, checks)
+
+
+# Origination columns that may hold no NULL.
+ORIGINATION_NOT_NULL = ("origLoanTerm", "borrowers")
 
 
 def prep_origination(df: DataFrame, channel_values: Iterable[str] | None = None,
-                     prepay_yes=("78", "78.0", "Y"), fill_per_column: bool = True) -> DataFrame:
+                     prepay_yes=("78", "78.0", "Y"), fill_per_column: bool = True,
+                     keep: Iterable[str] | None = None, checks: RowChecks | None = None) -> DataFrame:
     """Origination file -> typed, cleaned, encoded rows.
 
     Steps: scores (B1-B3); first payment and maturity dates (B4, D15);
     first-time-buyer NULL -> 'N' then label-encoded (D3, D9); MSA and
     postal code suffix strip and pad (D10, D11); flags (D5, D13); blanks to
     zero (D12); median fill of CLTV per column (D2 intent); channel one-hot
-    (D7); the static product/property/occupancy/purpose codes (D8)."""
+    (D7); the static product/property/occupancy/purpose codes (D8); projection
+    to ``keep`` (B6).  With ``checks``, ``checks.verify()`` raises after the job if an
+    input column is NULL throughout (C1, stage "loaded") or the term or the borrowers
+    hold a NULL (C5, stage "prepared")."""
     cols = set(df.columns)
-    out = df
+    out = checks.watch(df, "loaded", no_all_null=True) if checks is not None else df
     if "creditScore" in cols:
         out = CL.clean_scores(out)
     exprs = {}
@@ -118,7 +137,7 @@ def prep_origination(df: DataFrame, channel_values: Iterable[str] | None = None,
     out = out.drop("channel")
     if "productType" in cols:
         out = EN.one_hot_static(out, "productType", EN.PRODUCT_TYPE_CODES)
-    return out
+    return _finished(out, keep, checks, ORIGINATION_NOT_NULL)
 
 
 def prep_most_recent_month(monthly: DataFrame, key: str = "loanSeqNumber",

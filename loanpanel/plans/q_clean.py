@@ -12,6 +12,7 @@ from loanpanel.operators import joins as J
 from loanpanel.operators import quality as Q
 from loanpanel.plans import driver_tables as T
 from loanpanel.plans.registry import query
+from loanpanel.session import cut_lineage
 
 # ---------------------------------------------------------------- B group
 
@@ -350,6 +351,31 @@ def monthly_prep(spark, sf_dir):
     return out.withColumnRenamed("loanSeqNumber", "loan").withColumn("currUPB", rnd("currUPB", 4))
 
 
+_PREPPED = ["loanSeqNumber", "mthlyRepPeriod", "currUPB", "currLoanDelinqStatus", "zeroBalanceCode",
+            *[f"zeroBalCode_{v}" for v in _ZB_VALUES]]
+
+
+@query("monthly_prep_nulls", T.with_ctes("dirty_months") + f""",
+z as (select loan as loanSeqNumber, d as mthlyRepPeriod,
+             coalesce(upb_raw, (select median(upb_raw) from dirty_months)) as currUPB,
+             {_STATUS_SQL} as currLoanDelinqStatus, {_DECODE_SQL} as zeroBalanceCode
+      from dirty_months where d is not null),
+p as (select *, """ + ", ".join(f"case when zeroBalanceCode = '{v}' then 1 else 0 end as zeroBalCode_{v}" for v in _ZB_VALUES) + """ from z)
+""" + "\nunion all\n".join(f"select '{c}' as column_name, count(*) - count({c}) as n_null, count(*) as n_rows from p" for c in _PREPPED))
+def monthly_prep_nulls(spark, sf_dir):
+    """L12's final NULL report (C4) over the projected result (B6), counted by the job that writes it."""
+    from loanpanel.operators.guards import RowChecks
+    from loanpanel.operators.prep import prep_monthly
+    d = T.dirty_months(spark, sf_dir).select(
+        F.col("loan").alias("loanSeqNumber"), "obs", F.col("d").alias("mthlyRepPeriod"),
+        F.col("upb_raw").alias("currUPB"), F.col("status_raw").alias("currLoanDelinqStatus"),
+        F.col("zero_code_raw").alias("zeroBalanceCode"))
+    checks = RowChecks()
+    cut_lineage(prep_monthly(d, zero_balance_values=_ZB_VALUES, keep=_PREPPED, checks=checks))
+    n = checks.rows("prepared")
+    return spark.createDataFrame([(c, k, n) for c, k in checks.null_counts("prepared").items()], "column_name string, n_null long, n_rows long")
+
+
 _CHANNEL_VALUES = ("A", "B", "F", "H", "M")  # observed first letters of the bound segments
 
 
