@@ -78,6 +78,13 @@ def hot_panel(spark, sf_dir):
     return p.withColumn("loan", F.when(F.col("obs") % 3 == 0, F.lit(1)).otherwise(F.col("loan")))
 
 
+def hot_period(spark, sf_dir):
+    """A third of all rows in one (loan, period)."""
+    p = T.panel(spark, sf_dir)
+    hot = F.col("obs") % 3 == 0
+    return p.withColumn("loan", F.when(hot, F.lit(1)).otherwise(F.col("loan"))).withColumn("d", F.when(hot, F.lit("1995-01-01").cast("date")).otherwise(F.col("d")))
+
+
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     chunk = int(sys.argv[2]) if len(sys.argv) > 2 else 5000
@@ -98,6 +105,14 @@ def main() -> None:
     def row_flags(spark, d):
         return P.loan_wide(hot_panel(spark, d), C)
 
+    def period_rows(spark, d):
+        return P.ranked_rows(hot_period(spark, d), C, segments=64)
+
+    def period_marks(spark, d):
+        return P.prior_default_rows(hot_period(spark, d), C, chunk_rows=chunk)
+
+    run("hot (loan, period): positions by segments", period_rows, ckpt, sf_dir)
+    run(f"hot (loan, period): prior-default rows (chunk_rows={chunk})", period_marks, ckpt, sf_dir)
     run(f"chunked feature table (chunk_rows={chunk})", chunked, ckpt, sf_dir)
     run("direct window over the whole loan", direct, ckpt, sf_dir)
     def loan_months(spark, d):
