@@ -135,6 +135,70 @@ def op12(spark, sf_dir):
     return phrases.collocations(_table(spark, sf_dir, "documents"), longest=3, least=10, absorb_percent=50, top=2000)
 
 
-@query("op13_personal_data")
+# the kinds' plain patterns; places are sums of the lengths of gaps and matches
+_KIND_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9]){13,}",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"[A-Z][A-Z][0-9][0-9](?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})",
+    "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "tel": r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}",
+}
+_IBAN_LENGTHS = ", ".join(f"'{k}': {v}" for k, v in personal.IBAN_LENGTHS.items())
+_VALID = {
+    "email": "true",
+    "ip": "list_max(list_transform(string_split(hit, '.'), lambda x: case when length(ltrim(x, '0')) > 3 then 999 "
+          "when ltrim(x, '0') = '' then 0 else cast(ltrim(x, '0') as int) end)) <= 255",
+    "card": "length(dg) between 14 and 19 and list_sum(list_transform(range(1, length(dg) + 1), lambda i: "
+            "case when (length(dg) - i) % 2 = 0 then cast(substr(dg, i, 1) as int) when substr(dg, i, 1) > '4' "
+            "then 2 * cast(substr(dg, i, 1) as int) - 9 else 2 * cast(substr(dg, i, 1) as int) end)) % 10 = 0",
+    "phone": "length(dg) between 10 and 15",
+    "iban": "own > 0 and length(hit) >= own and not regexp_matches(before, '[A-Za-z0-9]$') "
+            "and case when length(hit) > own then substr(hit, own + 1, 1) = ' ' else not regexp_matches(after, '^[A-Za-z0-9]') end "
+            "and list_reduce(list_prepend(0, list_transform(string_split(substr(bare, 5) || substr(bare, 1, 4), ''), "
+            "lambda c: case when c <= '9' then cast(ascii(c) - 48 as int) else cast(ascii(c) - 55 as int) end)), "
+            "lambda a, x: case when x < 10 then (a * 10 + x) % 97 else (a * 100 + x) % 97 end) = 1",
+    "ssn": "not regexp_matches(hit, '^(?:000|666|9)|-00-|-0000$') and not regexp_matches(before, '[0-9-]$') and not regexp_matches(after, '^[0-9-]')",
+    "tel": "not regexp_matches(before, '[0-9+][ ().-]{0,3}$') and not regexp_matches(after, '^[ .-]?[0-9]')",
+}
+
+
+def _near_sql(words: str) -> str:
+    return f"case when regexp_matches(around, '(?:^|[^a-z])(?:{words})(?:[^a-z]|$)') then 20 else 0 end"
+
+
+def _by_kind(of) -> str:
+    return "case kind " + " ".join(f"when '{k}' then {of(k)}" for k in personal.KINDS) + " end"
+
+
+_PERSONAL_SQL = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+m as ({" union all ".join(f"select doc_id, '{k}' as kind, {i} as rank, regexp_extract_all(t, '{p}') as h, string_split_regex(t, '{p}') as p from d"
+                            for i, (k, p) in enumerate(_KIND_PATTERNS.items()))}),
+u as (select doc_id, kind, rank, i, h[i] as hit, p[i] as before, p[i + 1] as after from (select *, unnest(range(1, len(h) + 1)) as i from m)),
+n as (select *, coalesce(map {{{_IBAN_LENGTHS}}}[substr(hit, 1, 2)], 0) as country from u),
+e as (select *, cast(case when kind <> 'iban' then length(hit) when substr(hit, 5, 1) = ' ' then country + floor((country - 1) / 4.0) else country end as bigint) as own from n),
+s as (
+  select *, cast(sum(length(before) + length(hit)) over (partition by doc_id, kind order by i) as bigint) - length(hit) as start,
+         regexp_replace(hit, '[^0-9]', '', 'g') as dg, replace(substr(hit, 1, own), ' ', '') as bare,
+         translate(right(before, {personal.BEFORE}) || ' ' || left(after, {personal.AFTER}), '{personal.UPPER}', '{personal.LOWER}') as around
+  from e),
+v as (
+  select doc_id, kind, rank, start, start + own as stop,
+         {_by_kind(lambda k: personal.KINDS[k].score)} + {_by_kind(lambda k: _near_sql(personal.KINDS[k].near))} - {_near_sql(personal.DOUBTFUL)} as score
+  from s where {_by_kind(lambda k: _VALID[k])}),
+g as (
+  select doc_id, {", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in personal.KINDS)},
+         string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (rank < 4) as base,
+         string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans,
+         string_agg(cast(score as varchar), ',' order by start, rank) as scores
+  from v where score >= {_by_kind(lambda k: personal.KINDS[k].least)} group by doc_id)
+select d.doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in personal.KINDS)}, sha256(coalesce(base, '')) as base_sha256,
+       coalesce(spans, '') as spans, coalesce(scores, '') as scores
+from d left join g on g.doc_id = d.doc_id"""
+
+
+@query("op13_personal_data", _PERSONAL_SQL)
 def op13(spark, sf_dir):
     return personal.span_digests(personal.personal_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")))
