@@ -68,6 +68,14 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tail_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loan rows with narrow scores, a few far above and below, and the catch-all servicer on every ninth loan."""
+    k = F.col("loan")
+    score = F.when(k % 211 == 5, 850).when(k % 197 == 3, 300).otherwise(640 + (k * 37) % 41).cast("int")
+    servicer = F.when(k % 9 == 4, "Other servicers").otherwise(F.col("servicer"))
+    return loans(spark, sf_dir).withColumns({"score": score, "servicer": servicer})
+
+
 def loan_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panel rows joined with their loan's servicer, MSA and score."""
     return panel(spark, sf_dir).join(loans(spark, sf_dir), "loan", "inner")
@@ -142,6 +150,13 @@ LOANS_SQL = """loans as (
          cast(300 + (c_custkey * 37) % 551 as int) as score, c_acctbal as balance
   from customer)"""
 
+TAIL_LOANS_SQL = """loans as (
+  select c_custkey as loan, case when c_custkey % 9 = 4 then 'Other servicers' else c_mktsegment end as servicer,
+         c_nationkey as msa,
+         cast(case when c_custkey % 211 = 5 then 850 when c_custkey % 197 = 3 then 300
+                   else 640 + (c_custkey * 37) % 41 end as int) as score, c_acctbal as balance
+  from customer)"""
+
 LOAN_MONTHS_SQL = """loan_months as (
   select p.*, l.servicer, l.msa, l.score, l.balance
   from panel p join loans l using (loan))"""

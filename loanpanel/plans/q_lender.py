@@ -15,17 +15,17 @@ from loanpanel.plans import driver_tables as T
 from loanpanel.plans.registry import query
 
 
-def _month_rows(spark, sf_dir):
-    lm = T.loan_months(spark, sf_dir)
+def _month_rows(spark, sf_dir, loans=T.loans):
+    lm = T.panel(spark, sf_dir).join(loans(spark, sf_dir), "loan", "inner")
     return lm.select(F.col("servicer").alias("servicerName"), F.col("msa").alias("MSA"),
                      month_bucket("month").alias("Month"), F.col("score").alias("creditScore"),
                      "loan")
 
 
-def _loan_rows(spark, sf_dir):
+def _loan_rows(spark, sf_dir, loans=T.loans):
     """One row per loan with its first reporting month (the first payment date)."""
     first = T.panel(spark, sf_dir).groupBy("loan").agg(F.min("month").alias("firstPaymentDate"))
-    lo = T.loans(spark, sf_dir).join(first, "loan", "inner")
+    lo = loans(spark, sf_dir).join(first, "loan", "inner")
     return lo.select("loan", F.col("servicer").alias("servicerName"), F.col("msa").alias("MSA"),
                      F.col("score").alias("creditScore"), "firstPaymentDate")
 
@@ -114,6 +114,28 @@ def outlier_shares(spark, sf_dir):
     return s.select(rnd("share_over", 6).alias("share_over"), rnd("share_under", 6).alias("share_under"))
 
 
+_TAIL_OUTLIER_SQL = _OUTLIER_SQL.replace(T.LOANS_SQL, T.TAIL_LOANS_SQL)
+
+
+@query("score_outliers_tails", _TAIL_OUTLIER_SQL + """
+select loan, MSA, creditScore, creditScoreOutlier_over, creditScoreOutlier_under from o
+where creditScoreOutlier_over + creditScoreOutlier_under > 0""")
+def score_outliers_tails(spark, sf_dir):
+    """L17 where some loans are far from their region's scores: the flagged ones."""
+    o = L.score_outliers(_loan_rows(spark, sf_dir, T.tail_loans))
+    return (o.where(F.col("creditScoreOutlier_over") + F.col("creditScoreOutlier_under") > 0)
+             .select("loan", "MSA", "creditScore", "creditScoreOutlier_over", "creditScoreOutlier_under"))
+
+
+@query("outlier_shares_tails", _TAIL_OUTLIER_SQL + """
+select round(avg(creditScoreOutlier_over), 6) as share_over, round(avg(creditScoreOutlier_under), 6) as share_under
+from o""")
+def outlier_shares_tails(spark, sf_dir):
+    """F10 on the same loans: both shares above 0."""
+    s = L.outlier_shares(L.score_outliers(_loan_rows(spark, sf_dir, T.tail_loans)))
+    return s.select(rnd("share_over", 6).alias("share_over"), rnd("share_under", 6).alias("share_under"))
+
+
 # The oracle states the leave-one-out mean as a correlated subquery over the
 # rows (the literal per-cell rescan), independent of the Spark window algebra.
 _LOO_SQL = _MONTH_ROWS_SQL + """,
@@ -139,6 +161,16 @@ def leave_one_out(spark, sf_dir):
                     "pop_n", rnd("pop_mean", 6).alias("pop_mean"))
 
 
+@query("leave_one_out_catch_all", _LOO_SQL.replace(T.LOANS_SQL, T.TAIL_LOANS_SQL) + """
+select servicerName, MSA, Month, n, round(mean, 6) as mean, round(sd, 6) as sd, pop_n, round(pop_mean, 6) as pop_mean
+from loo where pop_n > 0""")
+def leave_one_out_catch_all(spark, sf_dir):
+    """F8 + B12 where every ninth loan belongs to the catch-all servicer, which is neither a cell nor in a mean."""
+    c = L.leave_one_out_means(_month_rows(spark, sf_dir, T.tail_loans))
+    return c.select("servicerName", "MSA", "Month", "n", rnd("mean", 6).alias("mean"), rnd("sd", 6).alias("sd"),
+                    "pop_n", rnd("pop_mean", 6).alias("pop_mean"))
+
+
 @query("adverse_selection_ttest", _LOO_SQL + """,
 tt as (select *, case when sd > 0 then (mean - pop_mean) / (sd / sqrt(n)) end as t, n - 1 as dof
        from loo where pop_n > 0 and n >= 2 and not (sd = 0 and mean = pop_mean))

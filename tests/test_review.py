@@ -77,3 +77,15 @@ def test_t_pvalue_is_one_formula_for_every_dof(spark):
         assert abs(p - want) < (1e-12 if v < 1000 else 1e-8), (t, v, p, want)
     far = spark.range(1).select(two_sided_t_pvalue(F.lit(6.0), F.lit(1_000_000_000)).alias("p")).first().p
     assert abs(far / math.erfc(6 / math.sqrt(2)) - 1) < 1e-6
+
+
+def test_tail_bindings_reach_their_branches(spark):
+    """Score tails flag loans on both sides, and the catch-all servicer is there to be left out."""
+    import __spark_entry__ as E
+    from conftest import SF_MID
+    from loanpanel.plans import driver_tables as T
+    q = E.queries()
+    shares = q["outlier_shares_tails"](spark, SF_MID).first()
+    assert shares["share_over"] > 0 and shares["share_under"] > 0
+    assert T.tail_loans(spark, SF_MID).where("servicer = 'Other servicers'").count() > 0
+    assert q["leave_one_out_catch_all"](spark, SF_MID).where("servicerName = 'Other servicers'").count() == 0
