@@ -272,6 +272,29 @@ def origination_load(spark, sf_dir):
                     rnd("origUPB", 2).alias("origUPB"), "origLoanTerm", "borrowers", "servicerName")
 
 
+@query("monthly_load_typed", """
+select cast(o_custkey as varchar) as loanSeqNumber, cast(date_trunc('month', o_orderdate) as date) as mthlyRepPeriod,
+       round(cast(round(o_totalprice, 2) as double), 2) as currUPB, cast(o_orderkey % 360 as double) as loanAge,
+       case when o_orderkey % 5 = 0 then null else cast(360 - o_orderkey % 360 as double) end as remainingMonthsLegMaturity,
+       cast(o_orderkey % 8 + 0.125 as double) as currInterestRate, cast(null as double) as currDeferredUPB
+from orders""")
+def monthly_load_typed(spark, sf_dir):
+    """The monthly loader's typed columns, one of them with unreadable numbers."""
+    from loanpanel import schema as S
+    o = T.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    values = {c: F.lit(None).cast("string") for c in S.MONTHLY_COLUMNS}
+    values.update({
+        "loanSeqNumber": F.col("o_custkey"), "mthlyRepPeriod": F.date_format("o_orderdate", "yyyyMM"),
+        "currUPB": F.format_string("%.2f", F.col("o_totalprice")), "loanAge": k % 360,
+        "remainingMonthsLegMaturity": F.when(k % 5 == 0, "XX").otherwise((360 - k % 360).cast("string")),
+        "currInterestRate": F.concat((k % 8).cast("string"), F.lit(".125")),
+    })
+    path = D.staging_dir(spark, "monthly-typed")
+    o.select(_fields_line([values[c] for c in S.MONTHLY_COLUMNS]).alias("value")).write.mode("overwrite").text(path)
+    return D.load_monthly(spark, path).select("loanSeqNumber", "mthlyRepPeriod", rnd("currUPB", 2).alias("currUPB"), *[c for c in S.MONTHLY_TYPES if c != "currUPB"])
+
+
 @query("monthly_load", T.with_ctes("dirty_months") + """,
 z as (select cast(loan as varchar) as loanSeqNumber, d, cast(date_trunc('month', d) as date) as mthlyRepPeriod,
              round(upb_raw, 2) as currUPB, status_raw, zero_code_raw from dirty_months)

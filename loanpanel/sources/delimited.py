@@ -162,12 +162,13 @@ def load_origination(spark: SparkSession, path: str, sample: bool = False, bad_l
 
 
 def load_monthly(spark: SparkSession, path: str, sample: bool = False, bad_lines: str = "skip") -> DataFrame:
-    """Monthly performance file(s) -> rows with the reporting period parsed
-    (full mode reads the whole directory)."""
+    """Monthly performance file(s) -> typed rows, the reporting period parsed
+    (full mode reads the whole directory).  Status and code columns stay text for the prep;
+    a number that cannot be read becomes NULL."""
     src = _txt_glob(path)
     df = load_delimited(spark, src, S.MONTHLY_COLUMNS, bad_lines=bad_lines,
                         nrows=SAMPLE_ROWS if sample else None)
-    return parse_dates_by_spec(df, S.MONTHLY_DATES, shape_filter=False)
+    return parse_dates_by_spec(cast_by_spec(df, S.MONTHLY_TYPES), S.MONTHLY_DATES, shape_filter=False)
 
 
 def _txt_glob(path: str) -> str:
