@@ -22,7 +22,7 @@ def plain_rates(v):
     return out
 
 
-@pytest.mark.parametrize("parts", [1, 2, 7, 40])
+@pytest.mark.parametrize("parts", [2, 40])
 def test_quantiles_by_rank(spark, parts):
     rng = random.Random(parts)
     rows = []
@@ -59,7 +59,7 @@ def test_segments_follow_the_order(spark, kind, values):
     assert segs == sorted(segs) and len(set(segs)) > 1
 
 
-@pytest.mark.parametrize("block_rows", [1, 3, 8, 20, 4096])
+@pytest.mark.parametrize("block_rows", [1, 8, 4096])
 def test_rates_of_all_widths(spark, block_rows):
     rng = random.Random(5)
     rows, wanted = [], {}
@@ -96,7 +96,7 @@ def hot_panel(spark):
     return spark.createDataFrame(rows, "loan long, obs long, d date, upb double, status int")
 
 
-@pytest.mark.parametrize("segments", [1, 4, 64])
+@pytest.mark.parametrize("segments", [4, 64])
 def test_positions_of_a_hot_loan(spark, segments):
     panel = hot_panel(spark)
     got = P.ranked_rows(panel, C, segments=segments).collect()
