@@ -1,17 +1,20 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
-
-Both dictionaries begin with the same background (a dictionary trained on ordinary text) and end with as
-many bytes of their own: the words that mark toxic, and ordinary, training documents. A window of text is
-compressed under both; what is toxic costs less under the toxic dictionary. A frame of a few bytes shows
-nothing (its fixed parts weigh more than the text, and the coder leaves the last bytes as they are), so a
-word is compressed between two carriers that both dictionaries hold, and a window's length is the sum of
-its words' lengths. Words repeat, so their pairs of lengths are kept in a bounded cache. Lengths are clamped (TOP_T, TOP_O), so a word of more than
-LONG bytes, such as a run of unspaced script, is cut into overlapping pieces that stay below the clamp,
-each of them a word.
-
-The pairs are calibrated on the training rows: each pair has the log of how much oftener it stands in
-toxic documents; a document is described by its windows' sums of these, and a logistic function of that
-description, fitted on the training rows, is the score.
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, in pairs.
+
+Both dictionaries of a pair begin with the same background (a dictionary trained on ordinary text) and end
+with as many bytes of their own: the words that mark toxic, and ordinary, training documents. A window of
+text is compressed under both; what is toxic costs less under the toxic dictionary. A frame of a few bytes
+shows nothing (its fixed parts weigh more than the text, and the coder leaves the last bytes as they are),
+so a word is compressed between two carriers that both dictionaries hold, and a window's length is the sum
+of its words' lengths. Words repeat, so their lengths are kept in a bounded cache. Lengths are clamped
+(TOP_T, TOP_O), so a word of more than LONG bytes, such as a run of unspaced script, is cut into
+overlapping pieces that stay below the clamp, each of them a word.
+
+The training rows are dealt to two halves, copies of a text to the same one. Each half makes a pair of
+dictionaries, and the other half calibrates it: every pair of lengths has the log of how much oftener it
+stands in toxic documents, a document is described by its windows' sums of these, and a logistic function
+of that description, fitted on the same calibrating rows, is the pair's verdict. So a pair is scored with
+the very dictionaries that were calibrated, on rows that made neither. The score is the logistic of the two
+pairs' mean log-odds.
 """
 
 from __future__ import annotations
@@ -33,11 +36,11 @@ from loanpanel.llm.mil import labelled_sample
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 WINDOW = 32                 # words of a window
 LONG, PIECE, STEP = 16, 12, 6           # bytes of a word that is not cut, of a piece, and from piece to piece
-BACKGROUND, OWN = 32_768, 8_192         # bytes of the shared and of each own part
+BACKGROUND, OWN = 32_768, 16_384        # bytes of the shared and of each own part
 SAMPLE_ROWS = 6_000         # labelled rows to fit on, at most
-SAMPLE_CHARS = 12_000       # longer texts are not fitted on
 CACHE = 500_000             # words whose lengths a task keeps
 TOP_T, TOP_O = 16, 24       # lengths beyond the carriers', as they are told apart
+CODES = TOP_T * TOP_O       # codes of a word under one pair of dictionaries
 _noise = np.random.default_rng(5)
 HEAD, TAIL = (bytes(_noise.integers(128, 256, n).astype(np.uint8)) for n in (48, 24))
 
@@ -62,7 +65,7 @@ def _pieces(words: list[bytes]) -> list[bytes]:
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
-        window_log=17, hash_log=15, chain_log=16, search_log=5, min_match=3, target_length=48, strategy=zstandard.STRATEGY_BTULTRA2,
+        window_log=17, hash_log=15, chain_log=16, search_log=4, min_match=3, target_length=16, strategy=zstandard.STRATEGY_BTLAZY2,
         write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     d = zstandard.ZstdCompressionDict(content + HEAD + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=params)
@@ -81,18 +84,30 @@ def _own_part(words: list[bytes], size: int) -> bytes:
 
 
 class Lengths:
-    """Compressed lengths of words under both dictionaries, less the carriers', as one small code."""
+    """Compressed lengths of words under both dictionaries of a pair, less the carriers', as one small code."""
 
     def __init__(self, toxic: bytes, ordinary: bytes) -> None:
         self.t, self.o = _compressor(toxic), _compressor(ordinary)
         self.t0, self.o0 = (len(c.compress(HEAD + b" " + TAIL)) for c in (self.t, self.o))
-        self.cache: dict[bytes, int] = {}
 
     def code(self, word: bytes) -> int:
         framed = HEAD + b" " + word + b" " + TAIL
         t = min(max(len(self.t.compress(framed)) - self.t0, 0), TOP_T - 1)
         o = min(max(len(self.o.compress(framed)) - self.o0, 0), TOP_O - 1)
-        c = t * TOP_O + o
+        return t * TOP_O + o
+
+
+class Coder:
+    """A word's codes under every pair of dictionaries as one number, in a bounded cache."""
+
+    def __init__(self, pairs: list[tuple[bytes, bytes]]) -> None:
+        self.lengths = [Lengths(*p) for p in pairs]
+        self.cache: dict[bytes, int] = {}
+
+    def code(self, word: bytes) -> int:
+        c = 0
+        for pair in self.lengths:
+            c = c * CODES + pair.code(word)
         if len(self.cache) < CACHE:
             self.cache[word] = c
         return c
@@ -122,28 +137,37 @@ FEATURES = 7
 
 
 @dataclass
-class ToxicityModel:
-    """Two dictionaries, the evidence table and the calibration; small, goes to the tasks with the code."""
+class Pair:
+    """Two dictionaries, the evidence of their codes, and the calibration."""
     toxic: bytes
     ordinary: bytes
     evidence: np.ndarray
     weights: np.ndarray
+
+
+@dataclass
+class ToxicityModel:
+    """Calibrated pairs of dictionaries; small, goes to the tasks with the code. Without a pair every score is ``prior``."""
+    pairs: list[Pair]
     prior: float = 0.5
-    lengths: Lengths | None = field(default=None, compare=False)
+    coder: Coder | None = field(default=None, compare=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "lengths": None}          # compressors are made anew in every task
+        return {**self.__dict__, "coder": None}          # compressors are made anew in every task
 
     def codes(self, text: str | None) -> np.ndarray:
-        if self.lengths is None:
-            self.lengths = Lengths(self.toxic, self.ordinary)
-        return self.lengths.codes(text)
+        if self.coder is None:
+            self.coder = Coder([(p.toxic, p.ordinary) for p in self.pairs])
+        return self.coder.codes(text)
 
     def score(self, text: str | None) -> float:
-        if not len(self.weights):
+        if not self.pairs:
             return self.prior
-        x = np.append(describe(self.evidence[self.codes(text)]), 1.0)
-        return float(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))))
+        codes, odds = self.codes(text), 0.0
+        for p in reversed(self.pairs):
+            codes, own = np.divmod(codes, CODES)
+            odds += float(np.append(describe(p.evidence[own]), 1.0) @ p.weights)
+        return float(1 / (1 + np.exp(-np.clip(odds / len(self.pairs), -30, 30))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 60) -> np.ndarray:
@@ -159,60 +183,71 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 60
     return w
 
 
+def _halves(texts: list[str], labels: list[int]) -> np.ndarray:
+    """Which rows are of the first half: each label's distinct texts in turn, copies with their text."""
+    seen: tuple[dict[str, bool], ...] = ({}, {})
+    return np.array([seen[y].setdefault(t, len(seen[y]) % 2 == 0) for t, y in zip(texts, labels)], bool)
+
+
+def _dictionaries(texts: list[str], labels: list[int]) -> tuple[bytes, bytes]:
+    seen, n, pieces = (Counter(), Counter()), [0, 0], []
+    for text, y in zip(texts, labels):
+        words = words_of(text)
+        seen[y].update(set(words))
+        n[y] += 1
+        if not y:
+            pieces += [b" ".join(words[i:i + 8]) for i in range(0, len(words), 8)]
+    lift = {w: np.log((seen[1][w] + 0.5) / (n[1] + 1)) - np.log((seen[0][w] + 0.5) / (n[0] + 1)) for w in seen[1]}
+    least = max(2, n[1] // 100)
+    marked = sorted((w for w, v in lift.items() if v > 2 and seen[1][w] >= least), key=lambda w: (-lift[w] * seen[1][w], w))
+    plain = sorted((w for w in seen[0] if lift.get(w, -9) < 0), key=lambda w: (-seen[0][w], w))
+    try:
+        shared = zstandard.train_dictionary(BACKGROUND, pieces).as_bytes()
+    except zstandard.ZstdError:             # too little text to train on
+        shared = b" ".join(pieces)[:BACKGROUND]
+    return shared + _own_part(marked, OWN), shared + _own_part(plain, OWN)
+
+
+def _evidence(codes: list[np.ndarray], labels: list[int]) -> np.ndarray:
+    """Log of how much oftener each code stands in toxic documents."""
+    seen = np.zeros((2, CODES))
+    for c, y in zip(codes, labels):
+        seen[y] += np.bincount(c, minlength=CODES)
+    # rare pairs lean on what their difference alone says
+    diff = np.arange(CODES) % TOP_O - np.arange(CODES) // TOP_O + TOP_T
+    by_diff = np.stack([np.bincount(diff, s, minlength=TOP_T + TOP_O) for s in seen]) + 0.5
+    by_diff = np.log(by_diff[1] / by_diff[1].sum()) - np.log(by_diff[0] / by_diff[0].sum())
+    share = np.maximum(seen.sum(axis=1, keepdims=True), 1.0)
+    prior = 20 / (1 + np.exp(-by_diff[diff] - np.log(share[1] / share[0])))
+    odds = np.log(seen[1] + prior) - np.log(seen[0] + 20 - prior + 1e-9) - np.log(share[1] / share[0])
+    return np.clip(odds, -1.0, 5.0)
+
+
 def train(texts: list[str], labels: list[int]) -> ToxicityModel:
-    """Fits dictionaries, evidence and calibration. The dictionaries come from one half of the rows and
-    the evidence from the other, so that it isn't judged on words it was picked from; then all are used."""
-    bags = [words_of(t) for t in texts]
-    y = np.array(labels, float)
-    half = np.arange(len(bags)) % 2 == 0
-
-    def dictionaries(pick) -> tuple[bytes, bytes]:
-        seen, n = (Counter(), Counter()), [0, 0]
-        for k in np.flatnonzero(pick):
-            seen[labels[k]].update(set(bags[k]))
-            n[labels[k]] += 1
-        lift = {w: np.log((seen[1][w] + 0.5) / (n[1] + 1)) - np.log((seen[0][w] + 0.5) / (n[0] + 1)) for w in seen[1]}
-        least = max(2, n[1] // 100)
-        marked = sorted((w for w, v in lift.items() if v > 2 and seen[1][w] >= least), key=lambda w: (-lift[w] * seen[1][w], w))
-        plain = sorted((w for w in seen[0] if lift.get(w, -9) < 0), key=lambda w: (-seen[0][w], w))
-        pieces = [b" ".join(bags[k][i:i + 8]) for k in np.flatnonzero(pick) if not labels[k] for i in range(0, len(bags[k]), 8)]
-        try:
-            shared = zstandard.train_dictionary(BACKGROUND, pieces).as_bytes()
-        except zstandard.ZstdError:             # too little text to train on
-            shared = b" ".join(pieces)[:BACKGROUND]
-        return shared + _own_part(marked, OWN), shared + _own_part(plain, OWN)
-
-    def table(lengths: Lengths, pick) -> np.ndarray:
-        seen = np.zeros((2, TOP_T * TOP_O))
-        for k in np.flatnonzero(pick):
-            seen[labels[k]] += np.bincount(lengths.codes(texts[k]), minlength=seen.shape[1])
-        # rare pairs lean on what their difference alone says
-        diff = np.arange(TOP_T * TOP_O) % TOP_O - np.arange(TOP_T * TOP_O) // TOP_O + TOP_T
-        by_diff = np.stack([np.bincount(diff, s, minlength=TOP_T + TOP_O) for s in seen]) + 0.5
-        by_diff = np.log(by_diff[1] / by_diff[1].sum()) - np.log(by_diff[0] / by_diff[0].sum())
-        share = seen.sum(axis=1, keepdims=True)
-        prior = 20 / (1 + np.exp(-by_diff[diff] - np.log(share[1] / share[0])))
-        odds = np.log(seen[1] + prior) - np.log(seen[0] + 20 - prior + 1e-9) - np.log(share[1] / share[0])
-        return np.clip(odds, -1.0, 5.0)
-
-    first = Lengths(*dictionaries(half))
-    evidence = table(first, ~half)
-    x = np.array([describe(evidence[first.codes(t)]) for t in texts])
-    weights = _logistic(x[~half], y[~half])
-    return ToxicityModel(*dictionaries(np.ones(len(bags), bool)), evidence, weights)
+    """Two pairs of dictionaries, each made of one half of the rows and calibrated on the other."""
+    first, pairs = _halves(texts, labels), []
+    for made in (first, ~first):
+        own, other = ([(texts[k], labels[k]) for k in np.flatnonzero(m)] for m in (made, ~made))
+        toxic, ordinary = _dictionaries([t for t, _ in own], [y for _, y in own])
+        coder, y = Coder([(toxic, ordinary)]), [y for _, y in other]
+        codes = [coder.codes(t) for t, _ in other]
+        evidence = _evidence(codes, y)
+        weights = _logistic(np.array([describe(evidence[c]) for c in codes]), np.array(y, float))
+        pairs.append(Pair(toxic, ordinary, evidence, weights))
+    return ToxicityModel(pairs)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "toxic", id_col: str = "doc_id",
                  text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Fits on at most ``sample_rows`` labelled documents for which ``train_rows`` (over the columns of
-    ``labels``) holds and whose text has at most SAMPLE_CHARS characters. With fewer than four rows of
-    either label the share of label 1 (0.5 without any row) is every text's score."""
+    """Fits on the whole texts of at most ``sample_rows`` labelled documents for which ``train_rows`` (over the
+    columns of ``labels``) holds. With fewer than two different texts of either label the share of label 1
+    (0.5 without any row) is every text's score."""
     sample = labelled_sample(docs, labels, train_rows, label, id_col, text_col, sample_rows)
-    got = (sample.where(F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS).select(F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("int").alias("y"))
+    got = (sample.select(F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("int").alias("y"))
            .orderBy(F.xxhash64("text"), "text", "y").limit(sample_rows).collect())
     y = [r["y"] for r in got]
-    if min(sum(y), len(y) - sum(y)) < 4:
-        return ToxicityModel(b"", b"", np.empty(0), np.empty(0), sum(y) / len(y) if y else 0.5)
+    if min(len({r["text"] for r in got if r["y"] == k}) for k in (0, 1)) < 2:
+        return ToxicityModel([], sum(y) / len(y) if y else 0.5)
     return train([r["text"] for r in got], y)
 
 
