@@ -135,10 +135,38 @@ def homogeneity(df: DataFrame, columns: Iterable[str] | None = None, thresh: flo
     return per.withColumn("homogeneous", F.col("top_share") > F.lit(thresh))
 
 
+def majority_values(df: DataFrame, columns: Iterable[str] | None = None, thresh: float = 0.99,
+                    tracked: int = 1024) -> DataFrame:
+    """C9 by majority candidates: (column_name, n_nonnull, majority_n, homogeneous) for each column.
+
+    ``majority_n`` counts the value that more than half of the column's non-NULL rows hold (NULL if none
+    does), and ``homogeneous`` says whether its share exceeds ``thresh``, which must be 0.5 or more.
+    The first pass is one mergeable sketch of frequent values per column, of ``tracked`` counters at most,
+    so its size and its shuffle don't depend on how many different values there are.  A value of over half
+    the rows is always among a sketch's first four: the sketch is off by less than 1 % of the rows, so
+    four others cannot come before it.  The second pass counts these candidates exactly.
+    """
+    if not 0.5 <= thresh <= 1:
+        raise ValueError("thresh must be between 0.5 and 1")
+    cols = list(columns) if columns is not None else df.columns
+    values = df.select(*[F.col(f"`{c}`").cast("string").alias(f"v{i}") for i, c in enumerate(cols)])
+    first = values.agg(*[F.expr(f"approx_top_k(v{i}, 4, {tracked}) filter (where v{i} is not null)").alias(f"v{i}")
+                         for i in range(len(cols))]).first()
+    candidates = [[r["item"] for r in first[f"v{i}"] or () if r["item"] is not None] for i in range(len(cols))]
+    found = values.agg(*[F.struct(F.lit(c).alias("column_name"), F.count(f"v{i}").alias("n_nonnull"),
+                                  F.greatest(F.lit(0), F.lit(0), *[F.count(F.when(F.col(f"v{i}") == F.lit(v), 1))
+                                                                   for v in candidates[i]]).alias("n")).alias(f"s{i}")
+                         for i, c in enumerate(cols)])
+    per = found.select(F.explode(F.array(*[f"s{i}" for i in range(len(cols))])).alias("s")).select("s.*")
+    over = 2 * F.col("n") > F.col("n_nonnull")
+    return per.select("column_name", "n_nonnull", F.when(over, F.col("n")).alias("majority_n"),
+                      (over & (F.col("n") / F.col("n_nonnull") > thresh)).alias("homogeneous"))
+
+
 def remove_homogeneity(df: DataFrame, thresh: float = 0.99, columns: Iterable[str] | None = None) -> DataFrame:
     """Drop the homogeneous columns."""
-    drop = [r[0] for r in homogeneity(df, columns, thresh).where("homogeneous").select("column_name").collect()]
-    return df.drop(*drop)
+    profile = majority_values(df, columns, thresh) if thresh >= 0.5 else homogeneity(df, columns, thresh)
+    return df.drop(*[r[0] for r in profile.where("homogeneous").select("column_name").collect()])
 
 
 def variance_profile(df: DataFrame, thresh: float = 0.0, exclude_name: str | None = "Date") -> DataFrame:

@@ -256,6 +256,26 @@ def homogeneity(spark, sf_dir):
                     rnd("top_share", 6).alias("top_share"), "homogeneous")
 
 
+_MAJORITY_COLS = (*_HOMO_COLS, "half", "most", "void")
+_MAJORITY_SQL = ["case when loan % 2 = 0 then 'even' else cast(loan as varchar(20)) end as half",
+                 "case when loan % 200 = 0 then loan when loan % 97 = 0 then null else 7 end as most",
+                 "cast(null as int) as void"]
+
+
+@query("homogeneity_majority", _PROFILED_SQL + f""",
+mj as (select *, {", ".join(_MAJORITY_SQL)} from pf),
+vc as (""" + "\nunion all\n".join(
+    f"select '{c}' as column_name, cast({c} as varchar) as value, count({c}) as n from mj group by 2" for c in _MAJORITY_COLS) + """),
+per as (select column_name, max(n) as n, cast(sum(n) as bigint) as n_nonnull from vc group by column_name)
+select column_name, n_nonnull, case when 2 * n > n_nonnull then n end as majority_n,
+       2 * n > n_nonnull and n / n_nonnull > 0.99 as homogeneous
+from per""")
+def homogeneity_majority(spark, sf_dir):
+    """C9 without counting every value: majority candidates from sketches, then one exact pass."""
+    mj = _profiled(spark, sf_dir).selectExpr("*", *_MAJORITY_SQL)
+    return Q.majority_values(mj, _MAJORITY_COLS, 0.99)
+
+
 _VAR_COLS = ("loan", "msa", "score", "balance")
 
 

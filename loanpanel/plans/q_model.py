@@ -63,16 +63,50 @@ def gram(spark, sf_dir):
                     F.when(v == 0, F.lit(0)).otherwise(e).alias("exponent"))
 
 
-@query("vif")
+def _vif_sql(thresh: float) -> str:
+    """The elimination by recursion: ``inv`` inverts the scaled Gram matrix one pivot at a time, ``cut`` drops the
+    column of the largest diagonal element and sweeps it out (its row becomes zero)."""
+    p, names = len(FEATURES), ", ".join(f"'{f}'" for f in FEATURES)
+    cell = lambda i, j: f"sum(cast({FEATURES[i]} as double) * cast({FEATURES[j]} as double))"
+    rows = ", ".join("[" + ", ".join(cell(i, j) for j in range(p)) + "]" for i in range(p))
+    each = lambda body: f"list_transform(range(1, {p + 1}), lambda i: list_transform(range(1, {p + 1}), lambda j: {body}))"
+    invert = each("case when i = k and j = k then 1 / a[k][k] when i = k then a[k][j] / a[k][k] "
+                  "when j = k then -a[i][k] / a[k][k] else a[i][j] - a[i][k] * a[k][j] / a[k][k] end")
+    sweep = each("case when i = m or j = m then 0 else a[i][j] - a[i][m] * a[m][j] / a[m][m] end")
+    diagonal = f"list_transform(range(1, {p + 1}), lambda i: a[i][i])"
+    return FEATURE_CTE.replace("with ", "with recursive ", 1) + f""",
+d as (select * from feat where """ + " and ".join(f"{f} is not null" for f in FEATURES) + f"""),
+g as (select [{rows}] as g from d),
+inv(k, a) as (
+  select cast(1 as bigint), {each("g[i][j] / sqrt(g[i][i] * g[j][j])")} from g
+  union all select k + 1, {invert} from inv where k <= {p}),
+cut(round, m, a, top) as (
+  select 0, list_position({diagonal}, list_max({diagonal})), a, list_max({diagonal}) from inv where k = {p + 1}
+  union all
+  select round + 1, list_position({diagonal}, list_max({diagonal})), a, list_max({diagonal})
+  from (select round, {sweep} as a from cut where top > {thresh} and round < {p - 1})),
+dropped as (select round + 1 as round, m from cut where top > {thresh} and round < {p - 1}),
+last as (select a from cut order by round desc limit 1)
+select [{names}][i] as column_name, case when dropped.m is null then round(a[i][i], 6) end as vif,
+       cast(dropped.round as int) as dropped_round
+from last, range(1, {p + 1}) r(i) left join dropped on dropped.m = r.i"""
+
+
+def _vif_rows(spark, sf_dir, **options):
+    return (SEL.vif_table(model_frame(spark, sf_dir), FEATURES, **options)
+            .select("column_name", rnd("vif", 6).alias("vif"), "dropped_round"))
+
+
+@query("vif", _vif_sql(20.0))
 def vif(spark, sf_dir):
     """VIF elimination at threshold 20."""
-    return SEL.vif_table(model_frame(spark, sf_dir), FEATURES, thresh=20.0)
+    return _vif_rows(spark, sf_dir, thresh=20.0)
 
 
-@query("vif_strict")
+@query("vif_strict", _vif_sql(2.0))
 def vif_strict(spark, sf_dir):
-    """Infinite VIFs removed first, then elimination at threshold 2."""
-    return SEL.vif_table(model_frame(spark, sf_dir), FEATURES, thresh=2.0, drop_infinite_first=True)
+    """Infinite VIFs removed first (none in these columns), then elimination at threshold 2."""
+    return _vif_rows(spark, sf_dir, thresh=2.0, drop_infinite_first=True)
 
 
 @query("logit")
