@@ -24,30 +24,39 @@ BINS = 256
 
 
 def quantized(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of every component, x as double; null where the vector or a component is null or not finite."""
-    x = F.transform(vector, lambda v: F.floor(v.cast("double") * F.lit(float(scale))).cast("long"))
-    good = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float(2 ** 53 // scale))))
-    return F.when(good, x)
+    """floor(scale * x) of every component, x as double; null where the vector or a component is null or not
+    finite. A finite component that no long can hold after scaling is an error."""
+    scaled = F.transform(vector, lambda v: v.cast("double") * F.lit(float(scale)))
+    whole = F.transform(vector, lambda v: F.floor(v.cast("double") * F.lit(float(scale))).cast("long"))
+    finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
+    large = F.exists(scaled, lambda v: F.abs(v) >= F.lit(2.0 ** 63))
+    error = F.raise_error(F.lit(f"a vector component times {scale} does not fit a long")).cast("array<bigint>")
+    return F.when(finite, F.when(large, error).otherwise(whole))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of a list column as doubles, shorter ones filled with zeros."""
+    """Rows of a list column as integers, shorter ones filled with zeros."""
     flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     lengths = np.diff(offsets)
-    out = np.zeros((len(lengths), width))
     if len(lengths) and (lengths == width).all():
-        return flat[offsets[0]:offsets[-1]].reshape(-1, width).astype(np.float64)
+        return flat[offsets[0]:offsets[-1]].reshape(-1, width).astype(np.int64, copy=False)
+    out = np.zeros((len(lengths), width), np.int64)
     for i, n in enumerate(lengths):
         n = min(n, width)
         out[i, :n] = flat[offsets[i]:offsets[i] + n]
     return out
 
 
+NEVER = np.iinfo(np.int64).min
+
+
 class _Block:
-    """A bounded block of queries, and the state of their brackets; goes to the tasks with the code."""
+    """A bounded block of queries; goes to the tasks with the code."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
         self.ids, self.vectors, self.k = ids, vectors, k
+        self.doubles = vectors.astype(np.float64)
+        self.weight = np.abs(self.doubles).sum(axis=1)         # a query's scores are at most this times the largest component
 
     def scores(self, batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(candidate ids, scores[query, candidate]) by slices; a query's own row gets the lowest score."""
@@ -55,18 +64,34 @@ class _Block:
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                s = self.product(_matrix(part.column(1), self.vectors.shape[1]))
-                s[self.ids[:, None] == ids[None, :]] = NEVER
+                own = self.ids[:, None] == ids[None, :]
+                s = self.product(_matrix(part.column(1), self.vectors.shape[1]), own)
+                s[own] = NEVER
                 yield ids, s
 
-    def product(self, m: np.ndarray) -> np.ndarray:
-        top = np.abs(m).max(initial=0) * np.abs(self.vectors).max(initial=0) * max(1, m.shape[1])
-        if top < 2 ** 53:                       # every partial sum is exact in doubles
-            return (self.vectors @ m.T).astype(np.int64)
-        return self.vectors.astype(np.int64) @ m.T.astype(np.int64)
-
-
-NEVER = np.iinfo(np.int64).min
+    def product(self, m: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Exact inner products; pairs that might pass a long are taken in unbounded integers, and it is an
+        error if one does (other than a query with its own row, which is no candidate)."""
+        doubles = m.astype(np.float64)
+        largest = np.abs(doubles).max(axis=1, initial=0)
+        top = self.weight.max(initial=0) * largest.max(initial=0)
+        if top < 2 ** 52:                       # every partial sum is exact in doubles
+            return (self.doubles @ doubles.T).astype(np.int64)
+        s = self.vectors @ m.T                  # wraps around where a pair is too large
+        if top >= 2 ** 62:
+            q = np.flatnonzero(self.weight * largest.max() >= 2 ** 62)
+            c = np.flatnonzero(self.weight.max() * largest >= 2 ** 62)
+            exact = self.vectors[q].astype(object) @ m[c].T.astype(object)
+            exact[own[np.ix_(q, c)]] = 0
+            if (np.abs(exact) >= 2 ** 63).any():
+                raise OverflowError("a score does not fit a long")
+            s[np.ix_(q, c)] = exact.astype(np.int64)
+        return s
+
+
+def _above(s: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """s - low where s >= low, as unsigned numbers: the difference of two longs may pass a long."""
+    return s.astype(np.uint64) - low.astype(np.uint64)[:, None]
 
 
 def _top_counts(block: _Block, low: np.ndarray, width: int):
@@ -76,7 +101,8 @@ def _top_counts(block: _Block, low: np.ndarray, width: int):
         span = np.arange(len(block.ids))[:, None] * (BINS + 2)
         for _, s in block.scores(batches):
             # the lowest score marks a query's own row; it is dropped, also where every score is low
-            bin_ = np.where(s < low[:, None], 0, np.clip((np.maximum(s, low[:, None]) - low[:, None]) // width + 1, 1, BINS + 1))
+            over = np.minimum(_above(np.maximum(s, low[:, None]), low) // np.uint64(width), np.uint64(BINS)).astype(np.int64)
+            bin_ = np.where(s < low[:, None], 0, over + 1)
             hist += np.bincount((bin_ + span)[s != NEVER].ravel(), minlength=hist.size).reshape(hist.shape)
         if hist.any():
             above = np.cumsum(hist[:, ::-1], axis=1)[:, ::-1] - hist     # counts in higher bins
@@ -109,7 +135,8 @@ def _kth_scores(rows: DataFrame, block: _Block) -> tuple[np.ndarray, np.ndarray]
     """(k-th best score of each query, how many rows equal to it are wanted), by histogram rounds."""
     n = len(block.ids)
     largest = rows.agg(F.max(F.array_max(F.transform("x", lambda v: F.abs(v))))).first()[0] or 0
-    reach = int(np.abs(block.vectors).sum(axis=1).max(initial=0)) * largest + 1
+    # no score is beyond this; the bracket ends where a long does
+    reach = min(sum(map(int, np.abs(block.vectors).max(axis=0, initial=0))) * int(largest) + 1, 2 ** 63 - 1)
     low, missing, width = np.full(n, -reach, np.int64), np.full(n, block.k, np.int64), -(-(2 * reach + 1) // BINS)
     down = Window.partitionBy("q").orderBy(F.col("bin").desc())
     while True:
@@ -121,7 +148,7 @@ def _kth_scores(rows: DataFrame, block: _Block) -> tuple[np.ndarray, np.ndarray]
             F.max(F.struct("bin", "n", "upto")).alias("r")).select("q", "r.*").collect()     # a row per query of the block
         for q, bin_, count, upto in hit:
             missing[q] = min(block.k - (upto - count), count)
-            low[q] += (bin_ - 1) * width
+            low[q] = int(low[q]) + (bin_ - 1) * width
         if width == 1:
             return low, missing
         width = -(-width // BINS)
@@ -133,8 +160,8 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     with every row but those of its own id; fewer rows: all. Ties go to the smaller id.
 
     Rows whose id or vector is null, or whose vector holds a null or non-finite component, take no
-    part. Vectors of unequal length are compared as if filled with zeros; components are taken up to 2**53 after scaling. A repeated id keeps its rows
-    as candidates; as a query it is asked once, with its first vector. No queries or an empty table:
+    part. Vectors of unequal length are compared as if filled with zeros; every finite
+    component counts, and one (times ``scale``) or a score that no long can hold is an error. A repeated id keeps its rows as candidates; as a query it is asked once, with its first vector. No queries or an empty table:
     no rows. Other columns are not read. ``block`` bounds the queries held at once.
     """
     if k < 1 or block < 1:
@@ -152,7 +179,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
             break
         after = got[-1]["vec_id"]
         dim = max(len(r["x"]) for r in got)
-        m = np.zeros((len(got), max(1, dim)))
+        m = np.zeros((len(got), max(1, dim)), np.int64)
         for i, r in enumerate(got):
             m[i, :len(r["x"])] = r["x"]
         b = _Block(np.array([r["vec_id"] for r in got], np.int64), m, k)
