@@ -29,6 +29,11 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ...: no name of its own can clash with an inner one or be read as a path."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes of a text; null is empty, lone surrogates are kept as they are."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

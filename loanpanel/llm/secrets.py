@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanpanel.llm.common import numbered
+
 # The scan's patterns (letters of the key names in either case, ASCII only).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -169,13 +171,17 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", min_cost: float = 9.0) -> DataFrame:
     """``docs`` with every secret span replaced; rows without one stay as they are, null texts too.
-    ``length_col``, if the table has it, is set to the new length of texts that changed."""
+    ``length_col``, if the table has it, is set to the new length of texts that changed. Columns keep
+    their names, whatever these are."""
     @F.udf("string", useArrow=True)
     def clean(text):
         return redact(text, scan(text, min_cost))
 
-    new, made = F.col("__clean__"), docs.withColumn("__clean__", clean(F.col(text_col)))
-    if length_col in docs.columns:
-        kind = docs.schema[length_col].dataType
-        made = made.withColumn(length_col, F.when(new != F.col(text_col), F.length(new).cast(kind)).otherwise(F.col(length_col)))
-    return made.withColumn(text_col, new).select(*docs.columns)
+    names = docs.columns
+    text, new = f"c{names.index(text_col)}", F.col("clean")
+    made = numbered(docs).withColumn("clean", clean(F.col(text)))
+    if length_col in names:
+        length = f"c{names.index(length_col)}"
+        kind = made.schema[length].dataType
+        made = made.withColumn(length, F.when(new != F.col(text), F.length(new).cast(kind)).otherwise(F.col(length)))
+    return made.withColumn(text, new).drop("clean").toDF(*names)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanpanel.llm.common import utf8, write_stage
+from loanpanel.llm.common import numbered, utf8, write_stage
 from loanpanel.llm.components import connected_components
 
 BITS, SEGMENTS, SEED = 64, 4, 42
@@ -112,20 +112,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """The rows of ``docs`` with one row of each near-duplicate group: the one of the smallest id (a null id
     comes after all others), of rows that repeat it the one of the smallest fingerprint, then of the
-    smallest text digest, and of rows equal in all three, one."""
+    smallest text digest, and of rows equal in all three, one. Columns keep their names, whatever these are."""
     @F.udf("long", useArrow=True)
     def fingerprint(text):
         return simhash(text, shingle)
 
-    digest = F.coalesce(F.sha2(F.col(text_col), 256), F.lit(""))
-    marked = docs.withColumn("__fp__", fingerprint(F.col(text_col))).withColumn("__digest__", digest)
-    rows = write_stage(marked.select(F.col(id_col).alias("doc_id"), F.col("__fp__").alias("fp"), F.col("__digest__").alias("digest")), "simhash-fp")
+    names = docs.columns
+    key, text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    digest = F.coalesce(F.sha2(F.col(text), 256), F.lit(""))
+    marked = numbered(docs).withColumn("fp", fingerprint(F.col(text))).withColumn("digest", digest)
+    rows = write_stage(marked.select(F.col(key).alias("doc_id"), "fp", "digest"), "simhash-fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "digest")).alias("first")
     # the first row of each fingerprint, then of each group: no group's rows come to one task
     by_fp = rows.groupBy("fp").agg(first).select("fp", "first")
     keepers = (by_fp.join(_groups(rows, max_bits).select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
                .select("first.doc_id", "first.fp", "first.digest"))
     keepers = write_stage(keepers, "simhash-keep")
-    on = F.col(f"d.{id_col}").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__fp__") == F.col("k.fp")) & (F.col("d.__digest__") == F.col("k.digest"))
-    kept = marked.alias("d").join(keepers.alias("k"), on, "left_semi").dropDuplicates([id_col, "__fp__", "__digest__"])
-    return kept.select(*docs.columns)
+    on = F.col(f"d.{key}").eqNullSafe(F.col("k.doc_id")) & (F.col("d.fp") == F.col("k.fp")) & (F.col("d.digest") == F.col("k.digest"))
+    kept = marked.alias("d").join(keepers.alias("k"), on, "left_semi").dropDuplicates([key, "fp", "digest"])
+    return kept.drop("fp", "digest").toDF(*names)
