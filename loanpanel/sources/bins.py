@@ -2,8 +2,8 @@
 
 A bin holds up to ``capacity`` loans; the bin map (loan, binNumber,
 binOccupancy, maxBinOccupancy) routes every later row of a loan to its bin,
-and the data itself is written partitioned by ``binNumber`` so a reader can
-prune to one bin.
+and the data itself is written by bin (small neighbouring bins share a folder)
+so a reader can prune to one bin.
 
 Numbering loans densely (0, 1, 2, ... in loan-id order) is the only
 ordered step.  It is done without a single-partition window: the keys are
@@ -14,7 +14,7 @@ is its offset plus its position inside the partition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanpanel.schema import MAX_BIN_OCCUPANCY
@@ -89,8 +89,25 @@ def route_to_bins(rows: DataFrame, bin_map: DataFrame, key: str = "loanSeqNumber
     return rows.join(bin_map.select(key, "binNumber"), key, "inner")
 
 
-def write_binned(rows: DataFrame, bin_map: DataFrame, path: str, key: str = "loanSeqNumber",
-                 mode: str = "append") -> str:
-    """Write rows partitioned by bin (one folder per bin; readers prune by bin)."""
-    route_to_bins(rows, bin_map, key).write.mode(mode).partitionBy("binNumber").parquet(path)
+def bin_folder(capacity: int, bin_col: str = "binNumber") -> tuple[str, Column]:
+    """The folder column of rows written by bin: the bin itself or, where bins are smaller than the usual
+    ``MAX_BIN_OCCUPANCY``, the first of as many neighbouring bins as hold that many loans together."""
+    bins = max(1, MAX_BIN_OCCUPANCY // capacity)
+    b = F.col(bin_col)
+    return (bin_col, b) if bins == 1 else ("firstBin", b - F.pmod(b, F.lit(bins)))
+
+
+def write_by_bin(routed: DataFrame, path: str, mode: str, capacity: int = MAX_BIN_OCCUPANCY) -> str:
+    """Write routed rows by bin. Each folder's rows are brought together first, so the files follow the loans,
+    not bins times tasks (AQE splits a folder too large for a task); rows of small bins that share a
+    folder are sorted by ``binNumber``, so Parquet's statistics still find one bin."""
+    name, folder = bin_folder(capacity)
+    (routed.withColumn(name, folder).hint("rebalance", F.col(name)).sortWithinPartitions(name, "binNumber")
+           .write.mode(mode).partitionBy(name).parquet(path))
     return path
+
+
+def write_binned(rows: DataFrame, bin_map: DataFrame, path: str, key: str = "loanSeqNumber",
+                 mode: str = "append", capacity: int = MAX_BIN_OCCUPANCY) -> str:
+    """Write rows by bin (:func:`write_by_bin`; readers prune by folder and bin)."""
+    return write_by_bin(route_to_bins(rows, bin_map, key), path, mode, capacity)

@@ -12,7 +12,7 @@ batches), not once per batch.  Nothing is ever changed in place: a segment
 counts once its ``_SUCCESS`` file is there, and a batch that runs again
 reads only the segments before it and overwrites its own, so a replay after
 a failure gives the same result.  The batch's rows go, with their bins, to
-``<data_dir>/batchId=<id>``, partitioned by bin.  Progress is tracked in the
+``<data_dir>/batchId=<id>``, written by bin (``write_by_bin``).  Progress is tracked in the
 stream's checkpoint, which lives in the shared checkpoint folder.
 """
 
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loanpanel.schema import MAX_BIN_OCCUPANCY
-from loanpanel.sources.bins import dense_index, with_occupancy
+from loanpanel.sources.bins import dense_index, route_to_bins, with_occupancy, write_by_bin
+from loanpanel.sources.delimited import staging_dir
 
 FAN_IN = 8
 _SEGMENT = re.compile(r"level=(\d+)_first=(\d+)_last=(\d+)$")
@@ -92,9 +93,7 @@ def add_batch(spark: SparkSession, batch: DataFrame, batch_id: int, map_dir: str
     (place.select(key, F.floor((F.col("__place") + total) / capacity).cast("int").alias("binNumber"), F.lit(capacity).alias("maxBinOccupancy"))
           .write.mode("overwrite").parquet(_path(map_dir, own)))
     bins = _read(spark, map_dir, [*live_segments(_segments(spark, map_dir), batch_id), own])
-    (batch.join(bins.select(key, "binNumber"), key, "inner")
-          .write.mode("overwrite").partitionBy("binNumber")
-          .parquet(f"{data_dir.rstrip('/')}/batchId={batch_id}"))
+    write_by_bin(route_to_bins(batch, bins, key), f"{data_dir.rstrip('/')}/batchId={batch_id}", "overwrite", capacity)
     _merge(spark, map_dir, batch_id)
 
 
@@ -104,12 +103,17 @@ def start_bin_stream(spark: SparkSession, source: DataFrame, map_dir: str, data_
     """Start the stream over ``source`` (a streaming DataFrame of loan rows; a NULL loan has no bin)."""
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        held = batch.persist()                                  # read for its loans and for its rows
+        # staged: a stream's own session plans without AQE, so every exchange of a batch, however small,
+        # would keep all its partitions; read back by the caller's session it is planned as any table
+        held = staging_dir(spark, f"bin-batch-{batch_id}")
+        batch.write.parquet(held)
+        rows = spark.read.schema(batch.schema).parquet(held)
         try:
-            if not held.isEmpty():
-                add_batch(spark, held, batch_id, map_dir, data_dir, key, capacity)
+            if not rows.isEmpty():
+                add_batch(spark, rows, batch_id, map_dir, data_dir, key, capacity)
         finally:
-            held.unpersist()
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(held)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     writer = source.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

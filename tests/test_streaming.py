@@ -75,3 +75,38 @@ def test_live_segments():
     all_ = [(0, i, i) for i in range(5)] + [(1, 0, 2)]
     assert live_segments(all_) == [(1, 0, 2), (0, 3, 3), (0, 4, 4)]
     assert live_segments(all_, before=2) == [(0, 0, 0), (0, 1, 1)]
+
+
+def test_files_follow_the_loans_not_bins_times_tasks(spark):
+    """10,000 loans in bins of 100: one folder of 100 bins, sorted by bin, not a folder and files a bin."""
+    import glob
+
+    from loanpanel.sources import bins as B
+    from loanpanel.streaming import bin_stream as S
+    base = D.staging_dir(spark, "bin-files")
+    frame = spark.range(20_000).toDF("loanSeqNumber").repartition(8)
+    S.add_batch(spark, frame, 0, f"{base}/map", f"{base}/data", capacity=100)
+    where = f"{base}/data".removeprefix("file:")
+    folders, files = glob.glob(f"{where}/batchId=0/*=*"), glob.glob(f"{where}/batchId=0/*/*.parquet")
+    assert len(folders) == 2 and len(files) <= 16
+    rows = spark.read.parquet(f"{base}/data")
+    assert rows.count() == 20_000 and rows.where((F.col("firstBin") == 100) & (F.col("binNumber") == 150)).count() == 100
+    assert rows.where(F.col("binNumber") != F.floor(F.col("loanSeqNumber") / 100)).count() == 0
+    # bins of the usual size have a folder each
+    assert B.bin_folder(10_000)[0] == "binNumber"
+
+
+def test_the_stream_plans_batches_in_the_callers_session(spark, monkeypatch):
+    """A stream's own session plans without AQE; the batches are handed on in the caller's."""
+    from loanpanel.streaming import bin_stream as S
+    base, seen, add = D.staging_dir(spark, "bin-session"), [], S.add_batch
+
+    def spy(spark, batch, *rest):
+        seen.append((batch.sparkSession.conf.get("spark.sql.adaptive.enabled"), batch.count()))
+        add(spark, batch, *rest)
+
+    monkeypatch.setattr(S, "add_batch", spy)
+    spark.range(30).toDF("loanSeqNumber").write.parquet(f"{base}/incoming")
+    src = spark.readStream.schema("loanSeqNumber long").parquet(f"{base}/incoming")
+    S.start_bin_stream(spark, src, f"{base}/map", f"{base}/data", f"{base}/ckpt", capacity=4).awaitTermination()
+    assert seen == [("true", 30)] and S.latest_map(spark, f"{base}/map").count() == 30
