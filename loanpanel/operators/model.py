@@ -9,13 +9,14 @@ k-d tree whose bounding boxes lie within the k-th distance.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanpanel.operators.neighbors import tree_neighbors
-from loanpanel.session import cut_lineage
+from loanpanel.session import cut_lineage, ensure_checkpoint_dir
 
 TEST_SIZE = 0.33
 SEED = 7
@@ -71,9 +72,20 @@ def fit_forest(train: DataFrame, features: list[str], label: str, num_trees: int
                                   seed=seed).fit(data)
 
 
+def _without_summary(model):
+    """The fitted model without its training summary, read back as saved: the scoring function takes the whole
+    model to the tasks, and the summary holds on to the training run (its tables, its session)."""
+    if not getattr(model, "hasSummary", False):
+        return model
+    spark = _spark()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def predict(model, df: DataFrame, features: list[str], out: str = "Y_hat") -> DataFrame:
     """Predictions as an int column; the input columns are kept."""
-    p = model.transform(_assembled(df, features))
+    p = _without_summary(model).transform(_assembled(df, features))
     return p.withColumn(out, F.col("prediction").cast("int")) \
             .drop("features", "rawPrediction", "probability", "prediction")
 

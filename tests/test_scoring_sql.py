@@ -65,3 +65,13 @@ def test_logistic_fit_is_at_its_optimum(spark, data, frame):
 def test_unknown_models_are_refused():
     with pytest.raises(ValueError):
         S.margin_sql(object(), ["a"])
+
+
+@pytest.mark.parametrize("kind", FITS)
+def test_the_training_summary_stays_off_the_tasks(spark, data, kind, monkeypatch):
+    model = FITS[kind](data, ["a", "b", "c"], "y")
+    want = {r["id"]: r["prediction"] for r in model.transform(M._assembled(data, ["a", "b", "c"])).collect()} if kind == "boosted" else None
+    seen, transform = [], type(model).transform
+    monkeypatch.setattr(type(model), "transform", lambda self, df: seen.append(getattr(self, "hasSummary", False)) or transform(self, df))
+    got = {r["id"]: r["Y_hat"] for r in M.predict(model, data, ["a", "b", "c"]).collect()}
+    assert seen == [False] and len(got) == 600 and (want is None or got == want)
