@@ -323,9 +323,10 @@ def monthly_load(spark, sf_dir):
     })
     path = D.staging_dir(spark, "monthly-files")
     d.select(_fields_line([values[c] for c in S.MONTHLY_COLUMNS]).alias("value")) \
-        .repartition(3).write.mode("overwrite").text(path)
-    m = D.load_monthly(spark, path)
-    p = prep_monthly(m.select("loanSeqNumber", "mthlyRepPeriod", "currUPB", "currLoanDelinqStatus",
-                              "zeroBalanceCode", "expenses", "repurchaseFlag"))
+        .repartition(max(3, spark.sparkContext.defaultParallelism)).write.mode("overwrite").text(path)
+    m = D.load_monthly(spark, path).select("loanSeqNumber", "mthlyRepPeriod", "currUPB", "currLoanDelinqStatus",
+                                           "zeroBalanceCode", "expenses", "repurchaseFlag")
+    # staged: the prep reads its rows for the medians, the codes and the result, the text is split once
+    p = prep_monthly(D.read_stage(spark, D.write_stage(m, D.staging_dir(spark, "monthly-loaded"))))
     return p.select("loanSeqNumber", "mthlyRepPeriod", rnd("currUPB", 4).alias("currUPB"),
                     "currLoanDelinqStatus", "zeroBalanceCode", "expenses", "repurchaseFlag")

@@ -89,3 +89,20 @@ def test_tail_bindings_reach_their_branches(spark):
     assert shares["share_over"] > 0 and shares["share_under"] > 0
     assert T.tail_loans(spark, SF_MID).where("servicer = 'Other servicers'").count() > 0
     assert q["leave_one_out_catch_all"](spark, SF_MID).where("servicerName = 'Other servicers'").count() == 0
+
+
+def test_large_columns_are_computed_twice_at_most(spark):
+    """Counted and staged; the search for the ranks reads the staged column, both middle ranks in one search."""
+    from loanpanel.functions.quantile import exact_medians
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return float(x * 7919 % 5000)
+
+    df = spark.range(5_000).select(counted("id").alias("v"))
+    assert exact_medians(df, ["v"], max_collect=50, direct_max=100) == {"v": 2499.5}
+    assert seen.value <= 4 * 5_000                        # twice, a retry or a doubled expression allowed for
+    odd = spark.createDataFrame([(float(x),) for x in [*range(99), "inf", "-inf", "nan"]] + [(None,)], "v double")
+    assert exact_medians(odd, ["v"], max_collect=5, direct_max=10) == {"v": 49.0}
