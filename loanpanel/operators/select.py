@@ -96,7 +96,7 @@ def vif_elimination(df: DataFrame, columns: Iterable[str], thresh: float = 20.0,
         if inverse is None:
             inverse, tied = _unit_inverse(g[np.ix_(keep, keep)])
         v = np.where(tied, np.inf, np.diag(inverse))
-        m = int(np.argmax(v))
+        m = int(np.argmax(v >= v.max() * (1 - 1e-9)))   # equal but for rounding (the last two always are): the first
         if not v[m] > thresh:
             break
         log.append({"round": rnd, "dropped": cols[keep[m]], "vif": float(v[m])})

@@ -88,3 +88,11 @@ def test_gram_of_300_columns_with_nulls(spark):
     # the swept inverse equals one made anew from the columns kept
     np.testing.assert_allclose([final[c] for c in kept], brute_vif(full[:, [int(c[1:]) for c in kept]]), rtol=1e-6)
     assert SEL.gram_matrix(df.limit(0), ["f0", "f1"])[2] == 0
+
+
+def test_equal_vifs_drop_the_first_column(spark):
+    """The last two columns have equal VIFs but for rounding, whatever their scales."""
+    from loanpanel.operators.select import vif_elimination
+    for scale in (1.0, 3.7e5, 1.3e-4, 7.1e8):
+        df = spark.createDataFrame([(i + 1.0, (i + 1.1 + i % 3) * scale) for i in range(40)], "a double, b double")
+        assert vif_elimination(df, ["a", "b"], 2.0)[0] == ["b"]
